@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, packing
+from . import bitplanes, bottomk, flac, packing, warc
+from .common import drop_path, materialize
 from .encoders import public_path
 
 
@@ -21,5 +22,43 @@ def op7_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_documents(files)
 
 
-QUERIES = {"op5_packing": op5_packing, "op7_bitplanes": op7_bitplanes}
-ORACLES: dict[str, str] = {}
+def op4_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores and reads back the media of a few input files at a time, so that scratch space stays bounded.
+
+    Text is noise to a linear predictor: its streams are about as large as itself. Every file's rows are
+    processed; a wave's media are dropped once its digests are written.
+    """
+    files = _table(spark, sf_dir, "documents").inputFiles()
+    step = max(1, -(-len(files) // 4))
+    parts = []
+    for i in range(0, len(files), step):
+        media = flac.store(spark.read.parquet(*files[i : i + step]))
+        parts.append(materialize(flac.describe(media), "flac-digests"))
+        drop_path(spark, media.scratch_path)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_resolved(warc.write_archives(_table(spark, sf_dir, "pages")))
+
+
+QUERIES = {"op4_bottomk": op4_bottomk, "op9_flac": op9_flac, "op10_warc": op10_warc, "op5_packing": op5_packing, "op7_bitplanes": op7_bitplanes}
+_PAYLOADS = "SELECT page_id, coalesce(html, '') AS payload, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages"
+
+ORACLES: dict[str, str] = {
+    "op10_warc": f"""
+WITH p AS ({_PAYLOADS}),
+     f AS (SELECT digest, min(page_id) AS original FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN original < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original < page_id THEN original END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100
+""",
+}
