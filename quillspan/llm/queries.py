@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bitplanes, bottomk, flac, langid_crf, packing, warc
+from . import bagminhash, bitplanes, bottomk, flac, langid_crf, line_templates, packing, rollups, warc
 from .common import drop_path, materialize
 from .encoders import public_path
 
@@ -26,6 +26,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_crf.identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_boilerplate(docs)
+
+
 def op4_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,10 @@ def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.corpus_rollup(_table(spark, sf_dir, "documents"))
+
+
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores and reads back the media of a few input files at a time, so that scratch space stays bounded.
 
@@ -57,10 +66,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_resolved(warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op2_langid": op2_langid, "op4_bottomk": op4_bottomk, "op6_bagminhash": op6_bagminhash, "op9_flac": op9_flac, "op10_warc": op10_warc, "op5_packing": op5_packing, "op7_bitplanes": op7_bitplanes}
+QUERIES = {"op2_langid": op2_langid, "op3_linededup": op3_linededup, "op4_bottomk": op4_bottomk, "op6_bagminhash": op6_bagminhash, "op8_rollups": op8_rollups, "op9_flac": op9_flac, "op10_warc": op10_warc, "op5_packing": op5_packing, "op7_bitplanes": op7_bitplanes}
 _PAYLOADS = "SELECT page_id, coalesce(html, '') AS payload, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages"
 
 ORACLES: dict[str, str] = {
+    "op8_rollups": r"""
+WITH d AS (SELECT source, lang, coalesce(text, '') AS t, doc_id, min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))) AS first FROM documents),
+     k AS (SELECT * FROM d WHERE doc_id = first),
+     v AS (SELECT source, lang, 'words-v1' AS tokenizer, len(regexp_extract_all(lower(t), '[\p{L}\p{N}_]+')) AS n FROM k
+           UNION ALL SELECT source, lang, 'bytes-v1', strlen(t) FROM k)
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM v GROUP BY ALL
+""",
     "op10_warc": f"""
 WITH p AS ({_PAYLOADS}),
      f AS (SELECT digest, min(page_id) AS original FROM p WHERE n >= 100 GROUP BY digest)
