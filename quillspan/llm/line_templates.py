@@ -112,7 +112,8 @@ def drop_boilerplate(docs: DataFrame, **options: float) -> DataFrame:
     lines, dropped = boilerplate(docs, **options)
     hits = lines.join(dropped.select("key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("hit"))
     hits = materialize(hits.withColumnRenamed("doc_id", "hit_id"), "line-hits")
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(*docs.columns, F.col("hit").alias("__hit"))
+    # a sort-merge join at every size: the hits grow with the corpus
+    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(*docs.columns, F.col("hit").alias("__hit"))
     names = docs.columns
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
