@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .values import fold
 
@@ -111,7 +112,7 @@ def graph_terms(c: Column) -> Column:
     return F.array_distinct(F.filter(tokens(c), lambda t: (F.length(t) >= 3) & ~t.isin(*GRAPH_STOP_WORDS)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_words(s: pd.Series) -> pd.Series:
     """Compatibility-decomposed, ASCII-only, caseless words joined by blanks (needs Unicode tables that Spark lacks)."""
 

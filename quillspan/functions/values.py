@@ -55,8 +55,14 @@ def float_text(x: Column) -> Column:
 
 def render(x: Column) -> Column:
     """Whole numbers without a point, others with at most ten decimals and no trailing zeros."""
-    whole = x.cast("decimal(38,0)").cast("string")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).when(x == F.rint(x), whole).otherwise(F.regexp_replace(F.format_string("%.10f", x), r"\.?0+$", ""))
+    size = F.abs(x)
+    part = size - F.floor(size)  # exact, so its ten decimals are those of the exact value
+    carry = part >= 0.99999999995
+    whole = (F.floor(size) + F.when(carry, 1).otherwise(0)).cast("decimal(38,0)").cast("string")
+    decimals = F.regexp_replace(F.substring(F.format_string("%.10f", F.when(carry, 0.0).otherwise(part)), 2, 11), r"\.?0+$", "")
+    text = F.concat(whole, decimals)
+    signed = F.when((x < 0) & (text != "0"), F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(F.isnan(x) | (size == float("inf")), F.lit(None)).when(size >= 2.0**53, x.cast("decimal(38,0)").cast("string")).otherwise(signed)
 
 
 def compare(left: Column, right: Column, comparator: str = "eq") -> Column:

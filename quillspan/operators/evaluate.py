@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import string
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import squad_answer, truth
@@ -11,69 +17,75 @@ from ..functions.text import squad_answer, truth
 # ---- answers --------------------------------------------------------------------------------
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(squad_answer(c), " "), lambda w: w != "")
-
-
 def exact_match(prediction: Column, answers: Column) -> Column:
     """1.0 if an answer equals the prediction in normal form, else 0.0."""
-    mine = squad_answer(prediction)
-    return F.coalesce(F.exists(answers, lambda a: squad_answer(a) == mine), F.lit(False)).cast("double")
+    return F.coalesce(F.array_contains(F.transform(answers, squad_answer), squad_answer(prediction)), F.lit(False)).cast("double")
 
 
-def _f1(common: Column, predicted: Column, gold: Column) -> Column:
+def _f1(common: int, predicted: int, gold: int) -> float:
+    if not predicted or not gold:
+        return float(predicted == gold)
+    if not common:
+        return 0.0
     p, r = common / predicted, common / gold
     return 2 * p * r / (p + r)
 
 
-def multiset_f1(p: Column, g: Column) -> Column:
-    """F1 of two word arrays as multisets; two empty ones agree fully."""
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, t: acc + F.least(F.size(F.filter(p, lambda x: x == t)), F.size(F.filter(g, lambda x: x == t))))
-    empty = (F.size(p) == 0) | (F.size(g) == 0)
-    return F.when(empty, (F.size(p) == F.size(g)).cast("double")).when(common > 0, _f1(common, F.size(p), F.size(g))).otherwise(0.0)
+@F.pandas_udf(DoubleType())
+def _best_multiset_f1(prediction: pd.Series, answers: pd.Series) -> pd.Series:
+    def one(p: str | None, gold: list | None) -> float:
+        mine = Counter((p or "").split())
+        best = 0.0
+        for g in gold if gold is not None else []:
+            theirs = Counter((g or "").split())
+            best = max(best, _f1((mine & theirs).total(), mine.total(), theirs.total()))
+        return best
 
+    return pd.Series([one(p, g) for p, g in zip(prediction, answers)], dtype=float)
 
-def token_f1(prediction: Column, answers: Column) -> Column:
-    mine = _words(prediction)
-    return F.coalesce(F.array_max(F.transform(answers, lambda a: multiset_f1(mine, _words(a)))), F.lit(0.0))
 
+def token_f1(prediction: Column, answers: Column) -> Column:
+    """Best F1 over the answers, words as multisets, both sides normalised in the JVM; two empty texts agree fully.
 
-_IS_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
+    The multiset intersection is a hash count in an Arrow batch: as array functions it is quadratic in the text.
+    """
+    return _best_multiset_f1(squad_answer(prediction), F.transform(answers, squad_answer))
 
 
-def drop_words(c: Column) -> Column:
-    """Words of a reading-comprehension answer: split at blanks and hyphens, numbers as floats, no articles."""
+_IS_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?")
+_PUNCTUATION = str.maketrans("", "", string.punctuation)
 
-    def one(t: Column) -> Column:
-        n = F.when(t.rlike(_IS_NUMBER), t).try_cast("double")
-        text = F.when((n == F.rint(n)) & (F.abs(n) < 1e16), F.format_string("%.1f", n)).otherwise(n.cast("string"))
-        return F.when(n.isNotNull(), text).otherwise(F.regexp_replace(t, r"[!-/:-@\[-`{-~]", ""))
 
-    return F.filter(F.transform(F.split(F.lower(c), r"[\s-]+"), one), lambda t: ~t.isin("", "a", "an", "the"))
+def drop_words(text: str | None) -> list[str]:
+    """Words of a reading-comprehension answer: split at blanks and hyphens, numbers as floats, no articles."""
+    out = []
+    for t in re.split(r"[\s-]+", (text or "").lower()):
+        t = t if _IS_NUMBER.fullmatch(t) else t.translate(_PUNCTUATION)
+        if t and t not in ("a", "an", "the"):
+            out.append(str(float(t)) if _IS_NUMBER.fullmatch(t) else t)
+    return out
 
 
-def drop_scores(prediction: Column, answers: Column) -> tuple[Column, Column]:
+@F.pandas_udf(StructType([StructField("em", DoubleType()), StructField("f1", DoubleType())]))
+def drop_scores(prediction: pd.Series, answers: pd.Series) -> pd.DataFrame:
     """(exact match, set F1 to two decimals), best over the answers; an answer's numbers must meet the prediction's."""
-    mine = drop_words(prediction)
-    p = F.array_distinct(mine)
-
-    def numbers(a: Column) -> Column:
-        return F.filter(a, lambda t: t.rlike(_IS_NUMBER))
 
-    def f1(a: Column) -> Column:
-        g = F.array_distinct(drop_words(a))
-        common = F.size(F.array_intersect(p, g))
-        blocked = (F.size(numbers(g)) > 0) & ~F.arrays_overlap(numbers(g), numbers(p))
-        plain = F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).when(common > 0, F.bround(_f1(common, F.size(p), F.size(g)), 2)).otherwise(0.0)
-        return F.when(blocked, 0.0).otherwise(plain)
+    def one(p: str | None, gold: list | None) -> tuple[float, float]:
+        words, em, f1 = drop_words(p), 0.0, 0.0
+        mine = set(words)
+        for g in gold if gold is not None else []:
+            theirs = drop_words(g)
+            em = max(em, float(theirs == words))
+            numbers = {t for t in theirs if _IS_NUMBER.fullmatch(t)}
+            if not numbers or numbers & mine:
+                f1 = max(f1, round(_f1(len(mine & set(theirs)), len(mine), len(set(theirs))), 2))
+        return em, f1
 
-    em = F.exists(answers, lambda a: drop_words(a) == mine).cast("double")
-    return F.coalesce(em, F.lit(0.0)), F.coalesce(F.array_max(F.transform(answers, f1)), F.lit(0.0))
+    return pd.DataFrame([one(p, g) for p, g in zip(prediction, answers)], columns=["em", "f1"])
 
 
 def boolean_accuracy(prediction: Column, answers: Column) -> Column:
-    mine = truth(prediction)
-    return F.coalesce(F.exists(answers, lambda a: truth(a) == mine), F.lit(False)).cast("double")
+    return F.coalesce(F.array_contains(F.transform(answers, truth), truth(prediction)), F.lit(False)).cast("double")
 
 
 def primary_score(dataset: Column, f1: Column, drop_f1: Column, accuracy: Column) -> Column:

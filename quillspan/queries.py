@@ -50,7 +50,7 @@ def term_frequencies(spark, sf):
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') AS w FROM documents),
+WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
      c AS (SELECT doc_id, text, w, len(w) AS n, unnest(range(0, greatest(0, CAST(ceil((len(w) - 384) / 320.0) AS BIGINT)) + 1)) AS chunk_no FROM w)
 SELECT doc_id, chunk_no, chunk_no * 320 AS token_start, least(chunk_no * 320 + 384, n) AS token_end,
        md5(CASE WHEN n <= 384 THEN text ELSE array_to_string(w[chunk_no * 320 + 1 : chunk_no * 320 + 384], ' ') END) AS digest FROM c
@@ -87,14 +87,12 @@ def corpus_dedupe(spark, sf):
 
 
 @query(r"""
-SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 300)), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS answer,
-       array_to_string(regexp_extract_all(lower(substr(text, 1, 300)), '[\p{L}\p{N}_]+'), ' ') AS plain FROM documents
+WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')) AS w FROM documents)
+SELECT doc_id, md5(array_to_string(w, ' ')) AS answer, md5(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ')) AS plain FROM w
 """)
 def answer_forms(spark, sf):
-    head = F.regexp_replace(F.substring("text", 1, 300), r"^", "")
-    s = F.regexp_replace(F.lower(head), r"[!-/:-@\[-`{-~]", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"\b(a|an|the)\b", " "), r"\s+", " ")
-    return table(spark, sf, "documents").select("doc_id", F.lower(s).alias("answer"), T.plain_answer(head).alias("plain"))
+    c = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.squad_answer(c).cast("binary")).alias("answer"), F.md5(T.plain_answer(c).cast("binary")).alias("plain"))
 
 
 @query("""
@@ -119,7 +117,7 @@ def canonical_ids(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), x -> length(x) >= 3 AND NOT list_contains(['the','and','for','that','with','from','was','were','are','this','what','which','who','how'], x))) AS t FROM documents)
+WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: length(x) >= 3 AND NOT list_contains(['the','and','for','that','with','from','was','were','are','this','what','which','who','how'], x))) AS t FROM documents)
 SELECT doc_id, len(t) AS n_terms FROM t
 """.replace("\\\\", "\\"))
 def graph_term_counts(spark, sf):
@@ -255,8 +253,8 @@ def dual_access_bundle(spark, sf):
     return out.select("query_id", "passage_id", "n_paths", F.col("best_rank").cast("long").alias("best_rank"), F.round("fused", 6).alias("fused"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(_LISTS_SQL + """, f AS (SELECT query_id, pos, rank, row_number() OVER (PARTITION BY query_id, pos % 7 ORDER BY rank) AS n FROM la), g AS (SELECT * FROM f WHERE n = 1)
-SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS item FROM g QUALIFY item <= 8""")
+@query(_LISTS_SQL + """, f AS (SELECT query_id, pos, rank, row_number() OVER (PARTITION BY query_id, pos % 7 ORDER BY rank) AS n FROM la), f1 AS (SELECT * FROM f WHERE n = 1)
+SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS item FROM f1 QUALIFY item <= 8""")
 def evidence_curate(spark, sf):
     a, _ = _lists(spark, sf)
     return retrieval.curate(a.withColumn("source_id", F.col("pos") % 7)).select("query_id", "pos", F.col("item").cast("long").alias("item"))
@@ -269,8 +267,8 @@ def retrieval_dedupe(spark, sf):
     return _ranked(retrieval.dedupe_best(a.unionByName(b)))
 
 
-@query(_LISTS_SQL + """, j AS (SELECT la.query_id, la.pos, la.rank, lb.score AS s FROM la LEFT JOIN lb ON la.query_id = lb.query_id AND la.pos = lb.pos)
-SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, rank, pos) AS rank FROM j QUALIFY rank <= 8""")
+@query(_LISTS_SQL + """, j AS (SELECT la.query_id, la.pos, la.rank AS old, lb.score AS s FROM la LEFT JOIN lb ON la.query_id = lb.query_id AND la.pos = lb.pos)
+SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, old, pos) AS rank FROM j QUALIFY rank <= 8""")
 def evidence_rerank(spark, sf):
     a, b = _lists(spark, sf)
     out = retrieval.rerank(a, b.select("query_id", "pos", F.col("score").alias("rerank_score")))
@@ -360,6 +358,7 @@ def op_boolean(spark, sf):
     return A.any_rows(A.filter_rows(_orders(spark, sf), "price", "1e9", "gt")).select("answer")
 
 
+# Rendering is exact to ten decimals, so the oracle's printf of the double is the measure.
 _RENDER = r"CASE WHEN {0} = round({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.10f', {0}), '\.?0+$', '') END"
 
 

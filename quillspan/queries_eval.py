@@ -14,12 +14,13 @@ from .queries import _LISTS_SQL, _lists, query, table
 
 # ---- answers and evidence -------------------------------------------------------------------
 
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORM = r"list_filter(regexp_split_to_array(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
 _PAIRS_SQL = f"""
 WITH p AS (SELECT conv_id, turn, text AS prediction, lead(text, 1, text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS answer FROM conversations),
- n AS (SELECT *, {_NORM.format('prediction')} AS a, {_NORM.format('answer')} AS b FROM p),
- w AS (SELECT *, list_filter(string_split(a, ' '), x -> x <> '') AS x, list_filter(string_split(b, ' '), x -> x <> '') AS y FROM n),
- c AS (SELECT *, coalesce(list_sum([least(len(list_filter(x, u -> u = t)), len(list_filter(y, u -> u = t))) for t in list_distinct(x)]), 0) AS common FROM w)
+ w AS (SELECT *, {_NORM.format('prediction')} AS x, {_NORM.format('answer')} AS y FROM p),
+ a AS (SELECT conv_id, turn, prediction, answer, unnest(x) AS t FROM w), b AS (SELECT conv_id, turn, prediction, answer, unnest(y) AS t FROM w),
+ k AS (SELECT a.conv_id, a.turn, a.prediction, a.answer, sum(least(a.n, b.n)) AS common FROM (SELECT *, count(*) AS n FROM a GROUP BY ALL) AS a JOIN (SELECT *, count(*) AS n FROM b GROUP BY ALL) AS b USING (conv_id, turn, prediction, answer, t) GROUP BY ALL),
+ c AS (SELECT w.*, coalesce(common, 0) AS common FROM w LEFT JOIN k USING (conv_id, turn, prediction, answer))
 """
 
 
@@ -31,7 +32,7 @@ def _pairs(spark, sf) -> DataFrame:
     return c.select("conv_id", "turn", F.col("text").alias("prediction"), F.array(F.coalesce(F.lead("text").over(w), F.col("text"))).alias("answers"))
 
 
-@query(_PAIRS_SQL + """SELECT conv_id, turn, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS em,
+@query(_PAIRS_SQL + """SELECT conv_id, turn, CASE WHEN x = y THEN 1.0 ELSE 0.0 END AS em,
  round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN CASE WHEN len(x) = len(y) THEN 1.0 ELSE 0.0 END WHEN common > 0 THEN 2.0 * (common / len(x)) * (common / len(y)) / (common / len(x) + common / len(y)) ELSE 0.0 END, 6) AS f1 FROM c""")
 def answer_em_f1(spark, sf):
     return _pairs(spark, sf).select("conv_id", "turn", E.exact_match(F.col("prediction"), F.col("answers")).alias("em"), F.round(E.token_f1(F.col("prediction"), F.col("answers")), 6).alias("f1"))
@@ -39,20 +40,19 @@ def answer_em_f1(spark, sf):
 
 @query()
 def drop_scores(spark, sf):
-    em, f1 = E.drop_scores(F.col("prediction"), F.col("answers"))
-    return _pairs(spark, sf).select("conv_id", "turn", em.alias("em"), f1.alias("f1"))
+    return _pairs(spark, sf).withColumn("s", E.drop_scores("prediction", "answers")).select("conv_id", "turn", "s.em", "s.f1")
 
 
 @query("""
-WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z]+'), x -> x IN ('true', 'yes', 'false', 'no')) AS hits FROM conversations)
+WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x IN ('true', 'yes', 'false', 'no')) AS hits FROM conversations)
 SELECT conv_id, turn, CASE WHEN len(hits) = 0 THEN 0.0 WHEN hits[1] IN ('true', 'yes') THEN 1.0 ELSE 0.0 END AS accuracy FROM w
 """)
 def boolean_accuracy(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", E.boolean_accuracy(F.col("text"), F.array(F.lit("yes"))).alias("accuracy"))
 
 
-@query(_LISTS_SQL + """, g AS (SELECT query_id, pos FROM lb WHERE rank <= 3), n AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1),
- h AS (SELECT la.query_id, la.rank FROM la JOIN g ON la.query_id = g.query_id AND la.pos = g.pos)
+@query(_LISTS_SQL + """, gold AS (SELECT query_id, pos FROM lb WHERE rank <= 3), n AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1),
+ h AS (SELECT la.query_id, la.rank FROM la JOIN gold ON la.query_id = gold.query_id AND la.pos = gold.pos)
 SELECT n.query_id, round(count(h.rank) / any_value(n), 6) AS recall, round(coalesce(max(1.0 / h.rank), 0), 6) AS mrr,
  round(coalesce(sum(CASE WHEN h.rank <= 10 THEN 1 / log2(h.rank + 1.0) END), 0) / any_value(CASE n WHEN 1 THEN 1 WHEN 2 THEN 1 + 1 / log2(3.0) ELSE 1 + 1 / log2(3.0) + 0.5 END), 6) AS ndcg_10,
  round(count(*) FILTER (h.rank <= 5) / 5.0, 6) AS precision_5, CASE WHEN count(*) FILTER (h.rank <= 1) > 0 THEN 1.0 ELSE 0.0 END AS hit_1
@@ -224,7 +224,7 @@ def pairing_gaps(spark, sf):
 
 
 @query(_LISTS_SQL + """, x AS (SELECT query_id, list(pos) AS ids FROM la GROUP BY 1), y AS (SELECT query_id, list(pos) AS ids FROM lb WHERE rank <= 3 GROUP BY 1)
-SELECT x.query_id, CASE WHEN len(list_intersect(x.ids, y.ids)) = 0 THEN 'RETRIEVAL_MISS' WHEN len(list_filter(y.ids, u -> NOT list_contains(x.ids, u))) > 0 THEN 'EVIDENCE_PARTIAL' ELSE 'ANSWER_GENERATION_ERROR' END AS error FROM x JOIN y ON x.query_id = y.query_id""")
+SELECT x.query_id, CASE WHEN len(list_intersect(x.ids, y.ids)) = 0 THEN 'RETRIEVAL_MISS' WHEN len(list_filter(y.ids, lambda u: NOT list_contains(x.ids, u))) > 0 THEN 'EVIDENCE_PARTIAL' ELSE 'ANSWER_GENERATION_ERROR' END AS error FROM x JOIN y ON x.query_id = y.query_id""")
 def error_classes(spark, sf):
     a, b = _lists(spark, sf)
     x, y = a.groupBy("query_id").agg(F.collect_list("pos").alias("r")), b.filter("rank <= 3").groupBy("query_id").agg(F.collect_list("pos").alias("g"))
@@ -322,7 +322,7 @@ def stable_holdout(spark, sf):
 
 @query("""
 WITH h AS (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS s FROM documents)
-SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(position(c IN '0123456789abcdef') - 1 AS BIGINT) for c in string_split(s, '')]), (acc, d) -> (acc * 16 + d) % 5) AS fold FROM h
+SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(position(c IN '0123456789abcdef') - 1 AS BIGINT) for c in string_split(s, '')]), lambda acc, d: (acc * 16 + d) % 5) AS fold FROM h
 """)
 def fold_ids(spark, sf):
     return table(spark, sf, "documents").select("doc_id", E.fold_of(F.col("doc_id"), 5).alias("fold"))
