@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bitplanes, bottomk, flac, langid_crf, line_templates, packing, rollups, warc
+from . import bagminhash, bitplanes, bottomk, flac, langid_crf, line_templates, packing, rollups, sentencepiece_lattice, warc
 from .common import drop_path, materialize
 from .encoders import public_path
 
@@ -22,6 +22,10 @@ def op7_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_documents(files)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.digests(_table(spark, sf_dir, "documents"), lambda: public_path("piece_bpe_32k.model"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_crf.identify(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_resolved(warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op2_langid": op2_langid, "op3_linededup": op3_linededup, "op4_bottomk": op4_bottomk, "op6_bagminhash": op6_bagminhash, "op8_rollups": op8_rollups, "op9_flac": op9_flac, "op10_warc": op10_warc, "op5_packing": op5_packing, "op7_bitplanes": op7_bitplanes}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_langid": op2_langid, "op3_linededup": op3_linededup, "op4_bottomk": op4_bottomk, "op6_bagminhash": op6_bagminhash, "op8_rollups": op8_rollups, "op9_flac": op9_flac, "op10_warc": op10_warc, "op5_packing": op5_packing, "op7_bitplanes": op7_bitplanes}
 _PAYLOADS = "SELECT page_id, coalesce(html, '') AS payload, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages"
 
 ORACLES: dict[str, str] = {
