@@ -28,7 +28,7 @@ def beam_candidates(rows: DataFrame, relevant: list[str], query: str = "query_id
         "beam_score",
         0.55 * F.col("_confidence") + 0.15 * reach + 0.10 / F.col("__same") + 0.10 * reach - 0.05 * (F.col("__same") - 1) / F.col("__same") - 0.05 / F.greatest(filled, F.lit(1)),
     )
-    order = [F.round("beam_score", 12).desc(), F.col("_confidence").desc(), F.col("_source_id").desc()]
+    order = [F.round("beam_score", 12).desc(), F.col("_confidence").desc(), F.col("_source_id").desc(), *[F.col(c) for c in relevant]]
     context = [F.coalesce(F.col(c), F.lit("")) for c in relevant]
     best = scored.withColumn("__n", F.row_number().over(Window.partitionBy(query, *context).orderBy(*order))).filter("__n = 1")
     return best.withColumn("beam_rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).drop("__n", "__same")

@@ -92,7 +92,7 @@ def stratified_aggregate(spark, sf):
     return E.aggregate_runs(_runs(spark, sf), ["dataset", "method", "depth"], ["score"], []).select("dataset", "method", "depth", "runs", F.round("mean_score", 6).alias("mean_score"))
 
 
-@query(_RUNS_SQL + "SELECT dataset, method, failure, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY dataset, method), 6) AS share FROM r GROUP BY ALL")
+@query(_RUNS_SQL + "SELECT dataset, method, failure, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY dataset, method), 6) AS share FROM r GROUP BY dataset, method, failure")
 def failure_report(spark, sf):
     return E.failure_report(_runs(spark, sf)).withColumn("share", F.round("share", 6))
 
@@ -271,7 +271,7 @@ def factorial_contrasts(spark, sf):
     return c.groupBy("dataset").agg(F.count("*").alias("n"), *[F.round(F.avg(n), 4).alias(n) for n in names])
 
 
-@query(_WIDE_SQL + ", z AS (SELECT dataset, round(d, 4) AS d FROM p WHERE round(d, 4) <> 0), r AS (SELECT dataset, d, rank() OVER (PARTITION BY dataset ORDER BY abs(d)) + (count(*) OVER (PARTITION BY dataset, abs(d)) - 1) / 2.0 AS r FROM z) SELECT dataset, count(*) AS n, round(coalesce(sum(r) FILTER (d > 0), 0), 6) AS w_plus FROM r GROUP BY dataset")
+@query(_WIDE_SQL + ", z AS (SELECT dataset, round(d, 4) AS d FROM p WHERE round(d, 4) <> 0), k AS (SELECT dataset, d, rank() OVER (PARTITION BY dataset ORDER BY abs(d)) + (count(*) OVER (PARTITION BY dataset, abs(d)) - 1) / 2.0 AS r FROM z) SELECT dataset, count(*) AS n, round(coalesce(sum(r) FILTER (d > 0), 0), 6) AS w_plus FROM k GROUP BY dataset")
 def wilcoxon(spark, sf):
     p = _paired(spark, sf).na.drop().select("dataset", F.lit(0.0).alias("reference"), F.round(F.col("treatment") - F.col("reference"), 4).alias("treatment"))
     return stats.wilcoxon(p, ["dataset"]).select("dataset", "n", F.round(F.col("w_plus").cast("double"), 6).alias("w_plus"))
@@ -349,8 +349,8 @@ _BEAM_SQL = """
 WITH b AS (SELECT l_orderkey AS query_id, CAST(l_suppkey % 7 AS VARCHAR) AS source_id, l_discount * 10 AS confidence, l_returnflag AS flag, CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE l_linestatus END AS state FROM lineitem),
  c AS (SELECT *, count(*) OVER (PARTITION BY query_id, source_id) AS k FROM b),
  s AS (SELECT *, 0.55 * confidence + 0.25 * (1 + CASE WHEN state <> '' THEN 1 ELSE 0 END) / 2.0 + 0.10 / k - 0.05 * (k - 1) / k - 0.05 / (1 + CASE WHEN state <> '' THEN 1 ELSE 0 END) AS score FROM c),
- o AS (SELECT *, row_number() OVER (PARTITION BY query_id, flag, state ORDER BY round(score, 12) DESC, confidence DESC, source_id DESC) AS n FROM s),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, confidence DESC, source_id DESC) AS rank FROM o WHERE n = 1),
+ o AS (SELECT *, row_number() OVER (PARTITION BY query_id, flag, state ORDER BY round(score, 12) DESC, confidence DESC, source_id DESC, flag, state) AS n FROM s),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, confidence DESC, source_id DESC, flag, state) AS rank FROM o WHERE n = 1),
  g AS (SELECT *, max(CASE WHEN rank = 1 THEN confidence END) OVER w AS c1, coalesce(max(CASE WHEN rank = 2 THEN confidence END) OVER w, max(CASE WHEN rank = 1 THEN confidence END) OVER w) AS c2, max(rank) OVER w AS m FROM r WINDOW w AS (PARTITION BY query_id)),
  u AS (SELECT *, greatest(0, least(1, 1 - greatest(c1 - c2, 0))) AS doubt, least(4, m) AS cap FROM g)
 SELECT query_id, flag, state, rank AS beam_rank, round(score, 6) AS beam_score FROM u WHERE rank <= CASE WHEN doubt >= 0.75 THEN cap WHEN doubt >= 0.45 THEN least(cap, 2) ELSE least(cap, 1) END
