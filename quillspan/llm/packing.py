@@ -42,12 +42,13 @@ class Bm25Index:
         self.bound = np.append(first, len(term))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = k1 * (1 - b + b * sizes / max(sizes.mean(), 1.0)) if n else sizes
-        self.idf = idf
+        self.idf, self.df = idf, df
         self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + norm[self.doc])
 
     def query(self, ids: np.ndarray, most_terms: int) -> np.ndarray:
-        """BM25 score of every document for the rarest ``most_terms`` distinct ids of a seed."""
+        """BM25 score of every document for the rarest ``most_terms`` distinct ids that a seed shares with others."""
         at = np.searchsorted(self.terms, np.unique(ids))
+        at = at[self.df[at] > 1]
         at = at[np.argsort(-self.idf[at], kind="stable")[:most_terms]]
         spans = [slice(self.bound[t], self.bound[t + 1]) for t in at]
         if not spans:
