@@ -38,10 +38,17 @@ def _hash(s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: Least share of constant tokens in a template.
+CONSTANT = 0.6
+
+
 def masked(line: str) -> list[str]:
-    """The line's tokens, with fields that surely vary as wildcards."""
+    """The line's tokens, with fields that surely vary as wildcards, unless too few constants would remain."""
     tokens = line.split()
-    return [WILD if _VARIABLE.search(t) else t for t in tokens] if _VARIABLE.search(line) else tokens
+    if not _VARIABLE.search(line):
+        return tokens
+    wild = [WILD if _VARIABLE.search(t) else t for t in tokens]
+    return tokens if wild.count(WILD) > (1 - CONSTANT) * len(wild) else wild
 
 
 def parse(text: str, depth: int, min_tokens: int) -> Iterator[tuple[int, int, int, str]]:
@@ -55,7 +62,7 @@ def parse(text: str, depth: int, min_tokens: int) -> Iterator[tuple[int, int, in
             yield _hash(f"{len(tokens)} {' '.join(tokens[:depth])}"), _hash(joined[i]), _hash(around), joined[i]
 
 
-def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs: int = 10, constant: float = 0.6, variety: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs: int = 10, constant: float = CONSTANT, variety: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(lines of the documents, keys of the lines whose template recurs): (doc_id, key), (key, template, docs)."""
     slim = docs.filter("text IS NOT NULL").select("doc_id", "text")
 
