@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -49,6 +52,26 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Say what a Python worker works on now; what other operators left in its memory is dropped.
+
+    Spark reuses workers from stage to stage, so a stage's caches would otherwise add up with the next one's.
+    """
+    others = [n for n in _HELD if n != name]
+    for n in others:
+        _HELD.pop(n)()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # hand freed memory back, where the C library can
+        except (OSError, AttributeError):
+            pass
+    _HELD.setdefault(name, clear or (lambda: None))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

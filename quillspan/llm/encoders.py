@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import claim
+
 _MADE: dict[tuple, "CachedEncoder"] = {}
 _CROWDED = re.compile(r"\s\s")
 
@@ -113,6 +115,7 @@ class CachedEncoder:
 def encoder(path: str, cap: int = 700_000) -> CachedEncoder:
     """One encoder for each file in a Python worker."""
     key = (path, cap)
+    claim(f"encoder {path}", lambda: _MADE.pop(key, None))
     if key not in _MADE:
         _MADE[key] = CachedEncoder(path, cap)
     return _MADE[key]

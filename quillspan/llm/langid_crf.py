@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import claim, crc_bucket
 
 CHUNK = 128
 
@@ -84,7 +84,7 @@ class CrfModel:
 class EmissionCache:
     """Emission scores of distinct chunks in a Python worker; emptied when over ``cap`` chunks."""
 
-    def __init__(self, model: CrfModel, cap: int = 400_000):
+    def __init__(self, model: CrfModel, cap: int = 250_000):
         self.model, self.cap = model, cap
         self.clear()
 
@@ -105,7 +105,8 @@ class EmissionCache:
                 self.table = np.concatenate((self.table, np.zeros((grow, self.table.shape[1]), dtype=np.float32)))
                 self.word = np.concatenate((self.word, np.zeros(grow, dtype=bool)))
             bare = [letters(c) for c in new]
-            self.table[first:last] = self.model.emissions(bare)
+            for s in range(0, len(bare), 20_000):  # bounds the memory of their features
+                self.table[first + s : first + s + 20_000][: len(bare) - s] = self.model.emissions(bare[s : s + 20_000])
             self.word[first:last] = [bool(b) for b in bare]
             self.row.update(zip(new, range(first, last)))
         rows = np.fromiter(map(self.row.__getitem__, chunks), dtype=np.int64, count=len(chunks))
@@ -280,6 +281,7 @@ _CACHES: dict[str, EmissionCache] = {}
 
 def label_texts(texts: list[str | None], model: CrfModel) -> Iterator[tuple[str, float, int, int]]:
     """(language, score, words, switches) of every text."""
+    claim("langid", _CACHES.clear)
     chunks, codes, counts = words_of(texts)
     if model.key not in _CACHES:
         _CACHES.clear()
@@ -318,8 +320,8 @@ def predict(docs: DataFrame, model: CrfModel | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, len(batch), 1000):
-                part = batch.slice(s, 1000)
+            for s in range(0, len(batch), 500):
+                part = batch.slice(s, 500)
                 lang, score, words, turns = zip(*label_texts(part["text"].to_pylist(), model))
                 cols = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(turns, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, "lang_pred", "score", "n_words", "n_switches"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, LongType
 
-from .common import materialize
+from .common import claim, materialize
 
 WILD = "<*>"
 _VARIABLE = re.compile(r"\d|@|://")
@@ -67,6 +67,7 @@ def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs:
     slim = docs.filter("text IS NOT NULL").select("doc_id", "text")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
         for batch in batches:
             digests, leaves, keys = [], [], []
             for text in batch["text"].to_pylist():
@@ -83,6 +84,7 @@ def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs:
     leaves = materialize(leaves, "line-leaves")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
         for batch in batches:
             out: list[tuple] = []
             for text in batch["text"].to_pylist():
@@ -124,6 +126,7 @@ def drop_boilerplate(docs: DataFrame, **options: float) -> DataFrame:
     names = docs.columns
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
         for batch in batches:
             texts, total, gone = [], [], []
             for text, hit in zip(batch["text"].to_pylist(), batch["__hit"].to_pylist()):
