@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import claim, drop_path, materialize, shuffle_width
 
 BLANK = "▁"
 NEVER = 2**31 - 1
@@ -133,23 +133,27 @@ def _constant(value: list, kind: str) -> Column:
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words whose characters are all in the vocabulary."""
+    """(word, n, ids) of distinct words (word, n) whose characters are all in the vocabulary.
+
+    Words are dealt once, before they are exploded: edges then stay with their word and are grouped where they are.
+    """
     t = piece_table(path)
     spark = words.sparkSession
+    words = words.repartition(8 * shuffle_width(spark), "word")
     pieces = spark.createDataFrame([(p, i) for p, i in t.words.items()], "piece string, id int")
     n = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(t.longest), n - F.col("s")))).alias("l"))
-    edges = spans.select("word", "s", (F.col("s") + F.col("l")).alias("e"), F.substring(F.col("word"), F.col("s") + 1, F.col("l")).alias("piece"))
-    found = edges.join(F.broadcast(pieces), "piece").select("word", F.struct("e", "s", "id").alias("edge"))
-    lattice = found.groupBy("word").agg(F.collect_list("edge").alias("edges"))
+    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(t.longest), n - F.col("s")))).alias("l"))
+    edges = spans.select("word", "n", "s", (F.col("s") + F.col("l")).alias("e"), F.substring(F.col("word"), F.col("s") + 1, F.col("l")).alias("piece"))
+    found = edges.join(F.broadcast(pieces), "piece").select("word", "n", F.struct("e", "s", "id").alias("edge"))
+    lattice = found.groupBy("word", "n").agg(F.collect_list("edge").alias("edges"))
     # edges by end position, so that a step looks at the few that matter
     rows, ints = "array<array<int>>", "array<int>"
     right_parent, right_time = _constant(t.right_parent, rows), _constant(t.right_time, rows)
     left_parent, left_time = _constant(t.left_parent, rows), _constant(t.left_time, rows)
     time, reached = _constant(t.time, ints), _constant(t.reached, ints)
     by_end = F.transform(F.sequence(F.lit(0), n), lambda i: F.filter("edges", lambda x: x["e"] == i))
-    lattice = lattice.select("word", F.when(n <= 64, by_end).alias("small"), "edges")
+    lattice = lattice.select("word", "n", F.when(n <= 64, by_end).alias("small"), "edges")
     window = t.longest
 
     def near(p: Column) -> Column:
@@ -176,14 +180,14 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 
     start = F.array(F.struct(F.lit(0).alias("e"), F.lit(0).alias("s"), F.lit(0).alias("id")))
     best = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, step)
-    walked = lattice.select("word", best.alias("best"))
+    walked = lattice.select("word", "n", best.alias("best"))
     state = F.struct(F.length("word").alias("at"), F.array().cast("array<int>").alias("ids"))
 
     def back(acc: Column, i: Column) -> Column:
         b = F.get(F.col("best"), acc["at"])
         return F.when(acc["at"] == 0, acc).otherwise(F.struct(b["s"].alias("at"), F.concat(acc["ids"], F.array(b["id"])).alias("ids")))
 
-    return walked.select("word", F.reverse(F.aggregate(F.sequence(F.lit(1), F.length("word")), state, back, lambda a: a["ids"])).alias("ids"))
+    return walked.select("word", "n", F.reverse(F.aggregate(F.sequence(F.lit(1), F.length("word")), state, back, lambda a: a["ids"])).alias("ids"))
 
 
 # ---- documents ------------------------------------------------------------------------------
@@ -228,6 +232,7 @@ def encode(docs: DataFrame, model: Callable[[], str], dictionary: int = 200_000)
     kept = kept.withColumn("row", F.xxhash64("doc_id", "text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sentencepiece")
         path = model()
         known = piece_table(path).known
         counts: dict[str, int] = {}
@@ -243,11 +248,13 @@ def encode(docs: DataFrame, model: Callable[[], str], dictionary: int = 200_000)
             yield pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
     words = materialize(kept.select("text").mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "sp-words")
-    coded = materialize(encode_words(words, here).join(words, "word").select("word", "ids", "n"), "sp-coded")
+    coded = materialize(encode_words(words, here), "sp-coded")
+    drop_path(spark, words.scratch_path)
     top = coded.orderBy(F.desc("n"), "word").limit(dictionary)
     shared = spark.sparkContext.broadcast({r.word: tuple(r.ids) for r in top.select("word", "ids").toLocalIterator()})  # at most `dictionary` words
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sentencepiece")
         path = model()
         known, have = piece_table(path).known, shared.value
         for batch in batches:
@@ -263,6 +270,7 @@ def encode(docs: DataFrame, model: Callable[[], str], dictionary: int = 200_000)
     both = kept.join(joined, "row", "left")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sentencepiece")
         path = model()
         have = shared.value
         for batch in batches:
