@@ -37,7 +37,8 @@ def build_index(passages: DataFrame, fields: tuple[str, ...] = ("text",)) -> Ind
     docs = docs.withColumn("size", F.size("t"))
     postings = docs.select("field", "pos", "size", F.explode("t").alias("term")).groupBy("field", "term", "pos").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
     totals = docs.groupBy("field").agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"))
-    df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    # document frequencies come from each document's distinct terms, so they combine before the shuffle
+    df = docs.select("field", F.explode(F.array_distinct("t")).alias("term")).groupBy("field", "term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(totals), "field").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("field").agg(F.avg("raw").alias("mean_idf"))
     terms = raw.join(F.broadcast(mean), "field").select("field", "term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -53,8 +54,10 @@ def bm25_scores(index: Index, queries: DataFrame, weights: dict[str, float] | No
     per_field = F.col("weights") if "weights" in queries.columns else F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))])
     asked = queries.select("query_id", per_field.alias("w"), F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"), F.first("w").alias("w"))
     asked = asked.select("query_id", "term", "times", F.explode("w").alias("field", "weight")).filter("weight <> 0")
-    known = asked.join(index.terms.select("field", "term", "idf"), ["field", "term"])  # few terms: they filter the postings
-    hits = index.postings.join(known, ["field", "term"]).join(F.broadcast(index.totals), "field")
+    known = asked.join(index.terms.select("field", "term", "idf"), ["field", "term"])
+    # the semi-join on the grouping keys moves below the postings' aggregation: only asked terms are counted
+    postings = index.postings.join(asked.select("field", "term").distinct(), ["field", "term"], "left_semi")
+    hits = postings.join(known, ["field", "term"]).join(F.broadcast(index.totals), "field")
     part = F.col("weight") * F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
     return hits.groupBy("query_id", "pos").agg(F.sum(part).alias("score"))
 
