@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ class CachedEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.row: dict[str, int] = {}
+        self.row: dict[str, dict[str, int]] = {"": {}, " ": {}}  # by what leads the chunk
+        self.count = 0
         self.ids = np.empty(1 << 16, dtype=np.uint32)
         self.used = 0
         self.off = np.empty(1 << 14, dtype=np.int64)
@@ -46,28 +48,32 @@ class CachedEncoder:
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate((a, np.empty(max(n - len(a), len(a)), dtype=a.dtype)))
 
-    def _rows(self, chunks: list[str]) -> np.ndarray:
-        row = self.row
-        new = [c for c in chunks if c not in row]
-        if new:
-            first = len(row)
-            got = [e.ids for e in self.lib.encode_batch_fast(new, add_special_tokens=False)]
+    def _rows(self, chunks: list[str], lead: str) -> np.ndarray:
+        """Places of distinct chunks, each led by ``lead``; chunks not seen before are encoded."""
+        row = self.row[lead]
+        out = np.fromiter(map(row.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            first = self.count
+            fresh = [chunks[i] for i in new.tolist()]
+            got = [e.ids for e in self.lib.encode_batch_fast([lead + c for c in fresh] if lead else fresh, add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
             total = int(sizes.sum())
             self.ids = self._room(self.ids, self.used + total)
-            self.ids[self.used : self.used + total] = np.fromiter((i for g in got for i in g), dtype=np.uint32, count=total)
+            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=total)
             self.off = self._room(self.off, first + len(new))
             self.len = self._room(self.len, first + len(new))
             self.off[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.len[first : first + len(new)] = sizes
             self.used += total
-            row.update(zip(new, range(first, first + len(new))))
-        return np.fromiter(map(row.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+            self.count += len(new)
+            row.update(zip(fresh, range(first, self.count)))
+            out[new] = np.arange(first, self.count)
+        return out
 
     def _codes(self, flat: pa.Array, lead: str) -> np.ndarray:
         coded = flat.dictionary_encode()
-        rows = self._rows([lead + c for c in coded.dictionary.to_pylist()])
-        return rows[coded.indices.to_numpy(zero_copy_only=False)]
+        return self._rows(coded.dictionary.to_pylist(), lead)[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of every text; null counts as empty."""
@@ -90,7 +96,7 @@ class CachedEncoder:
         return out
 
     def _group(self, texts: list[str], group: list[int], out: list) -> None:
-        if len(self.row) > self.cap:
+        if self.count > self.cap:
             self._clear()
         cut = pc.split_pattern(pa.array([texts[i] for i in group], type=pa.large_string()), " ")
         counts = pc.list_value_length(cut).to_numpy().astype(np.int64)
