@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain, repeat
@@ -33,6 +34,12 @@ class CachedEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.drops_space = not len(self.lib.encode(" ", add_special_tokens=False).ids)
+        made_of = json.loads(self.lib.to_str())
+        self.token_bytes = None
+        if (made_of["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not made_of["normalizer"]:
+            by_id = self.lib.get_vocab(with_added_tokens=True)
+            self.token_bytes = np.zeros(max(by_id.values()) + 1, dtype=np.int64)
+            self.token_bytes[list(by_id.values())] = [len(t) for t in by_id]  # one letter stands for one byte
         self.cap = cap
         self._clear()
 
@@ -48,6 +55,24 @@ class CachedEncoder:
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate((a, np.empty(max(n - len(a), len(a)), dtype=a.dtype)))
 
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, end to end, and how many each has.
+
+        Where tokens are bytes, chunks that start with a space are encoded as one text, which the tokenizer cuts at
+        the same spaces; the bytes that each token stands for then tell where a chunk's ids end.
+        """
+        if self.token_bytes is not None and all(c[0] == " " and not c[-1].isspace() for c in chunks if c):
+            ids = self.lib.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids
+            flat = np.fromiter(ids, dtype=np.uint32, count=len(ids))
+            ends = np.cumsum(np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in chunks), dtype=np.int64, count=len(chunks)))
+            reached = np.concatenate(([0], np.cumsum(self.token_bytes[flat])))
+            at = np.searchsorted(reached, np.concatenate(([0], ends)))
+            if reached[-1] == ends[-1] and (reached[at[1:]] == ends).all():
+                return flat, np.diff(at)
+        got = [e.ids for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        return np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(sizes.sum())), sizes
+
     def _rows(self, chunks: list[str], lead: str) -> np.ndarray:
         """Places of distinct chunks, each led by ``lead``; chunks not seen before are encoded."""
         row = self.row[lead]
@@ -56,11 +81,10 @@ class CachedEncoder:
         if len(new):
             first = self.count
             fresh = [chunks[i] for i in new.tolist()]
-            got = [e.ids for e in self.lib.encode_batch_fast([lead + c for c in fresh] if lead else fresh, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            total = int(sizes.sum())
+            flat, sizes = self._encode([lead + c for c in fresh])
+            total = len(flat)
             self.ids = self._room(self.ids, self.used + total)
-            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=total)
+            self.ids[self.used : self.used + total] = flat
             self.off = self._room(self.off, first + len(new))
             self.len = self._room(self.len, first + len(new))
             self.off[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
@@ -73,7 +97,7 @@ class CachedEncoder:
 
     def _codes(self, flat: pa.Array, lead: str) -> np.ndarray:
         coded = flat.dictionary_encode()
-        return self._rows(coded.dictionary.to_pylist(), lead)[coded.indices.to_numpy(zero_copy_only=False)]
+        return self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), lead)[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of every text; null counts as empty."""
