@@ -14,6 +14,9 @@
    Buckets over ``split_over`` members are dealt to parts, whose medoids (all of them) meet in a second bucket.
 4. Candidate links are verified by exact multiset overlap, and connected components of the links are
    found by alternating large-star and small-star steps, written to the shared folder each round.
+5. A bucket that these components leave in one class is settled. In the others every member outside the
+   largest class meets all members of other classes, and those pairs are verified too; so a likeness to
+   a medoid that is only estimated closes nobody, and no pair of a bucket is left out.
 
 Defined cases: null texts are empty; equal texts (empty ones too) share a class; a text without words has
 no near copies; a row without doc_id is its own class with a null id; an empty table gives no rows; the
@@ -140,11 +143,7 @@ def bucket_links(ids: list[int], sig: np.ndarray, floor: float, near: float) ->
         open_[pivot] = False
         like = est >= floor
         like[pivot] = False
-        # all that were open, and of the rest the likeliest few: one is enough to join their classes
-        others = np.flatnonzero(like & ~open_)
-        if medoids and len(others) > 4:
-            others = others[np.argsort(-est[others], kind="stable")[:4]]
-        links += [(ids[pivot], ids[j]) for j in (*others.tolist(), *np.flatnonzero(like & open_).tolist())]
+        links += [(ids[pivot], ids[j]) for j in np.flatnonzero(like & open_).tolist()]
         open_ &= est < near
         medoids.append(pivot)
     return links, medoids
@@ -184,15 +183,18 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "key": pa.array(key, pa.int64()), "sig": pa.array(sig, pa.binary())})
 
 
-def candidate_links(signed: DataFrame, floor: float, near: float, split_over: int) -> DataFrame:
-    """Distinct pairs a < b of documents that a bucket links; ``signed`` has (doc_id, bands, sig)."""
-    spark = signed.sparkSession
-    width = shuffle_width(spark)
+def bucket_rows(signed: DataFrame) -> DataFrame:
+    """(key, count, doc_id, sig) of the members of all buckets of two or more; ``signed`` has (doc_id, bands, sig)."""
     keyed = signed.select("doc_id", F.explode("bands").alias("key"))
     shared = materialize(keyed.groupBy("key").count().filter("count > 1"), "bag-keys")
-    met = keyed.join(shared, "key")
+    return keyed.join(shared, "key").join(signed.select("doc_id", "sig"), "doc_id").select("key", "count", "doc_id", "sig")
+
+
+def candidate_links(met: DataFrame, floor: float, near: float, split_over: int) -> DataFrame:
+    """Distinct pairs a < b of a member and a medoid of the same bucket; ``met`` is from ``bucket_rows``."""
+    width = shuffle_width(met.sparkSession)
     part = F.when(F.col("count") > split_over, F.pmod(F.xxhash64("doc_id"), F.ceil(2 * F.col("count") / split_over))).otherwise(-1)
-    rows = met.join(signed.select("doc_id", "sig"), "doc_id").select("key", part.cast("long").alias("part"), "doc_id", "sig")
+    rows = met.select("key", part.cast("long").alias("part"), "doc_id", "sig")
     schema = "a long, b long, key long, sig binary"
     stream = _bucket_stream(floor, near)
     first = materialize(rows.repartition(width, "key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(stream, schema), "bag-links")
@@ -201,6 +203,65 @@ def candidate_links(signed: DataFrame, floor: float, near: float, split_over: in
     return first.unionByName(second).filter("b IS NOT NULL AND a <> b").select("a", "b").distinct()
 
 
+def cross_links(ids: np.ndarray, sig: np.ndarray, root: np.ndarray, minor: np.ndarray, guest: np.ndarray, floor: float) -> list[tuple[int, int]]:
+    """Pairs of different classes that are likely enough, one of them ``minor`` (not of the largest class), one at home (no ``guest``)."""
+    home = np.flatnonzero(~guest)
+    links = []
+    for i in np.flatnonzero(minor).tolist():
+        others = home[root[home] != root[i]]
+        links += [(int(ids[i]), int(ids[j])) for j in others[likeness(sig[others], sig[i]) >= floor].tolist()]
+    return links
+
+
+def _cross_stream(floor: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, out = None, [], []
+
+        def close() -> None:
+            if len(rows) > 1:
+                ids, sigs, root, minor, guest = zip(*rows)
+                sig = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(ids), -1)
+                out.extend((min(p), max(p)) for p in cross_links(np.array(ids), sig, np.array(root), np.array(minor), np.array(guest), floor))
+
+        def pairs() -> pa.RecordBatch:
+            a, b = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        for batch in batches:
+            for key, part, *row in zip(*(batch[c].to_pylist() for c in ("key", "part", "doc_id", "sig", "root", "minor", "guest"))):
+                if (key, part) != at:
+                    close()
+                    at, rows = (key, part), []
+                    if len(out) > 20_000:
+                        yield pairs()
+                if not rows or rows[-1][0] != row[0]:
+                    rows.append(row)
+        close()
+        if out:
+            yield pairs()
+
+    return run
+
+
+def remaining_links(met: DataFrame, roots: DataFrame, floor: float, split_over: int) -> DataFrame:
+    """Distinct pairs a < b of the same bucket whose classes, the ``roots`` of the links so far, differ.
+
+    Large buckets are dealt to parts; the members outside the largest class visit all parts, so each pair meets.
+    """
+    classed = met.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "sig", F.coalesce("root", "doc_id").alias("root"))
+    sizes = classed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.max(F.struct("n", "root")).alias("most")).filter("classes > 1")
+    mixed = materialize(mixed.select("key", F.col("most.root").alias("main"), F.ceil(2 * F.col("total") / split_over).alias("parts"), "total"), "bag-mixed")
+    parts = F.when(F.col("total") > split_over, F.col("parts")).otherwise(1)
+    rows = classed.join(mixed, "key").withColumns({"parts": parts, "minor": F.col("root") != F.col("main")}).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    names = ("key", "part", "doc_id", "sig", "root", "minor", "guest")
+    visits = rows.filter("minor AND parts > 1").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("to <> part")
+    all_ = rows.withColumn("guest", F.lit(False)).select(*names).unionByName(visits.withColumns({"part": F.col("to"), "guest": F.lit(True)}).select(*names))
+    dealt = all_.repartition(shuffle_width(met.sparkSession), "key", "part").sortWithinPartitions("key", "part", "doc_id")
+    return dealt.mapInArrow(_cross_stream(floor), "a long, b long").filter("a <> b").distinct()
+
+
 def verified_links(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose bags overlap by ``threshold`` or more: (a, b, likeness)."""
     texts = docs.select("doc_id", "text")
@@ -249,6 +310,17 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def linked_roots(signed: DataFrame, docs: DataFrame, threshold: float, floor: float, split_over: int) -> DataFrame:
+    """(node, root) of the documents that verified links join; ``signed`` has (doc_id, bands, sig), ``docs`` the texts."""
+    met = materialize(bucket_rows(signed), "bag-met")
+    pairs = materialize(candidate_links(met, floor, threshold, split_over), "bag-pairs")
+    links = materialize(verified_links(pairs, docs, threshold), "bag-verified")
+    roots = components(links)
+    rest = materialize(remaining_links(met, roots, floor, split_over).join(pairs, ["a", "b"], "left_anti"), "bag-pairs")
+    more = materialize(verified_links(rest, docs, threshold), "bag-verified")
+    return roots if more.isEmpty() else components(links.unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, floor: float | None = None, split_over: int = 4096) -> DataFrame:
     """(doc_id, class_id, copy_of) of every document.
 
@@ -262,9 +334,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, floor: float | None
     copies = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1").drop("n"), "bag-copies")
     members = materialize(signed.join(copies, "digest", "left").withColumn("copy_of", F.coalesce("copy_of", "doc_id")), "bag-members")
     drop_path(docs.sparkSession, signed.scratch_path)
-    pairs = materialize(candidate_links(members.filter("doc_id = copy_of").select("doc_id", "bands", "sig"), floor, threshold, split_over), "bag-pairs")
-    links = verified_links(pairs, known, threshold)
-    roots = components(links)
+    roots = linked_roots(members.filter("doc_id = copy_of").select("doc_id", "bands", "sig"), known, threshold, floor, split_over)
     out = members.select("doc_id", "copy_of").join(roots, F.col("copy_of") == F.col("node"), "left").select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of")
     unknown = slim.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"))
     return out.unionByName(unknown)

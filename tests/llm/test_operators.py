@@ -259,6 +259,26 @@ def test_near_duplicates_equal_brute_force(spark, docs, split_over):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(rows) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("split_over", [4096, 20])
+def test_near_duplicates_link_twins_at_the_edge_of_a_family(spark, split_over):
+    """Pairs that are near each other, but only seem near the family whose buckets they share."""
+    rng = random.Random(4)
+    base, rows = prose(rng, 240).split(), []
+    for i in range(60):
+        rows.append((2 * i, " ".join([*base[:-1], f"end{i}"])))
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(0, 235, 5), 6):
+            w[k] = f"edge{i}"
+        rows += [(1000 + 2 * i, " ".join(w)), (1001 + 2 * i, " ".join([*w, "more"]))]
+    # one band key for all: the worst bucket
+    sig = (bagminhash.signatures([bagminhash.bag(t) for _, t in rows]) & 255).astype(np.uint8)
+    signed = spark.createDataFrame([(i, [7], bytearray(x.tobytes())) for (i, _), x in zip(rows, sig)], "doc_id long, bands array<long>, sig binary")
+    roots = bagminhash.linked_roots(signed, spark.createDataFrame(rows, "doc_id long, text string"), 0.8, 0.675, split_over)
+    got = {i: i for i, _ in rows} | {r.node: r.root for r in roots.collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) > 10
+
+
 def test_near_duplicates_awkward_rows(spark, docs):
     assert bagminhash.near_duplicates(nothing(spark)).count() == 0
     assert bagminhash.near_duplicates(with_null_id(spark)).count() == 2
