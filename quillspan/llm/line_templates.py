@@ -2,8 +2,8 @@
 
 A line's path in the tree has a fixed depth: its token count, then its leading tokens, in which fields
 that hold a digit, an ``@`` or a URL are wildcards already. A leaf whose lines stand in enough documents
-generalises the rest: a token that stands at its place in few of the leaf's documents is a variable
-field. All counts are sums over the whole corpus, so the templates do not depend on the order of
+generalises the rest: a token that stands at its place in few of the leaf's documents (fewer than
+``min_docs``, or under ``common_share`` of them) is a variable field. All counts are sums over the whole corpus, so the templates do not depend on the order of
 lines, and no leaf has to fit a task. A line keeps at least ``constant`` of its tokens as
 constants, or it is a template by itself.
 
@@ -62,7 +62,7 @@ def parse(text: str, depth: int, min_tokens: int) -> Iterator[tuple[int, int, in
             yield _hash(f"{len(tokens)} {' '.join(tokens[:depth])}"), _hash(joined[i]), _hash(around), joined[i]
 
 
-def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs: int = 10, constant: float = CONSTANT, variety: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs: int = 10, constant: float = CONSTANT, variety: float = 0.5, common_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(lines of the documents, keys of the lines whose template recurs): (doc_id, key), (key, template, docs)."""
     slim = docs.filter("text IS NOT NULL").select("doc_id", "text")
 
@@ -100,7 +100,10 @@ def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs:
     found = materialize(spelled.groupBy("leaf", "key", "digest").agg(F.min("around").alias("around"), F.first("line").alias("line")), "line-found")
     distinct = materialize(found.groupBy("leaf", "key").agg(F.first("line").alias("line"), F.count("*").alias("n")), "line-distinct")
     fields = distinct.select("leaf", "key", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    common = fields.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("common"))
+    # a share of the leaf, or a field's frequent values would become constants as the corpus grows
+    sizes = distinct.groupBy("leaf").agg(F.sum("n").alias("size"))
+    common = fields.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).join(sizes, "leaf")
+    common = common.filter(F.col("n") >= common_share * F.col("size")).select("leaf", "place", "token", F.lit(True).alias("common"))
     common = materialize(common, "line-fields")
     shown = F.when(F.col("common") & (F.col("token") != WILD), F.col("token")).otherwise(WILD)
     spelled_out = fields.join(common, ["leaf", "place", "token"], "left").select("leaf", "key", "place", F.coalesce(shown, F.lit(WILD)).alias("shown"))

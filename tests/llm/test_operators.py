@@ -155,6 +155,15 @@ def test_line_templates_drop_what_recurs(spark):
     assert line_templates.drop_boilerplate(nothing(spark)).count() == 0
 
 
+def test_line_templates_do_not_split_by_frequent_values(spark):
+    rng, rows = random.Random(6), []
+    for i in range(400):
+        line = f"Read the latest from city{chr(97 + i % 20)} by name{chr(97 + i // 20)} every single day"
+        rows.append((i, "\n".join((prose(rng, 12), line, prose(rng, 9)))))
+    got = line_templates.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 400 and all(r.n_dropped == 1 and "Read the latest" not in r.text for r in got)
+
+
 # ---- 4 --------------------------------------------------------------------------------------
 
 
