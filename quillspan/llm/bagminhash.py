@@ -1,39 +1,44 @@
 """BagMinHash near-duplicate detection on multisets of five-word shingles.
 
-1. One pass over the texts gives each document an exact digest, a BagMinHash signature and its band keys.
+1. One pass over the texts gives each document a digest (its node), a BagMinHash signature and its band keys.
    Weights (shingle counts) are discretised at the integers and covered by dyadic weight intervals
    [0,1), [1,2), [2,4), ...: every (shingle, interval) is a Poisson process in time whose points carry a
    signature component and a place in the interval; a point counts if its place lies below the weight.
    A component's value is its first point, so two documents agree in it with a probability that equals
    their weighted Jaccard likeness. Points are drawn in time order, for a batch of documents at once,
    until no later point can change a signature.
-2. Exact copies collapse to the copy with the smallest id before anything is paired.
+2. Exact copies are one node before anything is paired.
 3. Texts that share a band key meet in a bucket; buckets stream through sorted partitions. A bucket's
    medoid (the member nearest to its component-wise mode) is compared with all members, then the medoid
    of those not near it, and so on: members are linked to medoids, never to one another in all pairs.
-   Buckets over ``split_over`` members are dealt to parts, whose medoids (all of them) meet in a second bucket.
-4. Candidate links are verified by exact multiset overlap, and connected components of the links are
+   Buckets over ``split_over`` members are dealt to parts, whose first medoids meet in a second bucket.
+4. These links are verified by exact multiset overlap, and connected components of them are
    found by alternating large-star and small-star steps, written to the shared folder each round.
 5. A bucket that these components leave in one class is settled. In the others every member outside the
-   largest class meets all members of other classes, and those pairs are verified too; so a likeness to
-   a medoid that is only estimated closes nobody, and no pair of a bucket is left out.
+   largest class meets all members of other classes, the likeliest first; members that have a likely partner
+   bring their shingles along and are verified there and then, until the bucket's classes are joined or all
+   their likely pairs are refuted. So a likeness to a medoid that is only estimated closes nobody, no pair of a
+   bucket is left out, and what is written is links that join classes, not pairs.
+
+Only pairs that share no band, or whose estimated likeness is under the floor (3.5 standard errors below the
+threshold), are not looked at.
 
 Defined cases: null texts are empty; equal texts (empty ones too) share a class; a text without words has
-no near copies; a row without doc_id is its own class with a null id; an empty table gives no rows; the
-class id is the smallest doc_id of the class; other columns of the input are ignored.
+no near copies; rows that share an id but not their text are documents of their own; a row without doc_id is its
+own class with a null id; an empty table gives no rows; the class id is the smallest doc_id of the class; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, drop_path, materialize, mix64, shingle_hashes, shuffle_width
+from .common import claim, drop_path, materialize, mix64, shingle_hashes, shuffle_width, text_slices
 
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
@@ -105,24 +110,29 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def node_of(text: Column) -> Column:
+    """16 bytes of the text's SHA-256; a null text counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
 def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("bagminhash")
-    for batch in batches:
-        for s in range(0, len(batch), 256):
-            part = batch.slice(s, 256)
-            texts = [t or "" for t in part["text"].to_pylist()]
-            bags = [bag(t) for t in texts]
-            sig = signatures(bags)
-            keys = band_keys(sig)
-            full = [len(b[0]) > 0 for b in bags]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": part["doc_id"],
-                    "digest": pa.array([hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts], pa.binary()),
-                    "bands": pa.array([k.tolist() if f else [] for k, f in zip(keys, full)], pa.list_(pa.int64())),
-                    "sig": pa.array([row.tobytes() for row in (sig & 255).astype(np.uint8)], pa.binary()),
-                }
-            )
+    for batch in text_slices(batches, most=1_000_000):
+        bags = [bag(t) for t in batch["text"].to_pylist()]
+        sig = signatures(bags)
+        keys = band_keys(sig)
+        full = np.array([len(b[0]) > 0 for b in bags])
+        ends = np.concatenate(([0], np.cumsum(np.where(full, BANDS, 0)))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["doc_id"],
+                batch["node"],
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel())),
+                pa.array([row.tobytes() for row in (sig & 255).astype(np.uint8)], pa.binary()),
+                pa.array([len(b[0]) for b in bags], pa.int64()),
+            ],
+            names=["doc_id", "node", "bands", "sig", "size"],
+        )
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,7 +140,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def bucket_links(ids: list[int], sig: np.ndarray, floor: float, near: float) -> tuple[list[tuple[int, int]], list[int]]:
+def bucket_links(ids: list[bytes], sig: np.ndarray, floor: float, near: float) -> tuple[list[tuple[bytes, bytes]], list[int]]:
     """Links of a bucket's members to its medoids, and the indexes of the medoids."""
     links, medoids = [], []
     open_ = np.ones(len(ids), dtype=bool)
@@ -149,8 +159,13 @@ def bucket_links(ids: list[int], sig: np.ndarray, floor: float, near: float) ->
     return links, medoids
 
 
+#: Medoids of a part that meet those of the other parts of their bucket.
+HEADS = 8
+
+
 def _bucket_stream(floor: float, near: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bagminhash")
         at, ids, sigs, out = None, [], [], []
 
         def close() -> None:
@@ -158,167 +173,268 @@ def _bucket_stream(floor: float, near: float):
                 links, medoids = bucket_links(ids, np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(ids), -1), floor, near)
                 out.extend((min(p), max(p), None, None) for p in links)
                 if at[1] >= 0:
-                    out.extend((ids[m], None, at[0], sigs[m]) for m in medoids)
+                    out.extend((ids[m], None, at[0], sigs[m]) for m in medoids[:HEADS])
+
+        def links() -> pa.RecordBatch:
+            cols = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("a", "b", "key", "sig"), cols, (pa.binary(), pa.binary(), pa.int64(), pa.binary()))})
 
         for batch in batches:
-            for key, part, doc_id, sig in zip(*(batch[c].to_pylist() for c in ("key", "part", "doc_id", "sig"))):
+            for key, part, node, sig in zip(*(batch[c].to_pylist() for c in ("key", "part", "node", "sig"))):
                 if (key, part) != at:
                     close()
                     at, ids, sigs = (key, part), [], []
-                if not ids or ids[-1] != doc_id:
-                    ids.append(doc_id)
+                    if len(out) > 20_000:
+                        yield links()
+                if not ids or ids[-1] != node:
+                    ids.append(node)
                     sigs.append(sig)
-            if len(out) > 20_000:
-                yield _links(out)
-                out.clear()
         close()
         if out:
-            yield _links(out)
+            yield links()
 
     return run
 
 
-def _links(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, key, sig = zip(*rows)
-    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "key": pa.array(key, pa.int64()), "sig": pa.array(sig, pa.binary())})
-
-
 def bucket_rows(signed: DataFrame) -> DataFrame:
-    """(key, count, doc_id, sig) of the members of all buckets of two or more; ``signed`` has (doc_id, bands, sig)."""
-    keyed = signed.select("doc_id", F.explode("bands").alias("key"))
-    shared = materialize(keyed.groupBy("key").count().filter("count > 1"), "bag-keys")
-    return keyed.join(shared, "key").join(signed.select("doc_id", "sig"), "doc_id").select("key", "count", "doc_id", "sig")
+    """(key, count, node, sig, size) of the members of all buckets of two or more; ``signed`` has (node, bands, sig, size)."""
+    keyed = signed.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").count().filter("count > 1")
+    return keyed.join(shared, "key").join(signed.select("node", "sig", "size"), "node").select("key", "count", "node", "sig", "size")
 
 
 def candidate_links(met: DataFrame, floor: float, near: float, split_over: int) -> DataFrame:
     """Distinct pairs a < b of a member and a medoid of the same bucket; ``met`` is from ``bucket_rows``."""
     width = shuffle_width(met.sparkSession)
-    part = F.when(F.col("count") > split_over, F.pmod(F.xxhash64("doc_id"), F.ceil(2 * F.col("count") / split_over))).otherwise(-1)
-    rows = met.select("key", part.cast("long").alias("part"), "doc_id", "sig")
-    schema = "a long, b long, key long, sig binary"
+    part = F.when(F.col("count") > split_over, F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("count") / split_over))).otherwise(-1)
+    rows = met.select("key", part.cast("long").alias("part"), "node", "sig")
+    schema = "a binary, b binary, key long, sig binary"
     stream = _bucket_stream(floor, near)
-    first = materialize(rows.repartition(width, "key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(stream, schema), "bag-links")
-    heads = first.filter("b IS NULL").select("key", F.lit(-1).cast("long").alias("part"), F.col("a").alias("doc_id"), "sig")
-    second = heads.repartition(width, "key").sortWithinPartitions("key", "part", "doc_id").mapInArrow(stream, schema)
+    first = materialize(rows.repartition(width, "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(stream, schema), "bag-links")
+    heads = first.filter("b IS NULL").select("key", F.lit(-1).cast("long").alias("part"), F.col("a").alias("node"), "sig")
+    second = heads.repartition(width, "key").sortWithinPartitions("key", "part", "node").mapInArrow(stream, schema)
     return first.unionByName(second).filter("b IS NOT NULL AND a <> b").select("a", "b").distinct()
 
 
-def cross_links(ids: np.ndarray, sig: np.ndarray, root: np.ndarray, minor: np.ndarray, guest: np.ndarray, floor: float) -> list[tuple[int, int]]:
-    """Pairs of different classes that are likely enough, one of them ``minor`` (not of the largest class), one at home (no ``guest``)."""
-    home = np.flatnonzero(~guest)
-    links = []
-    for i in np.flatnonzero(minor).tolist():
-        others = home[root[home] != root[i]]
-        links += [(int(ids[i]), int(ids[j])) for j in others[likeness(sig[others], sig[i]) >= floor].tolist()]
-    return links
+def dump_bag(b: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return b[0].astype("<u8").tobytes() + b[1].astype("<u4").tobytes()
+
+
+def load_bag(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 12
+    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n)
 
 
-def _cross_stream(floor: float):
+#: Nodes up to which those that need their shingles are sent to every executor (16 bytes each).
+BROADCAST_NODES = 500_000
+
+
+def bags_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, bag) of the given nodes; ``docs`` has (node, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, out = None, [], []
+        claim("bagminhash")
+        for batch in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([dump_bag(bag(t)) for t in batch["text"].to_pylist()], pa.binary())], names=["node", "bag"])
 
-        def close() -> None:
-            if len(rows) > 1:
-                ids, sigs, root, minor, guest = zip(*rows)
-                sig = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(ids), -1)
-                out.extend((min(p), max(p)) for p in cross_links(np.array(ids), sig, np.array(root), np.array(minor), np.array(guest), floor))
+    wanted = materialize(nodes.distinct(), "bag-wanted")
+    hint = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("merge")
+    return materialize(docs.join(hint, "node", "left_semi").mapInArrow(run, "node binary, bag binary"), "bag-bags")
 
-        def pairs() -> pa.RecordBatch:
-            a, b = zip(*out)
-            out.clear()
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+def verified_links(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (a, b), those whose bags overlap by ``threshold`` or more."""
+    one = bags.groupBy("node").agg(F.first("bag").alias("bag"))  # copies of a text are one node
+    left = pairs.join(one.withColumnsRenamed({"node": "a", "bag": "bag_a"}), "a")
+    both = left.join(one.withColumnsRenamed({"node": "b", "bag": "bag_b"}), "b").select("a", "b", "bag_a", "bag_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bagminhash")
         for batch in batches:
-            for key, part, *row in zip(*(batch[c].to_pylist() for c in ("key", "part", "doc_id", "sig", "root", "minor", "guest"))):
-                if (key, part) != at:
-                    close()
-                    at, rows = (key, part), []
-                    if len(out) > 20_000:
-                        yield pairs()
-                if not rows or rows[-1][0] != row[0]:
-                    rows.append(row)
-        close()
-        if out:
-            yield pairs()
+            good = pa.array([overlap(load_bag(x.as_py()), load_bag(y.as_py())) >= threshold for x, y in zip(batch["bag_a"], batch["bag_b"])], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
 
-    return run
+    return both.mapInArrow(run, "a binary, b binary")
 
 
-def remaining_links(met: DataFrame, roots: DataFrame, floor: float, split_over: int) -> DataFrame:
-    """Distinct pairs a < b of the same bucket whose classes, the ``roots`` of the links so far, differ.
+# ---- buckets that still hold several classes ---------------------------------------------------
 
-    Large buckets are dealt to parts; the members outside the largest class visit all parts, so each pair meets.
+
+def likely_pairs(sig: np.ndarray, root: list[bytes], minor: np.ndarray, guest: np.ndarray, floor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, members j of other classes that may be near it, their likeness) for each ``minor`` i.
+
+    A ``guest`` is a minor of another part of the bucket: it meets those who are at home here.
     """
-    classed = met.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "sig", F.coalesce("root", "doc_id").alias("root"))
-    sizes = classed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.max(F.struct("n", "root")).alias("most")).filter("classes > 1")
-    mixed = materialize(mixed.select("key", F.col("most.root").alias("main"), F.ceil(2 * F.col("total") / split_over).alias("parts"), "total"), "bag-mixed")
-    parts = F.when(F.col("total") > split_over, F.col("parts")).otherwise(1)
-    rows = classed.join(mixed, "key").withColumns({"parts": parts, "minor": F.col("root") != F.col("main")}).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
-    names = ("key", "part", "doc_id", "sig", "root", "minor", "guest")
-    visits = rows.filter("minor AND parts > 1").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("to <> part")
-    all_ = rows.withColumn("guest", F.lit(False)).select(*names).unionByName(visits.withColumns({"part": F.col("to"), "guest": F.lit(True)}).select(*names))
-    dealt = all_.repartition(shuffle_width(met.sparkSession), "key", "part").sortWithinPartitions("key", "part", "doc_id")
-    return dealt.mapInArrow(_cross_stream(floor), "a long, b long").filter("a <> b").distinct()
-
-
-def verified_links(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), those whose bags overlap by ``threshold`` or more: (a, b, likeness)."""
-    texts = docs.select("doc_id", "text")
-    left = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    both = left.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    _, code = np.unique(np.array(root, dtype=object), return_inverse=True)
+    home = np.flatnonzero(~guest)
+    for i in np.flatnonzero(minor).tolist():
+        others = home[code[home] != code[i]]
+        est = likeness(sig[others], sig[i])
+        near = est >= floor
+        if near.any():
+            yield i, others[near], est[near]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple[int, int], list[list]]]:
+    """Rows of one (key, part) at a time, each node once, from batches in that order."""
+    at, rows = None, []
+    for batch in batches:
+        for key, part, *row in zip(*(batch[c].to_pylist() for c in ("key", "part", *columns))):
+            if (key, part) != at:
+                if rows:
+                    yield at, rows
+                at, rows = (key, part), []
+            if not rows or rows[-1][0] != row[0]:
+                rows.append(row)
+    if rows:
+        yield at, rows
+
+
+_MEMBER = ["node", "sig", "root", "minor", "guest"]
+_MEMBER_SCHEMA = "key long, part long, node binary, sig binary, root binary, minor boolean, guest boolean"
+
+
+def _arrays(rows: list[list]) -> tuple:
+    node, sig, root, minor, guest, *more = zip(*rows)
+    return node, np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(rows), -1), list(root), np.array(minor), np.array(guest), *more
+
+
+def _involved(floor: float):
+    """Members of a bucket that have a likely partner in another class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bagminhash")
-        kept: dict[str, tuple] = {}
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_())
+        for (key, part), rows in _groups(batches, _MEMBER):
+            _, sig, root, minor, guest = _arrays(rows)
+            hit = np.zeros(len(rows), dtype=bool)
+            for i, others, _ in likely_pairs(sig, root, minor, guest, floor):
+                hit[i] = True
+                hit[others] = True
+            if hit.any():
+                kept = [(key, part, *rows[i]) for i in np.flatnonzero(hit).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), kinds)], names=["key", "part", *_MEMBER])
 
-        def of(text: str | None) -> tuple:
-            got = kept.get(text)
-            if got is None:
-                if len(kept) > 64:
-                    kept.clear()
-                got = kept[text] = bag(text)
-            return got
+    return run
 
-        for batch in batches:
-            score = [overlap(of(x), of(y)) for x, y in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(score, pa.float64())], names=["a", "b", "likeness"])
 
-    return both.mapInArrow(run, "a long, b long, likeness double").filter(F.col("likeness") >= threshold)
+def joining_links(node: tuple, sig: np.ndarray, root: list[bytes], minor: np.ndarray, guest: np.ndarray, bags: list, floor: float, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Verified links that join the classes of one bucket; no link between two classes stays unseen."""
+    parent = {r: r for r in root}
+
+    def find(x: bytes) -> bytes:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links, weights = [], [int(b[1].sum()) for b in bags]
+    for i, others, est in likely_pairs(sig, root, minor, guest, floor):
+        for j in others[np.argsort(-est, kind="stable")].tolist():
+            x, y = find(root[i]), find(root[j])
+            if x == y or min(weights[i], weights[j]) < threshold * max(weights[i], weights[j]):
+                continue
+            if overlap(bags[i], bags[j]) >= threshold:
+                parent[max(x, y)] = min(x, y)
+                links.append((min(node[i], node[j]), max(node[i], node[j])))
+    return links
+
+
+def _joining(floor: float, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bagminhash")
+        for _, rows in _groups(batches, [*_MEMBER, "bag"]):
+            node, sig, root, minor, guest, raw = _arrays(rows)
+            links = joining_links(node, sig, root, minor, guest, [load_bag(r) for r in raw], floor, threshold)
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+#: Shingles that the members of one part of a bucket may hold together (12 bytes each).
+PART_SHINGLES = 3_000_000
+
+
+def remaining_links(met: DataFrame, roots: DataFrame, bags: DataFrame, floor: float, threshold: float, split_over: int) -> DataFrame:
+    """Verified links (a, b) that join classes, the ``roots`` of the links so far, that share a bucket.
+
+    Large buckets are dealt to parts; the members outside the largest class visit all parts, so each pair meets.
+    """
+    width = shuffle_width(met.sparkSession)
+    classed = met.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("key", "node", "sig", "size", F.coalesce("root", "node").alias("root"))
+    sizes = classed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "root")).alias("most")).filter("classes > 1")
+    parts = F.greatest(F.ceil(2 * F.col("total") / split_over), F.ceil(2 * F.col("shingles") / PART_SHINGLES))
+    crowded = (F.col("total") > split_over) | (F.col("shingles") > PART_SHINGLES)
+    mixed = mixed.select("key", F.col("most.root").alias("main"), F.when(crowded, parts).otherwise(1).alias("parts"))
+    rows = classed.join(mixed, "key").withColumn("minor", F.col("root") != F.col("main")).withColumn("home", F.pmod(F.xxhash64("node"), "parts"))
+    # everyone at home, and minors in all parts
+    seats = F.when(F.col("minor") & (F.col("parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("home"))
+    seated = rows.withColumn("part", F.explode(seats)).withColumn("guest", F.col("part") != F.col("home")).select("key", "part", *_MEMBER)
+    dealt = seated.repartition(width, "key", "part").sortWithinPartitions("key", "part", "node")
+    involved = materialize(dealt.mapInArrow(_involved(floor), _MEMBER_SCHEMA), "bag-involved")
+    one = bags.groupBy("node").agg(F.first("bag").alias("bag"))
+    carried = involved.join(one, "node").select("key", "part", *_MEMBER, "bag")
+    return carried.repartition(width, "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_joining(floor, threshold), "a binary, b binary").distinct()
+
+
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node has one root and no root has a root."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty()
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) of every node with a link; root is the component's smallest node."""
-    edges = materialize(links.select(F.col("a").alias("v"), F.col("b").alias("u")).filter("u <> v"), "cc")
-    mark = None
+    """(node, root) of every node with a link but the roots; root is the component's smallest node."""
+    edges = materialize(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "cc")
     for _ in range(rounds):
+        if _is_star(edges):
+            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
-        large = both.filter("v > u").join(low, "u").select(F.col("v"), F.col("m").alias("u")).filter("v <> u").distinct()
-        big = materialize(large, "cc-large")
-        low2 = materialize(big.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        down = big.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("v <> u").distinct()
+        down = materialize(large, "cc-large")
+        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low2, "u").select(F.col("v"), F.col("m").alias("u")).filter("v <> u").unionByName(low2.select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct()
         new = materialize(small, "cc")
-        for old in (edges, low, big, low2):
+        for old in (edges, down):
             drop_path(edges.sparkSession, old.scratch_path)
         edges = new
-        state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(v, u))")).first()
-        if tuple(state) == mark:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        mark = tuple(state)
     raise RuntimeError("components did not settle")
 
 
 def linked_roots(signed: DataFrame, docs: DataFrame, threshold: float, floor: float, split_over: int) -> DataFrame:
-    """(node, root) of the documents that verified links join; ``signed`` has (doc_id, bands, sig), ``docs`` the texts."""
+    """(node, root) of the nodes that verified links join; ``signed`` has (node, bands, sig, size), ``docs`` (node, text)."""
     met = materialize(bucket_rows(signed), "bag-met")
-    pairs = materialize(candidate_links(met, floor, threshold, split_over), "bag-pairs")
-    links = materialize(verified_links(pairs, docs, threshold), "bag-verified")
-    roots = components(links)
-    rest = materialize(remaining_links(met, roots, floor, split_over).join(pairs, ["a", "b"], "left_anti"), "bag-pairs")
-    more = materialize(verified_links(rest, docs, threshold), "bag-verified")
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    bags = bags_of(met.select("node"), docs)
+    pairs = candidate_links(met, floor, threshold, split_over)
+    roots = components(verified_links(pairs, bags, threshold))
+    more = materialize(remaining_links(met, roots, bags, floor, threshold, split_over), "bag-joining")
+    if more.isEmpty():
+        return roots
+    return components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def likeness_floor(threshold: float) -> float:
+    return threshold - 3.5 * (threshold * (1 - threshold) / SIZE) ** 0.5
+
+
+def classes_of(docs: DataFrame, threshold: float, floor: float | None, split_over: int) -> DataFrame:
+    """(doc_id, node, root, class_id, copy_of) of every row with an id; ``docs`` has (doc_id, text)."""
+    known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", node_of(F.col("text")).alias("node"))
+    rows = known.mapInArrow(_signed_rows, "doc_id long, node binary, bands array<long>, sig binary, size long")
+    signed = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "bag-signed")
+    copies = signed.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    joined = signed.join(copies, "node", "left").withColumns({"copy_of": F.coalesce("copy_of", "doc_id"), "first": F.coalesce("first", "row") == F.col("row")})
+    members = materialize(joined.drop("row"), "bag-members")
+    first = members.filter("first").select("node", "bands", "sig", "size")
+    roots = linked_roots(first, known, threshold, likeness_floor(threshold) if floor is None else floor, split_over)
+    rooted = members.select("doc_id", "node", "copy_of").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("doc_id", "node", "copy_of", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rooted.join(named, "root", "left").select("doc_id", "node", "root", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, floor: float | None = None, split_over: int = 4096) -> DataFrame:
@@ -327,22 +443,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, floor: float | None
     ``copy_of`` is the smallest id with exactly the same text. ``floor`` is the estimated likeness from
     which a candidate is verified, by default the threshold less 3.5 standard errors.
     """
-    floor = threshold - 3.5 * (threshold * (1 - threshold) / SIZE) ** 0.5 if floor is None else floor
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = slim.filter("doc_id IS NOT NULL")
-    signed = materialize(known.mapInArrow(_signed_rows, "doc_id long, digest binary, bands array<long>, sig binary"), "bag-signed")
-    copies = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1").drop("n"), "bag-copies")
-    members = materialize(signed.join(copies, "digest", "left").withColumn("copy_of", F.coalesce("copy_of", "doc_id")), "bag-members")
-    drop_path(docs.sparkSession, signed.scratch_path)
-    roots = linked_roots(members.filter("doc_id = copy_of").select("doc_id", "bands", "sig"), known, threshold, floor, split_over)
-    out = members.select("doc_id", "copy_of").join(roots, F.col("copy_of") == F.col("node"), "left").select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of")
+    out = classes_of(slim, threshold, floor, split_over).select("doc_id", "class_id", "copy_of")
     unknown = slim.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"))
     return out.unionByName(unknown)
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents that are the smallest id of their class, each once, with all their columns."""
-    classes = near_duplicates(docs, threshold)
-    alone = docs.filter("doc_id IS NULL")
-    kept = docs.join(classes.filter("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(alone).select(docs.columns)
+    """One document of each class, that of the smallest id (of texts that share it, one), with all its columns; all rows without an id."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    heads = classes_of(slim, threshold, None, 4096).filter("doc_id = class_id").groupBy("root").agg(F.min("node").alias("__keep_node"), F.first("doc_id").alias("__keep_id"))
+    named = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__node": node_of(F.col("text"))})
+    chosen = named.join(heads, (F.col("__id") == F.col("__keep_id")) & (F.col("__node") == F.col("__keep_node")), "left_semi").dropDuplicates(["__id", "__node"])
+    return chosen.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))

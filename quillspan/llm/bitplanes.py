@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_order_buckets, materialize, shuffle_width
+from .common import in_order_buckets, materialize, shuffle_width, text_slices
 from .encoders import encoder
 
 MAGIC = b"QSBP"
@@ -36,16 +36,27 @@ _HEAD = struct.Struct("<4sBBHIQQ")
 _TAIL = struct.Struct("<QQ4s")
 
 
+def _transposed(column: np.ndarray) -> np.ndarray:
+    """(n / 8, 8) bytes from n: bit k of byte i of a group of eight becomes bit i of byte k. Its own inverse."""
+    x = column.view("<u8")
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        t = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x = x ^ t ^ (t << np.uint64(shift))
+    return x.view(np.uint8).reshape(-1, 8)
+
+
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
-    """Planes from the lowest to the highest that is not all zero."""
+    """Planes from the lowest to the highest that is not all zero; a bit plane's unused end bits are zero."""
     raw = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(len(ids), 4)
     top = int(ids.max()).bit_length() if len(ids) else 0
     if not bits:
         return [np.ascontiguousarray(raw[:, b]).tobytes() for b in range((top + 7) // 8)]
     out: list[bytes] = []
     for b in range((top + 7) // 8):
-        planes = np.packbits(np.unpackbits(raw[:, b : b + 1], axis=1, bitorder="little").T, axis=1, bitorder="little")
-        out += [p.tobytes() for p in planes[: min(8, top - 8 * b)]]
+        column = np.zeros(-(-len(ids) // 8) * 8, dtype=np.uint8)
+        column[: len(ids)] = raw[:, b]
+        planes = _transposed(column)
+        out += [planes[:, k].tobytes() for k in range(min(8, top - 8 * b))]
     return out
 
 
@@ -56,11 +67,10 @@ def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
             raw[:, b] = np.frombuffer(p, dtype=np.uint8)
         return raw.view("<u4").reshape(n)
     for b in range((len(planes) + 7) // 8):
-        part = planes[8 * b : 8 * b + 8]
-        got = np.zeros((8, n), dtype=np.uint8)
-        for j, p in enumerate(part):
-            got[j] = np.unpackbits(np.frombuffer(p, dtype=np.uint8), count=n, bitorder="little")
-        raw[:, b] = np.packbits(got.T, axis=1, bitorder="little")[:, 0]
+        columns = np.zeros((-(-n // 8), 8), dtype=np.uint8)
+        for j, p in enumerate(planes[8 * b : 8 * b + 8]):
+            columns[:, j] = np.frombuffer(p, dtype=np.uint8)
+        raw[:, b] = _transposed(columns.reshape(-1)).reshape(-1)[:n]
     return raw.view("<u4").reshape(n)
 
 
@@ -162,11 +172,12 @@ class PlaneReader:
             at += n
 
 
-def write_files(docs: DataFrame, tokenizer: Callable[[], str], end_id: int = 1, block: int = 16384, bits: bool = True) -> DataFrame:
-    """Encode (doc_id, text) and write one file per range of ids, in ascending doc_id order.
+def write_files(docs: DataFrame, tokenizer: Callable[[], str], end_id: int = 1, block: int = 16384, bits: bool = True, max_file: int = 32 << 20) -> DataFrame:
+    """Encode (doc_id, text) and write files of about ``max_file`` bytes at most, in ascending doc_id order.
 
-    Returns (bucket, n_ids, data). A null text is empty and has just its end id; null ids come first;
-    rows that share an id follow each other, ordered by text; an empty table gives no file.
+    Returns (bucket, part, n_ids, data): the files of a range of ids are its parts. A file ends with the document that
+    fills it, so a longer document still lies in one file. A null text is empty and has just its end id; null ids come
+    first; rows that share an id follow each other, ordered by text; an empty table gives no file.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
@@ -175,39 +186,39 @@ def write_files(docs: DataFrame, tokenizer: Callable[[], str], end_id: int = 1,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype=np.uint32)
-        at, writer = None, None
+        at, part, writer = None, 0, None
 
         def done() -> pa.RecordBatch:
             data = writer.close()
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([at], pa.int32()), "n_ids": pa.array([writer.n_ids], pa.int64()), "data": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([at], pa.int32()), "part": pa.array([part], pa.int32()), "n_ids": pa.array([writer.n_ids], pa.int64()), "data": pa.array([data], pa.binary())})
 
-        for batch in batches:
+        for batch in text_slices(batches):
             ids = encoder(tokenizer()).encode(batch["text"].to_pylist())
             for bucket, doc_id, x in zip(batch["bucket"].to_pylist(), batch["doc_id"].to_pylist(), ids):
-                if bucket != at:
+                if bucket != at or writer.size >= max_file:
                     if writer:
                         yield done()
-                    at, writer = bucket, PlaneWriter(block, bits)
+                    at, part, writer = bucket, part + 1 if bucket == at else 0, PlaneWriter(block, bits)
                 writer.add(doc_id, np.concatenate((x, end)))
         if writer:
             yield done()
 
-    files = placed.repartition(width, "bucket").sortWithinPartitions("bucket", "doc_id", "text").mapInArrow(write, "bucket int, n_ids long, data binary")
+    files = placed.repartition(width, "bucket").sortWithinPartitions("bucket", "doc_id", "text").mapInArrow(write, "bucket int, part int, n_ids long, data binary")
     return materialize(files, "bitplanes", "none")
 
 
 def read_documents(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    totals = {r.bucket: r.n_ids for r in files.select("bucket", "n_ids").collect()}  # one small row per file
+    totals = {(r.bucket, r.part): r.n_ids for r in files.select("bucket", "part", "n_ids").collect()}  # one small row per file
     base, before = {}, 0
     for b in sorted(totals):
         base[b], before = before, before + totals[b]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, data in zip(batch["bucket"].to_pylist(), batch["data"]):
-                rows = [(d, base[bucket] + s, len(x), zlib.crc32(x.tobytes())) for d, s, x in PlaneReader(data.as_py()).documents()]
+            for bucket, part, data in zip(batch["bucket"].to_pylist(), batch["part"].to_pylist(), batch["data"]):
+                rows = [(d, base[bucket, part] + s, len(x), zlib.crc32(x)) for d, s, x in PlaneReader(data.as_py()).documents()]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "n_tokens", "ids_crc32"), cols)})
 
-    return files.select("bucket", "data").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("bucket", "part", "data").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

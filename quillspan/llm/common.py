@@ -7,10 +7,12 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,18 @@ def in_order_buckets(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame,
     return df.withColumn("bucket", place(F.coalesce(F.col(key).cast("long"), F.lit(LOWEST_ID)))), edges.tolist()
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in slices of about ``most`` bytes of ``column`` (one row at least)."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            before = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def crc_bucket(key: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``."""
     return F.crc32(key.cast("string").cast("binary")) % n

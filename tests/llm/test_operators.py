@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import bagminhash, bitplanes, bottomk, flac, langid_crf, line_templates, packing, rollups, sentencepiece_lattice, warc
 from quillspan.llm.common import scratch_path, shingle_hashes, word_hashes
-from quillspan.llm.encoders import CachedEncoder, public_path
+from quillspan.llm.encoders import BulkEncoder, public_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, key long, `row` string, ids string, head string"
 
@@ -58,11 +58,16 @@ def library_ids(name, texts):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_cached_encoder_equals_the_library(name, texts):
+def test_bulk_encoder_equals_the_library(name, texts):
     full = [t or "" for t in texts] + ["a  b", " lead", "trail ", "tab\t x", "\n\n x", "it's  we'll"]
-    mine = CachedEncoder(public_path(name), cap=500)
-    for _ in range(2):
-        assert all((a == b).all() and len(a) == len(b) for a, b in zip(mine.encode(full), library_ids(name, full)))
+    rng = random.Random(2)
+    pool = list(" \n\t  ''\"abcdefghijklmstvrDEFélüßñ0123456789.,;:!?-_%$&#*()") + ["\U0001f600", "\u0308", "漢", "\xa0", "İ", "Σ"]
+    full += ["".join(rng.choice(pool[:-6] if i % 2 else pool) for _ in range(rng.randrange(60))) for i in range(4000)]
+    full += [f"a{chr(i)}b {chr(i)}{chr(i)}" for i in range(0x600) if not 0xD800 <= i < 0xE000] + ["a" * 65 + " " + "ab" * 70]
+    mine = BulkEncoder(public_path(name))
+    assert mine.known
+    for got, want in zip(mine.encode(full), library_ids(name, full), strict=True):
+        assert got.tolist() == want.tolist()
 
 
 def test_word_hashes_do_not_depend_on_place():
@@ -196,12 +201,12 @@ def test_bottomk_merges_and_counts():
 # ---- 5 --------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shard_docs", [6, 1000])
-def test_packing_covers_every_id_once(spark, docs, shard_docs):
+@pytest.mark.parametrize("shard_tokens", [700, 1_000_000])
+def test_packing_covers_every_id_once(spark, docs, shard_tokens):
     rows = ordered(docs)
     ids = {i: np.append(x, 0).astype("<u4") for (i, _), x in zip(rows, library_ids("byte_bpe_50k.json", [t for _, t in rows]))}
     copies = collections.Counter(i for i, _ in rows)
-    got = packing.pack(docs, lambda: public_path("byte_bpe_50k.json"), shard_docs=shard_docs).collect()
+    got = packing.pack(docs, lambda: public_path("byte_bpe_50k.json"), shard_tokens=shard_tokens).collect()
     filled, seen = collections.defaultdict(list), collections.Counter()
     for r in got:
         assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
@@ -216,10 +221,71 @@ def test_packing_covers_every_id_once(spark, docs, shard_docs):
     assert packing.pack(nothing(spark), lambda: public_path("byte_bpe_50k.json")).count() == 0
 
 
-def test_packing_places_neighbours_together():
-    a, b = np.arange(100, 200), np.arange(500, 600)
-    order = list(packing.packing_order([a, b, a[:50], b[:50]], 300, 32))
-    assert order[:2] == [0, 2]
+def brute_packing_order(docs, frequency, n_docs, mean, window):
+    """The greedy order by BM25 scores counted out word by word."""
+    import math
+
+    counts = [collections.Counter(d.tolist()) for d in docs]
+
+    def score(seed, j):
+        return sum(
+            math.log1p((n_docs - frequency[t] + 0.5) / (frequency[t] + 0.5)) * counts[j][t] * 2.5 / (counts[j][t] + 1.5 * (0.25 + 0.75 * len(docs[j]) / mean))
+            for t in counts[seed] if counts[j][t]
+        )
+
+    left, order, fill, seed = list(range(len(docs))), [], 0, None
+    while left:
+        near = [(-round(score(seed, j), 9), j) for j in left] if seed is not None else []
+        near = [x for x in near if x[0] < 0]
+        nxt = min(near)[1] if near else left[0]
+        left.remove(nxt)
+        order.append(nxt)
+        total = fill + len(docs[nxt])
+        seed = nxt if seed is None or total >= window else seed
+        fill = total % window
+        seed = None if fill == 0 else seed
+    return order
+
+
+@pytest.mark.parametrize("window", [60, 300])
+def test_packing_order_equals_brute_force(window):
+    rng = np.random.default_rng(window)
+    docs = [(rng.zipf(1.4, rng.integers(1, 90)) % 700).astype(np.uint32) for _ in range(150)]
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=700) * 3
+    mean = float(np.mean([len(d) for d in docs])) * 1.1
+    index = packing.Bm25Index(docs, frequency, 450, mean)
+    assert list(packing.packing_order([len(d) for d in docs], index, window)) == brute_packing_order(docs, frequency, 450, mean, window)
+
+
+def test_packing_statistics_and_neighbours(spark):
+    rng = random.Random(12)
+    topics = [prose(rng, 60).split() for _ in range(40)]
+    rows = []
+    for i in range(400):
+        w = list(topics[i % 40])
+        for at in rng.sample(range(60), 2):
+            w[at] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ids = {i: np.append(x, 0) for (i, _), x in zip(rows, library_ids("byte_bpe_50k.json", [t for _, t in rows]))}
+    frequency, n, mean = packing.corpus_statistics(packing.encode_documents(d, lambda: public_path("byte_bpe_50k.json"), 0))
+    assert n == 400 and abs(mean - np.mean([len(x) for x in ids.values()])) < 1e-9
+    assert (frequency == np.bincount(np.concatenate([np.unique(x) for x in ids.values()]), minlength=len(frequency))).all()
+    windows = collections.defaultdict(list)
+    for r in packing.pack(d, lambda: public_path("byte_bpe_50k.json")).collect():
+        windows[r.sequence_id].append(r.doc_id)
+    alike = sum(a % 40 == b % 40 for w in windows.values() for a, b in zip(w, w[1:]))
+    assert alike > 0.6 * sum(len(w) - 1 for w in windows.values())
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(3)
+    text = " ".join(f"{rng.choice('abcdefg')}{rng.choice(['ron', 'lis', 'ta'])}{rng.randrange(10)}" for _ in range(9_000_000))
+    d = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    n = len(library_ids("byte_bpe_50k.json", [text])[0]) + 1
+    assert packing.pack(d, lambda: public_path("byte_bpe_50k.json")).filter("doc_id = 1").agg(F.sum("length")).first()[0] == n
+    files = bitplanes.write_files(d, lambda: public_path("word_bpe_49k.json"))
+    assert {r.doc_id: r.n_tokens for r in bitplanes.read_documents(files).collect()}[2] == 2
 
 
 # ---- 6 --------------------------------------------------------------------------------------
@@ -281,13 +347,39 @@ def test_near_duplicates_link_twins_at_the_edge_of_a_family(spark, split_over):
             w[k] = f"edge{i}"
         rows += [(1000 + 2 * i, " ".join(w)), (1001 + 2 * i, " ".join([*w, "more"]))]
     # one band key for all: the worst bucket
-    sig = (bagminhash.signatures([bagminhash.bag(t) for _, t in rows]) & 255).astype(np.uint8)
-    signed = spark.createDataFrame([(i, [7], bytearray(x.tobytes())) for (i, _), x in zip(rows, sig)], "doc_id long, bands array<long>, sig binary")
-    roots = bagminhash.linked_roots(signed, spark.createDataFrame(rows, "doc_id long, text string"), 0.8, 0.675, split_over)
-    got = {i: i for i, _ in rows} | {r.node: r.root for r in roots.collect()}
+    bags = [bagminhash.bag(t) for _, t in rows]
+    sig = (bagminhash.signatures(bags) & 255).astype(np.uint8)
+    name = {i: bytearray(i.to_bytes(16, "big")) for i, _ in rows}
+    signed = spark.createDataFrame([(name[i], [7], bytearray(x.tobytes()), len(b[0])) for (i, _), x, b in zip(rows, sig, bags)], "node binary, bands array<long>, sig binary, size long")
+    roots = bagminhash.linked_roots(signed, spark.createDataFrame([(name[i], t) for i, t in rows], "node binary, text string"), 0.8, 0.675, split_over)
+    got = {i: i for i, _ in rows} | {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in roots.collect()}
     assert got == brute_classes(rows) and len(set(got.values())) > 10
 
 
+def test_near_duplicates_recall_at_the_threshold(spark):
+    """Families whose members lie about the threshold from each other: against brute force over all pairs."""
+    rng, rows = random.Random(21), []
+    for f in range(12):
+        base = prose(rng, rng.randrange(60, 260)).split()
+        for k in range(30):
+            w = list(base)
+            for _ in range(rng.randrange(1, max(2, len(w) // 22))):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[f"e{f}x{k}"], [], [w[at], f"more{k}"], [w[at]] * 2])
+            rows.append((100 * f + k, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_near_duplicates_of_a_repeated_id(spark):
+    rng = random.Random(2)
+    one, two = prose(rng, 50), prose(rng, 50)
+    rows = [(1, one, 0), (1, two, 1), (1, two, 1), (2, one, 2), (3, two + " x", 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `row` int")
+    assert bagminhash.near_duplicates(d).count() == 5
+    assert sorted(r.row for r in bagminhash.keep_one_of_each(d).collect()) == [0, 1]
+
+
 def test_near_duplicates_awkward_rows(spark, docs):
     assert bagminhash.near_duplicates(nothing(spark)).count() == 0
     assert bagminhash.near_duplicates(with_null_id(spark)).count() == 2
