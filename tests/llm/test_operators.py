@@ -85,9 +85,14 @@ def test_sentencepiece_equals_the_library(spark, docs, dictionary):
 
     model = public_path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    short = docs.filter("text IS NULL OR length(text) < 20000")
-    got = sentencepiece_lattice.encode(short, lambda: public_path("piece_bpe_32k.model"), dictionary).collect()
-    assert len(got) == short.count()
+    rng = random.Random(3)
+    pool = list("  \n\t  ▁abcdeinrst.,;:'\"0123456789éü漢\U0001f600\x00_-xX")
+    more = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(300)] + ["a" * k for k in range(60, 80)] + ["an" * k for k in range(30, 50)] + [" " * k for k in range(1, 50)]
+    more += ["word   next    x  ", *("".join(rng.choice("abcdetionsr") for _ in range(k)) for k in (64, 65, 80, 400))]
+    extra = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(more)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(extra)
+    got = sentencepiece_lattice.encode(every, lambda: public_path("piece_bpe_32k.model"), dictionary).collect()
+    assert len(got) == every.count()
     for r in got:
         assert r.ids == sp.encode(r.text), r.text[:60]
         assert sentencepiece_lattice.decode(r.ids, model) == sp.decode(r.ids)
@@ -97,10 +102,10 @@ def test_sentencepiece_long_word_and_nothing(spark):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_path("piece_bpe_32k.model"))
-    word = "".join(random.Random(4).choice("abcdetionsr") for _ in range(400)) + "    " + "aaaa" * 9
-    d = spark.createDataFrame([(1, word), (None, "ab"), (2, None)], "doc_id long, text string")
+    word = "".join(random.Random(4).choice("abcdetionsr") for _ in range(30_000)) + "    " + "aaaa" * 9
+    d = spark.createDataFrame([(1, word), (None, "ab"), (2, None), (3, "x" * 6000)], "doc_id long, text string")
     got = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(d, lambda: public_path("piece_bpe_32k.model")).collect()}
-    assert got == {1: sp.encode(word), None: sp.encode("ab"), 2: []}
+    assert got == {1: sp.encode(word), None: sp.encode("ab"), 2: [], 3: sp.encode("x" * 6000)}
     assert sentencepiece_lattice.digests(nothing(spark), lambda: public_path("piece_bpe_32k.model")).count() == 0
 
 
@@ -280,7 +285,7 @@ def test_packing_statistics_and_neighbours(spark):
 
 def test_one_very_long_text(spark):
     rng = random.Random(3)
-    text = " ".join(f"{rng.choice('abcdefg')}{rng.choice(['ron', 'lis', 'ta'])}{rng.randrange(10)}" for _ in range(9_000_000))
+    text = " ".join(f"{rng.choice('abcdefg')}{rng.choice(['ron', 'lis', 'ta'])}{rng.randrange(10)}" for _ in range(1_500_000))
     d = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
     n = len(library_ids("byte_bpe_50k.json", [text])[0]) + 1
     assert packing.pack(d, lambda: public_path("byte_bpe_50k.json")).filter("doc_id = 1").agg(F.sum("length")).first()[0] == n
