@@ -14,13 +14,13 @@ from quillspan.llm.encoders import public_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the CRF names with a score of a half or more; the rest goes."""
+    """Documents whose words the CRF gives to learned languages with a mean certainty of a half or more; the rest goes."""
     return langid_crf.reject_unknown(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of templates that recur across documents."""
-    return line_templates.drop_boilerplate(docs).select(docs.columns)
+    return line_templates.drop_boilerplate(docs, counts=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", pack)]
 
-#: A learned model and greedy packing are not expressible in SQL; the stages are tested by brute force.
+#: A learned model and greedy packing are not expressible in SQL; the operators of the stages are tested by brute force.
 ORACLE_SQL = None
 
 

@@ -107,6 +107,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             at = end
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores before it, so that no column (names ignore case) has it."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def crc_bucket(key: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``."""
     return F.crc32(key.cast("string").cast("binary")) % n

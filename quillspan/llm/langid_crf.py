@@ -7,11 +7,13 @@ maximising the conditional likelihood of word labels; training sequences are spl
 languages, so transitions learn how rarely text switches. Labels of words are their forward-backward
 marginals; a document's language is the label with the largest mean marginal, which is its score.
 
-Learning uses a bounded sample (``per_lang`` documents of each language, the first ``train_chars``
-characters of each); predictions use every word of every text.
+Learning uses a bounded sample of whole texts (``per_lang`` documents of each of the ``max_langs`` most frequent languages,
+none longer than ``max_chars``); predictions use every word of every text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties go to the language
-that sorts first; a table without labelled text predicts ``und`` for all; repeated rows get one row each.
+that sorts first; a table without labelled text predicts ``und`` for all, and nothing but texts without a letter is then
+rejected; repeated rows get one row each; ``identify`` gives its own columns only, ``predict`` puts its own in place of input
+columns of the same names, ``reject_unknown`` leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import claim, crc_bucket
+from .common import claim, crc_bucket, fresh
 
 CHUNK = 128
 
@@ -258,15 +261,15 @@ def train(samples: list[tuple[str, str]], sequences: int = 2400, length: int = 4
     return model
 
 
-def fit(docs: DataFrame, usable: Column, per_lang: int = 400, train_chars: int = 4000) -> CrfModel | None:
+def fit(docs: DataFrame, usable: Column, per_lang: int = 400, max_langs: int = 100, max_chars: int = 200_000) -> CrfModel | None:
     """Train on at most ``per_lang`` documents of each language among the ``usable`` rows, chosen by a hash of the id."""
-    known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.filter(usable & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit((1 << 20) * min(1.0, 1.5 * per_lang / n + 20 / n))) for lang, n in counts.items()])
-    rows = known.filter(place < share).select("lang", place.alias("place"), "doc_id", F.substring("text", 1, train_chars).alias("text")).collect()
+    share = known.sparkSession.createDataFrame([(r["lang"], int((1 << 20) * min(1.0, 1.5 * per_lang / r["count"] + 20 / r["count"]))) for r in counts], "lang string, below int")
+    rows = known.join(F.broadcast(share), "lang").filter(place < F.col("below")).select("lang", place.alias("place"), "doc_id", "text").collect()
     taken: Counter = Counter()
     sample = []
     for r in sorted(rows, key=lambda r: (r.place, r.doc_id, r.text)):
@@ -279,8 +282,8 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = 400, train_chars: int =
 _CACHES: dict[str, EmissionCache] = {}
 
 
-def label_texts(texts: list[str | None], model: CrfModel) -> Iterator[tuple[str, float, int, int]]:
-    """(language, score, words, switches) of every text."""
+def label_texts(texts: list[str | None], model: CrfModel) -> Iterator[tuple[str, float, int, int, float]]:
+    """(language, score, words, switches, certainty) of every text; certainty is the mean of the words' largest marginals."""
     claim("langid", _CACHES.clear)
     chunks, codes, counts = words_of(texts)
     if model.key not in _CACHES:
@@ -297,8 +300,9 @@ def label_texts(texts: list[str | None], model: CrfModel) -> Iterator[tuple[str,
         best = gamma.argmax(axis=1)
         turn = np.bincount(doc[1:][(best[1:] != best[:-1]) & (doc[1:] == doc[:-1])], minlength=len(texts))
         top = share.argmax(axis=1)
+        sure = np.bincount(doc, weights=gamma.max(axis=1), minlength=len(texts)) / np.maximum(sizes, 1)
     for i, n in enumerate(sizes.tolist()):
-        yield (model.labels[top[i]], min(1.0, float(share[i, top[i]])), n, int(turn[i])) if n else ("und", 0.0, 0, 0)
+        yield (model.labels[top[i]], min(1.0, float(share[i, top[i]])), n, int(turn[i]), min(1.0, float(sure[i]))) if n else ("und", 0.0, 0, 0, 0.0)
 
 
 def label_words(text: str, model: CrfModel) -> list[tuple[str, str, float]]:
@@ -310,25 +314,25 @@ def label_words(text: str, model: CrfModel) -> list[tuple[str, str, float]]:
     return [(w, model.labels[j], float(p)) for w, j, p in zip(words, gamma.argmax(axis=1), gamma.max(axis=1))]
 
 
-def predict(docs: DataFrame, model: CrfModel | None) -> DataFrame:
-    """Append (lang_pred, score, n_words, n_switches) to the documents."""
-    out = "lang_pred string, score double, n_words long, n_switches long"
+_PREDICTED = StructType().add("lang_pred", "string").add("score", "double").add("n_words", "long").add("n_switches", "long").add("certainty", "double")
+
+
+def predict(docs: DataFrame, model: CrfModel | None, names: list[str] | None = None) -> DataFrame:
+    """Append (lang_pred, score, n_words, n_switches, certainty), or columns of these ``names``, to the documents."""
+    names = names or _PREDICTED.names
+    docs = docs.select([c for c in docs.columns if c.lower() not in names])
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "n_words": F.lit(0).cast("long"), "n_switches": F.lit(0).cast("long")})
-    names = [f.name for f in docs.schema if f.name not in {"lang_pred", "score", "n_words", "n_switches"}]
-    docs = docs.select(*names)
+        return docs.withColumns({n: F.lit(v).cast(f.dataType) for n, v, f in zip(names, ("und", 0.0, 0, 0, 0.0), _PREDICTED.fields)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, len(batch), 500):
                 part = batch.slice(s, 500)
-                lang, score, words, turns = zip(*label_texts(part["text"].to_pylist(), model))
-                cols = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(turns, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, "lang_pred", "score", "n_words", "n_switches"])
-
-    from pyspark.sql.types import StructType
+                found = zip(*label_texts(part["text"].to_pylist(), model))
+                kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(found, kinds))], names=[*part.schema.names, *names])
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields + StructType.fromDDL(out).fields))
+    return docs.mapInArrow(run, StructType(docs.schema.fields + [StructField(n, f.dataType) for n, f in zip(names, _PREDICTED.fields)]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -339,8 +343,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Drop the documents whose language is ``und`` or whose score is under ``least``; columns stay."""
+    """Drop the documents that are ``und`` or whose words have a mean certainty under ``least``; columns stay.
+
+    Not the share of one language decides, so clean text that switches between languages stays.
+    """
     model = fit(docs, F.coalesce(crc_bucket(F.col("doc_id"), 4) != 2, F.lit(False)))
     if model is None:
         return docs.filter(F.lower("text") != F.upper("text"))
-    return predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(docs.columns)
+    names = [fresh(n, docs.columns) for n in _PREDICTED.names]
+    return predict(docs, model, names).filter((F.col(names[0]) != "und") & (F.col(names[4]) >= least)).select(docs.columns)

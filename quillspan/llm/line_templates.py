@@ -10,10 +10,13 @@ constants, or it is a template by itself.
 A template is boilerplate, and its lines are dropped everywhere, if it stands in ``min_docs`` documents
 of different text and the lines before and after it differ from document to document (``variety``);
 so copies of one document, which share whole runs of lines, do not turn each other's text into boilerplate.
+A line of ``passage`` tokens or more is a shared passage in two documents already, if both the lines before it and the
+lines after it differ (copies that differ in one line still agree on one side of its neighbours).
 
-Defined cases: a null text stays null; lines of fewer than ``min_tokens`` tokens are kept; lines that recur
+Defined cases: a null text stays null; blank lines stay; lines that recur
 inside one document count once; a document may end up empty but is never dropped; equal rows give equal rows;
-``n_chars`` is set to the new length where the column exists; other columns stay as they are.
+``n_chars`` is set to the new length where the column exists; other columns stay as they are, but columns ``n_lines`` and
+``n_dropped`` of the input give way to the operator's own where these are asked for.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, LongType
 
-from .common import claim, materialize
+from .common import claim, fresh, materialize
 
 WILD = "<*>"
 _VARIABLE = re.compile(r"\d|@|://")
@@ -51,27 +54,27 @@ def masked(line: str) -> list[str]:
     return tokens if wild.count(WILD) > (1 - CONSTANT) * len(wild) else wild
 
 
-def parse(text: str, depth: int, min_tokens: int) -> Iterator[tuple[int, int, int, str]]:
-    """(leaf, line key, context, masked line) of every line that has enough tokens."""
-    lines = [masked(x) for x in text.split("\n")]
-    lines = [x for x in lines if x]
+def parse(text: str, depth: int, passage: int) -> Iterator[tuple[int, int, int, int, str]]:
+    """(leaf, line key, line before, line after, masked line) of every line; leaves of long lines are odd, others even."""
+    lines = [x for x in map(masked, text.split("\n")) if x]
     joined = [" ".join(x) for x in lines]
+    keys = [_hash(x) for x in joined]
     for i, tokens in enumerate(lines):
-        if len(tokens) >= min_tokens:
-            around = f"{joined[i - 1] if i else ''}\n{joined[i + 1] if i + 1 < len(lines) else ''}"
-            yield _hash(f"{len(tokens)} {' '.join(tokens[:depth])}"), _hash(joined[i]), _hash(around), joined[i]
+        leaf = _hash(f"{len(tokens)} {' '.join(tokens[:depth])}")
+        yield leaf | 1 if len(tokens) >= passage else leaf & ~1, keys[i], keys[i - 1] if i else 0, keys[i + 1] if i + 1 < len(lines) else 0, joined[i]
 
 
-def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs: int = 10, constant: float = CONSTANT, variety: float = 0.5, common_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+def boilerplate(docs: DataFrame, depth: int = 3, min_docs: int = 10, passage: int = 50, constant: float = CONSTANT, variety: float = 0.4, common_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(lines of the documents, keys of the lines whose template recurs): (doc_id, key), (key, template, docs)."""
     slim = docs.filter("text IS NOT NULL").select("doc_id", "text")
+    long = F.col("leaf").bitwiseAND(F.lit(1)) == 1
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lines")
         for batch in batches:
             digests, leaves, keys = [], [], []
             for text in batch["text"].to_pylist():
-                rows = {k: leaf for leaf, k, _, _ in parse(text, depth, min_tokens)}
+                rows = {k: leaf for leaf, k, _, _, _ in parse(text, depth, passage)}
                 digests.append(_hash(text))
                 keys.append(list(rows))
                 leaves.append(list(rows.values()))
@@ -80,7 +83,7 @@ def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs:
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     lines = materialize(slim.mapInArrow(index, f"doc_id {doc_id}, digest long, leaves array<long>, keys array<long>"), "line-index")
-    leaves = lines.select("digest", F.explode(F.array_distinct("leaves")).alias("leaf")).distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
+    leaves = lines.select("digest", F.explode(F.array_distinct("leaves")).alias("leaf")).distinct().groupBy("leaf").count().filter(F.col("count") >= F.when(long, 2).otherwise(min_docs)).select("leaf")
     leaves = materialize(leaves, "line-leaves")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,15 +92,15 @@ def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs:
             out: list[tuple] = []
             for text in batch["text"].to_pylist():
                 digest = _hash(text)
-                rows = {k: (digest, leaf, k, around, line) for leaf, k, around, line in parse(text, depth, min_tokens)}
+                rows = {k: (digest, leaf, k, before, after, line) for leaf, k, before, after, line in parse(text, depth, passage)}
                 out += rows.values()
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["digest", "leaf", "key", "around", "line"])
+                kinds = (*[pa.int64()] * 5, pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["digest", "leaf", "key", "before", "after", "line"])
 
-    spelled = slim.select("text").mapInArrow(spell, "digest long, leaf long, key long, around long, line string").join(leaves, "leaf")
+    spelled = slim.select("text").mapInArrow(spell, "digest long, leaf long, key long, before long, after long, line string").join(leaves, "leaf")
     # a document's line once, however many copies the document has
-    found = materialize(spelled.groupBy("leaf", "key", "digest").agg(F.min("around").alias("around"), F.first("line").alias("line")), "line-found")
+    found = materialize(spelled.groupBy("leaf", "key", "digest").agg(F.min("before").alias("before"), F.min("after").alias("after"), F.first("line").alias("line")), "line-found")
     distinct = materialize(found.groupBy("leaf", "key").agg(F.first("line").alias("line"), F.count("*").alias("n")), "line-distinct")
     fields = distinct.select("leaf", "key", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
     # a share of the leaf, or a field's frequent values would become constants as the corpus grows
@@ -111,33 +114,38 @@ def boilerplate(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_docs:
     general = materialize(general.select("leaf", "key", "share", F.array_join("f.shown", " ").alias("general")), "line-general")
     own = distinct.join(general, ["leaf", "key"]).select("leaf", "key", F.when(F.col("share") >= constant, F.col("general")).otherwise(F.col("line")).alias("template"))
     own = materialize(own, "line-templates")
-    stands = found.join(own, ["leaf", "key"]).groupBy("leaf", "template", "digest").agg(F.min("around").alias("around"))
-    recurs = stands.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.approx_count_distinct("around").alias("settings"))
-    recurs = materialize(recurs.filter((F.col("docs") >= min_docs) & (F.col("settings") >= variety * F.col("docs"))), "line-recurs")
+    stands = found.join(own, ["leaf", "key"]).groupBy("leaf", "template", "digest").agg(F.min("before").alias("before"), F.min("after").alias("after"))
+    stands = stands.groupBy("leaf", "template", "before", "after").agg(F.count("*").alias("docs"))
+    recurs = stands.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.count("*").alias("settings"), F.size(F.collect_set(F.when(long, F.col("before")))).alias("before"), F.size(F.collect_set(F.when(long, F.col("after")))).alias("after"))
+    varied = F.col("settings") >= variety * F.col("docs")
+    sides = F.least("before", "after") >= F.greatest(F.lit(2), variety * F.col("docs"))
+    recurs = materialize(recurs.filter(F.when(long, sides & varied).otherwise((F.col("docs") >= min_docs) & varied)), "line-recurs")
     dropped = materialize(own.join(recurs, ["leaf", "template"]).select("key", "template", "docs"), "line-dropped")
     return lines.select("doc_id", F.explode("keys").alias("key")), dropped
 
 
-def drop_boilerplate(docs: DataFrame, **options: float) -> DataFrame:
-    """The documents without the lines of recurring templates, with (n_lines, n_dropped) appended."""
-    min_tokens = int(options.get("min_tokens", 3))
+def drop_boilerplate(docs: DataFrame, counts: bool = True, **options: float) -> DataFrame:
+    """The documents without the lines of recurring templates, with (n_lines, n_dropped) appended if ``counts``."""
     lines, dropped = boilerplate(docs, **options)
     hits = lines.join(dropped.select("key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("hit"))
-    hits = materialize(hits.withColumnRenamed("doc_id", "hit_id"), "line-hits")
-    # a sort-merge join at every size: the hits grow with the corpus
-    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(*docs.columns, F.col("hit").alias("__hit"))
+    if counts:
+        docs = docs.select([c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
     names = docs.columns
+    hit, hit_id = fresh("hit", names), fresh("hit_id", names)
+    hits = materialize(hits.withColumnsRenamed({"doc_id": hit_id, "hit": hit}), "line-hits")
+    # a sort-merge join at every size: the hits grow with the corpus
+    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col(hit_id)), "left").select(*names, hit)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lines")
         for batch in batches:
             texts, total, gone = [], [], []
-            for text, hit in zip(batch["text"].to_pylist(), batch["__hit"].to_pylist()):
+            for text, found in zip(batch["text"].to_pylist(), batch[hit].to_pylist()):
                 parts = [] if text is None else text.split("\n")
                 kept = parts
-                if hit:
-                    bad = set(hit)
-                    kept = [p for p in parts if len(m := masked(p)) < min_tokens or _hash(" ".join(m)) not in bad]
+                if found:
+                    bad = set(found)
+                    kept = [p for p in parts if not (m := masked(p)) or _hash(" ".join(m)) not in bad]
                 texts.append(None if text is None else "\n".join(kept))
                 total.append(len(parts))
                 gone.append(len(parts) - len(kept))
@@ -149,7 +157,8 @@ def drop_boilerplate(docs: DataFrame, **options: float) -> DataFrame:
                     cols.append(pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch[name].type))
                 else:
                     cols.append(batch[name])
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            more = {"n_lines": total, "n_dropped": gone} if counts else {}
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(v, pa.int64()) for v in more.values())], names=[*names, *more])
 
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    return joined.mapInArrow(strip, schema)
+    extra = [StructField("n_lines", LongType()), StructField("n_dropped", LongType())] if counts else []
+    return joined.mapInArrow(strip, StructType([*docs.schema.fields, *extra]))

@@ -209,8 +209,11 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def best_path(edges: Column, table: PieceTable) -> Column:
     """Ids of the path that merging builds; ``edges`` are sorted, so a position's one-character edge is its last."""
-    merges = _constant(table.merges, "array<array<bigint>>")
+    # the large constant stands once in the plan
+    return _let(_constant(table.merges, "array<array<bigint>>"), lambda merges: _best_path(edges, merges, table.longest))
 
+
+def _best_path(edges: Column, merges: Column, longest: int) -> Column:
     def tree(x: Column) -> Column:
         return F.get(merges, _id(x))
 
@@ -228,7 +231,10 @@ def best_path(edges: Column, table: PieceTable) -> Column:
             gain = F.when(one, F.lit(0).cast("long")).otherwise(
                 F.aggregate(tree(x), F.lit(0).cast("long"), lambda a, m: a + F.call_function("shiftleft", F.lit(1).cast("long"), (63 - F.array_position(keys, m + _start(x))).cast("int")))
             )
-            newer = F.when(base["score"] + gain > acc["next"]["score"], F.struct((base["score"] + gain).alias("score"), F.concat(base["ids"], F.array(_id(x))).alias("ids"))).otherwise(acc["next"])
+            newer = _let(
+                base["score"] + gain,
+                lambda score: F.when(score > acc["next"]["score"], F.struct(score.alias("score"), F.concat(base["ids"], F.array(_id(x))).alias("ids"))).otherwise(acc["next"]),
+            )
             return F.when(one, F.struct(F.concat(acc["best"], F.array(newer)).alias("best"), nothing.alias("next"))).otherwise(F.struct(acc["best"].alias("best"), newer.alias("next")))
 
         ids = F.array().cast("array<int>")
@@ -254,7 +260,7 @@ def best_path(edges: Column, table: PieceTable) -> Column:
             base = F.get(acc["best"], (F.size(acc["best"]) - (_end(x) - _start(x))).cast("int"))
             made = F.struct(F.array_sort(F.concat(base["keys"], keys_of(x))).alias("keys"), F.concat(base["path"], F.array(x)).alias("path"))
             newer = _let(made, lambda c: F.when(acc["next"].isNull() | (c["keys"] < acc["next"]["keys"]), c).otherwise(acc["next"]))
-            window = _let(F.concat(acc["best"], F.array(newer)), lambda b: F.when(F.size(b) > table.longest, F.slice(b, F.lit(2), F.lit(table.longest))).otherwise(b))
+            window = _let(F.concat(acc["best"], F.array(newer)), lambda b: F.when(F.size(b) > longest, F.slice(b, F.lit(2), F.lit(longest))).otherwise(b))
             moved = _let(window, lambda b: settle(acc["done"], b))
             return F.when(single(x), moved).otherwise(F.struct(acc["done"].alias("done"), acc["best"].alias("best"), newer.alias("next")))
 

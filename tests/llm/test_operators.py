@@ -484,6 +484,57 @@ def test_warc_revisits(spark):
     assert warc.read_resolved(warc.write_archives(nothing(spark).select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("lang").alias("html")))).count() == 0
 
 
+def test_line_templates_equal_brute_force(spark):
+    """Whole lines without fields, by the rule as it is written, for short lines and passages."""
+    rng, rows = random.Random(33), []
+    shared = [prose(rng, n) for n in (1, 2, 6, 9, 55, 60, 70)]
+    for i in range(60):
+        lines = [prose(rng, 12) for _ in range(5)]
+        for k, x in enumerate(shared):
+            if rng.random() < (0.4 if k < 4 else 0.05):
+                lines.insert(rng.randrange(1, len(lines)), x)
+        rows.append((i, "\n".join(lines)))
+    twin = [prose(rng, 60) for _ in range(5)]
+    rows += [(100, "\n".join(twin)), (101, "\n".join([*twin[:2], prose(rng, 60), *twin[3:]]))]  # copies that differ in one line
+    at = collections.defaultdict(set)
+    for _, t in rows:
+        lines = t.split("\n")
+        for i, x in enumerate(lines):
+            at[x].add((t, lines[i - 1] if i else "", lines[i + 1] if i + 1 < len(lines) else ""))
+    bad = set()
+    for x, seen in at.items():
+        docs_ = len({t for t, _, _ in seen})
+        before, after, around = len({b for _, b, _ in seen}), len({a for _, _, a in seen}), len({(b, a) for _, b, a in seen})
+        if len(x.split()) >= 50:
+            if docs_ >= 2 and min(before, after) >= max(2, 0.4 * docs_) and around >= 0.4 * docs_:
+                bad.add(x)
+        elif docs_ >= 10 and around >= 0.4 * docs_:
+            bad.add(x)
+    assert {len(x.split()) for x in bad} >= {1, 2, 6, 9} and any(len(x.split()) >= 50 for x in bad)
+    got = {r.doc_id: r.text for r in line_templates.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in bad) for i, t in rows}
+
+
+CLASHES = ["hit", "hit_id", "__hit", "n_lines", "n_dropped", "score", "lang_pred", "n_words", "certainty", "node", "root", "size", "bands"]
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 30) + "\n" + prose(rng, 20), "en", "s", None, *range(i, i + len(CLASHES))) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, "")
+        assert out.columns == d.columns, name
+        assert sorted(tuple(r)[5:] for r in out.collect()) == sorted(r[5:] for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, d, "").select("doc_id").distinct().count() == 30
+    assert line_templates.drop_boilerplate(d).columns[-2:] == ["n_lines", "n_dropped"]
+    blank = d.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, blank, "").count() == 30
+    assert bagminhash.near_duplicates(d).columns == ["doc_id", "class_id", "copy_of"]
+
+
 # ---- pipeline -------------------------------------------------------------------------------
 
 
