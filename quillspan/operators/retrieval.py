@@ -29,17 +29,22 @@ class Index:
 
 
 def build_index(passages: DataFrame, fields: tuple[str, ...] = ("text",)) -> Index:
-    """Postings and term statistics of each field; all of them can be written as Parquet and read again."""
-    each = [passages.select(F.lit(f).alias("field"), "pos", tokens(F.col(f)).alias("t")) for f in fields]
+    """Postings and term statistics of each field; all of them can be written as Parquet and read again.
+
+    Passages are dealt by ``pos`` once: their terms are then counted where they are, and postings are not shuffled.
+    """
+    dealt = passages.repartition("pos")
+    each = [dealt.select(F.lit(f).alias("field"), "pos", tokens(F.col(f)).alias("t")) for f in fields]
     docs = each[0]
     for e in each[1:]:
         docs = docs.unionByName(e)
-    docs = docs.withColumn("size", F.size("t"))
-    postings = docs.select("field", "pos", "size", F.explode("t").alias("term")).groupBy("field", "term", "pos").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
-    totals = docs.groupBy("field").agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"))
-    # document frequencies come from each document's distinct terms, so they combine before the shuffle
-    df = docs.select("field", F.explode(F.array_distinct("t")).alias("term")).groupBy("field", "term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(totals), "field").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    counted = docs.select("field", "pos", F.size("t").alias("size"), F.explode("t").alias("term"))
+    postings = counted.groupBy("field", "pos", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size")).select("field", "term", "pos", "tf", "size")
+    found = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    held = passages.agg(F.count("*").alias("n"), *[F.count(f).alias(f"__{f}") for f in fields])
+    present = held.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__{f}").alias("texts")) for f in fields])).alias("x")).select("n", "x.field", "x.texts")
+    totals = present.join(found.groupBy("field").agg(F.sum("cf").alias("words")), "field", "left").select("field", "n", (F.coalesce("words", F.lit(0)) / F.col("texts")).alias("mean_size"))
+    raw = found.join(F.broadcast(totals), "field").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("field").agg(F.avg("raw").alias("mean_idf"))
     terms = raw.join(F.broadcast(mean), "field").select("field", "term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     return Index(passages, postings, terms, totals)

@@ -44,8 +44,9 @@ WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 @query(f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY term")
 def term_frequencies(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    each = t.groupBy("term", "doc_id").agg(F.count("*").alias("n"))  # two sums spread a frequent term over tasks
+    dealt = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    t = dealt.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    each = t.groupBy("doc_id", "term").agg(F.count("*").alias("n"))  # where the document is: only sums by term are shuffled
     return each.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 
