@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quillspan import queries as core
+from quillspan import queries_text
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
