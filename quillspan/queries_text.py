@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import evaluate as E
+from .operators import stats
+from .plans import optimize
 from .queries import query, table
+from .sources.records import hop_stratum, normalize_passages, normalize_questions, safe_metadata
 
 _ASCII = r"trim(regexp_replace(lower(regexp_replace(strip_accents({}), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -119,3 +122,79 @@ SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 5 THEN 'S0' WHEN l_disco
 def first_losses(spark, sf):
     kept = [("S0", F.col("l_quantity") >= 5), ("S1", F.col("l_discount") >= 0.02), ("S2", F.col("l_tax") >= 0.01), ("S3", F.col("l_returnflag") != "N")]
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", E.first_loss(kept).alias("lost"))
+
+
+# ---- records --------------------------------------------------------------------------------
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'q' || o_orderkey ELSE o_orderpriority END AS question, o_orderstatus AS answer, o_custkey % 2 = 0 AS has_note FROM orders
+""")
+def question_records(spark, sf):
+    raw = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("q"), F.col("o_orderkey").cast("string"))).alias("question"),
+        F.col("o_orderpriority").alias("query"), F.col("o_orderstatus").alias("answer"), F.when(F.col("o_custkey") % 2 == 0, "x").alias("note"),
+    )
+    q = normalize_questions(raw)
+    return q.select("id", "question", F.element_at("answers", 1).alias("answer"), F.map_contains_key("metadata", F.lit("note")).alias("has_note"))
+
+
+@query("""
+SELECT CASE WHEN p_partkey % 2 = 0 THEN 'p' || p_partkey ELSE p_name || '#0' END AS id, CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_brand || ' ' || p_type END AS text, p_name AS doc_id FROM part
+""")
+def passage_records(spark, sf):
+    raw = table(spark, sf, "part").select(
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).otherwise("").alias("id"), F.col("p_name").alias("title"),
+        F.when(F.col("p_partkey") % 5 != 0, F.array("p_brand", "p_type")).alias("text"), F.col("p_type").alias("context"),
+    )
+    return normalize_passages(raw)
+
+
+@query("""
+SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '2hop' WHEN 1 THEN '3hop' WHEN 2 THEN '4hop' ELSE 'unknown' END AS stratum FROM conversations
+""")
+def hop_strata(spark, sf):
+    prefix = F.get(F.array(F.lit("2hop__"), F.lit("3hop1__"), F.lit("4hop3__"), F.lit("5hop__")), (F.col("conv_id") % 4).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", hop_stratum(F.concat(prefix, F.col("conv_id").cast("string"), F.lit("_2hop"))).alias("stratum"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS segment, CAST(1 AS BIGINT) AS keys FROM customer")
+def safe_metadata_keys(spark, sf):
+    m = F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("Gold_Evidence"), F.col("c_name"), F.lit("supporting_facts"), F.col("c_name"))
+    return table(spark, sf, "customer").select("c_custkey", safe_metadata(m).alias("m")).select("c_custkey", F.col("m")["segment"].alias("segment"), F.size("m").cast("long").alias("keys"))
+
+
+# ---- outcomes and plans ---------------------------------------------------------------------
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 > l_partkey % 2 THEN 'exact_gain' WHEN l_linenumber % 2 < l_partkey % 2 THEN 'exact_loss'
+  WHEN l_tax > l_discount THEN 'overlap_gain' WHEN l_tax < l_discount THEN 'overlap_loss' ELSE 'unchanged' END AS change FROM lineitem
+""")
+def answer_changes(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", stats.change_class(F.col("l_discount"), F.col("l_tax"), F.col("l_partkey") % 2, F.col("l_linenumber") % 2).alias("change"))
+
+
+@query("""
+SELECT * FROM (VALUES (3, 9, 0.146, 0.0923), (0, 0, 1.0, 1.0), (5, 5, 1.0, 1.0), (0, 8, 0.0078, 0.0039), (12, 2, 0.0129, 0.0074)) t(b, c, p_exact, p_mid)
+""")
+def mcnemar_exact(spark, sf):
+    """Closed-form values: twice the binomial tail at a half, with and without half of its last term."""
+    rows = [(b, c, round(p["p_exact"], 4), round(p["p_mid"], 4)) for b, c in ((3, 9), (0, 0), (5, 5), (0, 8), (12, 2)) for p in [stats.mcnemar_p(b, c)]]
+    return spark.createDataFrame(rows, "b int, c int, p_exact double, p_mid double")
+
+
+_CARDS = "(SELECT n_regionkey AS plan, count(*) * 1.0 AS a, 2.0 + n_regionkey AS b, 1.5 AS c FROM nation GROUP BY n_regionkey)"
+
+
+@query(f"""
+SELECT plan, a + a * b + a * b * c AS cost, a + a * b + a * b * c - least(a + a*b + a*b*c, a + a*c + a*b*c, b + a*b + a*b*c, b + b*c + a*b*c, c + a*c + a*b*c, c + b*c + a*b*c) AS regret FROM {_CARDS}
+""")
+def order_regret(spark, sf):
+    """Plans of three slots whose cardinalities come from the regions (one small row each)."""
+    sizes = {r["n_regionkey"]: r["count"] for r in table(spark, sf, "nation").groupBy("n_regionkey").count().collect()}
+    rows = []
+    for plan, n in sizes.items():
+        card = {"a": float(n), "b": 2.0 + plan, "c": 1.5}
+        rows.append((plan, optimize.order_cost(["a", "b", "c"], card), optimize.regret(["a", "b", "c"], card)))
+    return spark.createDataFrame(rows, "plan int, cost double, regret double")
