@@ -1,7 +1,9 @@
 """FLAC media columns: a vectorised codec for mono streams of 8-bit samples.
 
 Streams are plain FLAC (STREAMINFO with MD5, a SEEKTABLE with one point for each frame, fixed-size
-blocks, CRC-8 headers, CRC-16 frames). The decoder reads constant, verbatim, fixed and LPC subframes with
+blocks, CRC-8 headers, CRC-16 frames). A stream whose seek points do not name every frame (the table is optional) is
+searched for sync codes: a frame begins where a header with a right CRC-8 and the next number stands, and ends where the
+CRC-16 of all between is right. The decoder reads constant, verbatim, fixed and LPC subframes with
 partitioned Rice residuals (escape partitions too); it steps through the samples of all frames of a
 batch in lockstep, so each numpy call serves thousands of frames. A byte b is the sample b - 128.
 
@@ -268,6 +270,53 @@ class StreamInfo:
             if kind & 128:
                 break
         self.frames_at = at
+        if sum(p[2] for p in self.points) != self.samples:
+            self.points = find_frames(stream, at)
+
+
+def read_header(head: bytes) -> tuple[int, int, int] | None:
+    """(frame number, samples, header bytes) of a fixed-blocking mono frame of 8-bit samples; None if it is none."""
+    if len(head) < 6 or head[:2] != b"\xff\xf8" or head[3] not in (0, 2):
+        return None
+    lead, p = head[4], 5
+    more = next((i for i in range(8) if not lead << i & 128), 8)
+    if more in (1, 8):
+        return None
+    v = lead & 127 if more == 0 else lead & (0x7F >> more)
+    for _ in range(max(0, more - 1)):
+        if p >= len(head):
+            return None
+        v, p = v << 6 | head[p] & 63, p + 1
+    code, rate = head[2] >> 4, head[2] & 15
+    wide = {6: 1, 7: 2}.get(code, 0)
+    if code == 0 or rate == 15:
+        return None
+    n = 192 if code == 1 else 576 << code - 2 if code < 6 else 256 << code - 8 if code > 7 else int.from_bytes(head[p : p + wide], "big") + 1
+    p += wide + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if p >= len(head) or crc8(head[:p]) != head[p]:
+        return None
+    return v, n, p + 1
+
+
+def find_frames(stream: bytes, frames_at: int) -> list[tuple[int, int, int]]:
+    """Seek points (first sample, offset from the first frame, samples) of all frames of a stream."""
+    data = np.frombuffer(stream, dtype=np.uint8)
+    sync = np.flatnonzero((data[frames_at:-1] == 0xFF) & (data[frames_at + 1 :] == 0xF8)) + frames_at
+    heads = [(a, h) for a in sync.tolist() if (h := read_header(stream[a : a + 20]))]
+    points, first, at = [], 0, 0
+    while at < len(heads):
+        a, (number, n, _) = heads[at]
+        if number != len(points) or (not points and a != frames_at):
+            raise ValueError("frames are missing or damaged")
+        ends = [(k, b) for k, (b, h) in enumerate(heads[at + 1 :], at + 1) if h[0] == number + 1] + [(len(heads), len(stream))]
+        for k, b in ends:  # a header's look-alike inside a frame does not end it
+            if b - a > 2 and crc16_frames(data, np.array([a]), np.array([b - a - 2]))[0] == int.from_bytes(stream[b - 2 : b], "big"):
+                break
+        else:
+            raise ValueError("damaged frame")
+        points.append((first, a - frames_at, n))
+        first, at = first + n, k
+    return points
 
 
 class _Bits:
@@ -306,20 +355,10 @@ def decode_frames(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tupl
     count = len(start)
     n, number, body = (np.empty(count, dtype=np.int64) for _ in range(3))
     for f, a in enumerate(start.tolist()):
-        head = data[a : a + 20].tobytes()
-        if head[:2] != b"\xff\xf8" or head[2] >> 4 not in (6, 7) or head[3] != 2:
-            raise ValueError("unexpected frame header")
-        lead, p = head[4], 5
-        more = next((i for i in range(8) if not lead << i & 128), 8)
-        v = lead & 127 if more == 0 else lead & (0x7F >> more)
-        for _ in range(max(0, more - 1)):
-            v, p = v << 6 | head[p] & 63, p + 1
-        wide = 2 if head[2] >> 4 == 7 else 1
-        n[f], number[f] = int.from_bytes(head[p : p + wide], "big") + 1, v
-        p += wide
-        if crc8(head[:p]) != head[p]:
-            raise ValueError("damaged frame header")
-        body[f] = a + p + 1
+        found = read_header(data[a : a + 20].tobytes())
+        if not found:
+            raise ValueError("unexpected or damaged frame header")
+        number[f], n[f], body[f] = found[0], found[1], a + found[2]
     back = np.argsort(-n, kind="stable")  # longest first: the frames that still run are a prefix
     n_s, bits = n[back], _Bits(data)
     pos = 8 * body[back]

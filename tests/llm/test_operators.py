@@ -455,6 +455,22 @@ def test_flac_round_trip(options):
         flac.decode_many([bytes(bad)])
 
 
+def test_flac_without_a_seek_table():
+    rng = np.random.default_rng(5)
+    tricky = rng.integers(0, 256, 6000, dtype=np.uint8)
+    for at in range(0, 5900, 61):  # look-alikes of headers in verbatim samples
+        tricky[at : at + 7] = np.frombuffer(flac.frame_header(at // 61 % 7, 1024)[:7], dtype=np.uint8) ^ 128
+    for payload in (tricky.tobytes(), bytes(64), (128 + 50 * np.sin(np.arange(9984) / 9)).astype(np.uint8).tobytes()):
+        stream = flac.encode_many([payload])[0]
+        info = flac.StreamInfo(stream)
+        bare = bytearray(stream[: 4 + 4 + 34] + stream[info.frames_at :])
+        bare[4] |= 128
+        again = flac.StreamInfo(bytes(bare))
+        assert again.points == info.points
+        assert flac.decode_many([bytes(bare)])[0].tobytes() == payload
+        assert flac.read_samples(bytes(bare), 10, 50).tobytes() == payload[10:60]
+
+
 def test_flac_describes_every_text(spark, docs):
     got = sorted(flac.describe(flac.store(docs)).collect(), key=lambda r: (r.doc_id, r.n_bytes))
     for (i, t), r in zip(ordered(docs), got, strict=True):
