@@ -394,7 +394,7 @@ def assemble(texts: list[str | None], rare: list[list[int]], shared: Dictionary,
 
 
 #: Bytes of text in a slice.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 def _slice_key(batch: pa.RecordBatch) -> bytes:
@@ -406,7 +406,7 @@ def _slice_key(batch: pa.RecordBatch) -> bytes:
     return h.digest()
 
 
-def encode(docs: DataFrame, model: Callable[[], str], dictionary: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, model: Callable[[], str], dictionary: int = 250_000) -> DataFrame:
     """(doc_id, text, ids) of (doc_id, text). ``model`` names the model file on the worker that calls it."""
     return _encoded(docs, model, dictionary, "doc_id long, text string, ids array<int>", _plain_rows)
 
@@ -503,6 +503,6 @@ def _digest_rows(doc_ids: pa.Array, texts: list[str], ids: list[np.ndarray], pat
     return pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=names)
 
 
-def digests(docs: DataFrame, model: Callable[[], str], dictionary: int = 400_000) -> DataFrame:
+def digests(docs: DataFrame, model: Callable[[], str], dictionary: int = 250_000) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_sha256, round_trip): every text encoded and decoded again."""
     return _encoded(docs, model, dictionary, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean", _digest_rows)
