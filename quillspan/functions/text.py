@@ -250,3 +250,34 @@ def failure_category(status: Column, error: Column, answer: Column) -> Column:
 def safe_id(c: Column) -> Column:
     """A file-name prefix of at most 80 characters and 12 hex digits of the SHA-256."""
     return F.concat_ws("-", F.substring(F.regexp_replace(c, r"[^A-Za-z0-9_-]+", "-"), 1, 80), F.substring(F.sha2(c, 256), 1, 12))
+
+
+#: Words that name a role's or a value's gender.
+FEMALE_ROLES = ["mother", "grandmother", "wife", "daughter", "sister", "aunt", "niece", "woman", "female"]
+MALE_ROLES = ["father", "grandfather", "husband", "son", "brother", "uncle", "nephew", "man", "male"]
+FEMALE_MARKERS = ["mrs", "ms", "miss", "lady", "queen", "princess", "duchess", "countess", "baroness", "empress", "mother", "wife", "daughter", "sister", "aunt", "niece"]
+MALE_MARKERS = ["mr", "mister", "sir", "lord", "earl", "king", "prince", "duke", "baron", "emperor", "father", "husband", "son", "brother", "uncle", "nephew"]
+#: Predicates whose passages are cut to the window about the anchor.
+WINDOW_PREDICATES = ["countryof", "countryoforigin", "countryofcitizenship", "nationality"]
+MORE_WINDOW_PREDICATES = ["hasnationality", "countryofbirth", "fromcountry", "nationalityof"]
+
+
+def _has_word(words: Column, listed: list[str]) -> Column:
+    return F.arrays_overlap(F.split(words, " "), F.array(*map(F.lit, listed)))
+
+
+def role_gender(field: Column) -> Column:
+    """female, male or null, by the words of a field's name (in normal form)."""
+    return F.when(_has_word(field, FEMALE_ROLES), "female").when(_has_word(field, MALE_ROLES), "male")
+
+
+def role_conflict(field: Column, value: Column) -> Column:
+    """Whether a value (in normal form, as the field) bears only markers of the other gender than the field asks for."""
+    male, female = _has_word(value, MALE_MARKERS), _has_word(value, FEMALE_MARKERS)
+    wanted = role_gender(field)
+    return F.coalesce(((wanted == "female") & male & ~female) | ((wanted == "male") & female & ~male), F.lit(False))
+
+
+def uses_window(predicate: Column, normalised: bool = False) -> Column:
+    """Whether a predicate (in normal form) takes the anchor's window of a passage."""
+    return F.replace(predicate, F.lit(" "), F.lit("")).isin(*WINDOW_PREDICATES, *(MORE_WINDOW_PREDICATES if normalised else []))

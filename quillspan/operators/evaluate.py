@@ -356,3 +356,9 @@ def sample_audit(sample: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Counts of a sample: rows, distinct keys, keys that the source lacks."""
     stray = sample.join(source.select(key).distinct().withColumn("__in", F.lit(1)), key, "left")
     return stray.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("distinct_keys"), F.count_if(F.col("__in").isNull()).alias("strays"))
+
+
+def run_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row: the count, and means in which a missing value is 0; zeros for no rows."""
+    mean = lambda m: F.coalesce(F.avg(F.coalesce(F.col(m).cast("double"), F.lit(0.0))), F.lit(0.0))
+    return rows.agg(F.count("*").alias("count"), *[mean(m).alias(m) for m in metrics])

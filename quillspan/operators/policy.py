@@ -45,40 +45,6 @@ def beam_select(candidates: DataFrame, least: int = 1, most: int = 4, budget: in
     return candidates.withColumns({"uncertainty": doubt, "width": width}).filter(F.col("beam_rank") <= F.col("width"))
 
 
-# ---- features -------------------------------------------------------------------------------
-
-
-def score_profile(ranked: DataFrame, score: str = "score", query: str = "query_id") -> DataFrame:
-    """Shape of each query's scores: margin, share, entropies, spread, robust z, discounted mass."""
-    w = Window.partitionBy(query)
-    x = F.col(score)
-    top = F.max(x).over(w)
-    base = ranked.withColumns({"__x": x, "__e": F.exp(x - top), "__pos": F.greatest(x, F.lit(0.0))})
-    base = base.withColumns({"__soft": F.col("__e") / F.sum("__e").over(w), "__share": F.try_divide(F.col("__pos"), F.sum("__pos").over(w)), "__r": F.row_number().over(w.orderBy(x.desc(), "pos")), "__med": F.median(x).over(w)})
-    plogp = lambda p: F.when(p > 0, -p * F.log(p)).otherwise(0.0)
-    agg = base.groupBy(query).agg(
-        F.count("*").alias("n"), F.max("__x").alias("top1"), F.max(F.when(F.col("__r") == 2, F.col("__x"))).alias("top2"), F.sum(plogp(F.col("__soft"))).alias("h_soft"), F.sum(plogp(F.coalesce("__share", F.lit(0.0)))).alias("h_share"),
-        F.max("__share").alias("top_share"), F.percentile("__x", F.lit(0.25)).alias("q1"), F.percentile("__x", F.lit(0.75)).alias("q3"), F.first("__med").alias("med"), F.percentile(F.abs(F.col("__x") - F.col("__med")), F.lit(0.5)).alias("mad"),
-        F.sum(F.coalesce("__share", F.lit(0.0)) / F.log2(F.col("__r") + 1.0)).alias("discounted_mass"),
-    )
-    log_n = F.when(F.col("n") > 1, F.log(F.col("n")))
-    return agg.select(
-        query, "n", "top1", (F.col("top1") - F.coalesce("top2", F.lit(0.0))).alias("margin"), F.coalesce(F.try_divide(F.col("top1") - F.coalesce("top2", F.lit(0.0)), F.abs("top1")), F.lit(0.0)).alias("margin_ratio"),
-        F.coalesce("top_share", F.lit(0.0)).alias("top_share"), F.coalesce(F.col("h_soft") / log_n, F.lit(0.0)).alias("score_entropy"), F.coalesce(F.col("h_share") / log_n, F.lit(0.0)).alias("relative_entropy"),
-        F.coalesce(F.try_divide(F.col("q3") - F.col("q1"), F.abs("top1")), F.lit(0.0)).alias("iqr_ratio"), F.coalesce(F.try_divide(F.col("top1") - F.col("med"), 1.4826 * F.col("mad")), F.lit(0.0)).alias("robust_z"), "discounted_mass",
-    )
-
-
-def rank_agreement(ranked: DataFrame, left: str, right: str, query: str = "query_id") -> DataFrame:
-    """Spearman agreement of two score columns mapped to [0, 1]; 1 for fewer than two common rows."""
-    both = ranked.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
-    r = lambda c: F.row_number().over(Window.partitionBy(query).orderBy(F.col(c).desc(), "pos"))
-    d = both.withColumns({"__a": r(left), "__b": r(right)})
-    out = d.groupBy(query).agg(F.count("*").alias("n"), F.sum((F.col("__a") - F.col("__b")) * (F.col("__a") - F.col("__b"))).alias("d2"))
-    rho = 1 - 6.0 * F.col("d2") / (F.col("n") * (F.col("n") * F.col("n") - 1))
-    return out.select(query, F.when(F.col("n") < 2, 1.0).otherwise((rho + 1) / 2).alias("agreement"))
-
-
 # ---- logistic calibration -------------------------------------------------------------------
 
 
@@ -155,7 +121,7 @@ class ActionCosts:
 
 
 def action_candidates(p: Column, state: dict[str, Column], costs: ActionCosts = ActionCosts()) -> Column:
-    """Array of struct(utility, gain, action, calls) of the actions that are open.
+    """Array of struct(utility, gain, action, calls, tokens, ms) of the actions that are open.
 
     ``state`` names columns: has_rows, answerable, calls_left, can_expand, can_question, can_slot, can_rewrite,
     can_switch, can_beam, can_backtrack (booleans but calls_left), and the features score_entropy,
@@ -168,7 +134,7 @@ def action_candidates(p: Column, state: dict[str, Column], costs: ActionCosts =
     def some(open_: Column, action: str, gain: Column, calls: int, tokens: int, ms: int) -> Column:
         gain = F.least(gain, F.lit(1.0))
         utility = gain - costs.call * calls - costs.token * tokens - costs.millisecond * ms
-        return F.when(open_, F.struct(F.round(utility, 12).alias("utility"), gain.alias("gain"), F.lit(action).alias("action"), F.lit(calls).alias("calls")))
+        return F.when(open_, F.struct(F.round(utility, 12).alias("utility"), gain.alias("gain"), F.lit(action).alias("action"), F.lit(calls).alias("calls"), F.lit(tokens).alias("tokens"), F.lit(ms).alias("ms")))
 
     return F.array_compact(
         F.array(

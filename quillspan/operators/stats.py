@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -220,3 +221,29 @@ def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
     z = (F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4.0) / F.sqrt(var)
     cdf = F.pandas_udf(lambda s: s.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None), "double")
     return out.withColumn("z", z).withColumn("p_value", cdf("z")).drop("ties")
+
+
+def permutation_interaction(deep: np.ndarray, shallow: np.ndarray, permutations: int = 10_000, seed: int = 2027) -> dict | None:
+    """One-sided permutation p of mean(deep) - mean(shallow) at fixed group sizes; null for fewer than five in a group.
+
+    The legacy generator is asked once for each permutation, so that a seed gives the same p as elsewhere.
+    """
+    a, b = np.asarray(deep, float), np.asarray(shallow, float)
+    if min(len(a), len(b)) < 5:
+        return None
+    rng, both = np.random.RandomState(seed), np.concatenate([a, b])
+    seen, reached = a.mean() - b.mean(), 0
+    for _ in range(permutations):
+        dealt = rng.permutation(both)
+        reached += dealt[: len(a)].mean() - dealt[len(a) :].mean() >= seen
+    return {"observed_difference": float(seen), "deep_n": len(a), "shallow_n": len(b), "deep_mean": float(a.mean()), "shallow_mean": float(b.mean()), "p_value": float(reached / permutations)}
+
+
+def loss_delta_interval(deltas: list[float], iterations: int = 2000, seed: int = 2027) -> dict:
+    """Mean of paired squared-error differences, with a 95 % interval from order statistics of resampled means."""
+    if not deltas or iterations < 100:
+        raise ValueError("at least one difference and 100 iterations are needed")
+    draw, n = random.Random(seed), len(deltas)
+    means = sorted(math.fsum(deltas[draw.randrange(n)] for _ in range(n)) / n for _ in range(iterations))
+    low, high = math.floor(0.025 * (iterations - 1)), math.ceil(0.975 * (iterations - 1))
+    return {"mean": math.fsum(deltas) / n, "ci_low": means[low], "ci_high": means[high], "n": n}

@@ -7,6 +7,7 @@ provider. Any object with ``rows(slot, contexts, calls)`` will do.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -67,6 +68,12 @@ class TextMaterializer:
     def __init__(self, index: retrieval.Index, extract: Extractor, top_k: int = 10):
         self.index, self.extract, self.top_k = index, extract, top_k
 
+    def expanded(self, top_k: int) -> "TextMaterializer":
+        """The same retrieval with a larger evidence window."""
+        if top_k <= self.top_k:
+            raise ValueError("an expanded window must be larger than the present one")
+        return TextMaterializer(self.index, self.extract, top_k)
+
     def rows(self, slot: Slot, contexts: DataFrame | None, calls: int) -> DataFrame:
         spark = self.index.passages.sparkSession
         if contexts is None:
@@ -108,13 +115,17 @@ class Result:
     calls: int = 0
 
 
-def choose_slot(left: list[Slot], bound: set[str], seen: dict[str, int], strategy: str, near: Callable[[str], set[str]], done: set[str], fixed: list[str]) -> Slot:
-    """The next slot: next to what is done where possible; adaptive: most bound and important for the least cost."""
+def choose_slot(left: list[Slot], bound: set[str], seen: dict[str, int], strategy: str, near: Callable[[str], set[str]], done: set[str], fixed: list[str], seed: int = 2027) -> Slot:
+    """The next slot: next to what is done where possible; oracle: fewest rows; adaptive: most bound and important for the least cost."""
     pool = [s for s in left if not done or near(s.id) & done] or left
     if strategy == "question":
         return pool[0]
     if strategy == "fixed":
         return next((s for x in fixed for s in pool if s.id == x), pool[0])
+    if strategy == "random":  # a seeded hash, so a retried run takes the same order
+        return min(pool, key=lambda s: hashlib.sha256(f"{seed}:{s.id}".encode()).digest())
+    if strategy == "oracle":
+        return min(pool, key=lambda s: (seen.get(s.id, s.cardinality), left.index(s)))
     return max(pool, key=lambda s: ((sum(v in bound for v in s.variables) + s.importance) / (s.cost * max(seen.get(s.id, s.cardinality), 1e-9)), -left.index(s)))
 
 

@@ -364,14 +364,6 @@ def binding_beam(spark, sf):
     return b.select("query_id", "flag", "state", F.col("beam_rank").cast("long").alias("beam_rank"), F.round("beam_score", 6).alias("beam_score"))
 
 
-@query(_LISTS_SQL + """, t AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM lb), e AS (SELECT *, exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY query_id) AS soft FROM t)
-SELECT query_id, count(*) AS n, round(max(score), 6) AS top1, round(max(score) - coalesce(max(score) FILTER (r = 2), 0), 6) AS margin, round(CASE WHEN count(*) > 1 THEN sum(CASE WHEN soft > 0 THEN -soft * ln(soft) ELSE 0 END) / ln(count(*)) ELSE 0 END, 6) AS score_entropy,
- round((quantile_cont(score, 0.75) - quantile_cont(score, 0.25)) / max(score), 6) AS iqr_ratio FROM e GROUP BY query_id""")
-def sufficiency_features(spark, sf):
-    p = policy.score_profile(_lists(spark, sf)[1])
-    return p.select("query_id", "n", *[F.round(c, 6).alias(c) for c in ("top1", "margin", "score_entropy", "iqr_ratio")])
-
-
 @query("SELECT doc_id, round(1 / (1 + exp(-(0.3 + 1.2 * (n_chars - 2000) / 1500.0 - 0.4 * (doc_id % 7 - 3) / 2.0))), 6) AS p, CASE WHEN 1 / (1 + exp(-(0.3 + 1.2 * (n_chars - 2000) / 1500.0 - 0.4 * (doc_id % 7 - 3) / 2.0))) >= 0.5 THEN 'SUFFICIENT' WHEN 1 / (1 + exp(-(0.3 + 1.2 * (n_chars - 2000) / 1500.0 - 0.4 * (doc_id % 7 - 3) / 2.0))) >= 0.25 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS status FROM documents")
 def sufficiency_predict(spark, sf):
     model = policy.Calibrator(["n_chars", "k"], [2000.0, 3.0], [1500.0, 2.0], [1.2, -0.4], 0.3)
