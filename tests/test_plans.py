@@ -127,3 +127,51 @@ def test_evidence_golden(spark):
     gold = spark.createDataFrame([("q", "d1#0"), ("q", "d2#0")], "query_id string, item string")
     got = {r.query_id: r for r in E.evidence_scores(ranked, gold).collect()}
     assert (got["q"].hit_1, got["q"].recall_1, got["q"].recall_5, got["q"].precision_5, got["q"].mrr) == (1.0, 0.5, 1.0, 0.4, 1.0) and got["n"].recall is None
+
+
+def test_bundles_spend_the_calls_that_they_are_allocated(spark):
+    texts = ["Ann founded X", "Bob founded Y", "Ann founded X and Ann founded X", "something else"]
+    passages = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "pos long, title string, text string")
+    shape = pattern_extractor({"Founded": r"(?P<person>\w+) founded (?P<company>\w+)"})
+    slot = Slot(id="s1", predicate="Founded", arguments=["?person", "?company"])
+    one = TextMaterializer(build_index(passages), shape, top_k=2)
+    both = TextMaterializer(one.index, shape, top_k=2, question="who is Bob")
+    each = TextMaterializer(one.index, shape, top_k=2, question="who is Bob", per_path=True)
+    assert (one.cost(2, False), both.cost(1, False), both.cost(2, True)) == (1, 1, 2)
+    assert TextMaterializer(one.index, shape, 2, "q", bound_single=True).cost(2, True) == 1
+    got = lambda m, calls: sorted((r.pos, r.person) for r in m.rows(slot, None, calls).collect())
+    assert (1, "Bob") in got(both, 2) and set(got(both, 1)) == set(got(one, 1)) == set(got(one, 2))
+    assert got(each, 2) == sorted(set(got(both, 2))), "equal rows of one source stay once"
+    assert got(one.expanded(4), 1) == [(0, "Ann"), (1, "Bob"), (2, "Ann"), (2, "Ann")]
+
+
+def test_bridges_mend_empty_slots_and_broken_joins(spark):
+    asked = []
+
+    class Source:
+        def rows(self, slot, contexts, calls):
+            asked.append((slot.id, None if contexts is None else sorted(tuple(r) for r in contexts.drop("pos").collect())))
+            if slot.id == "a":
+                data, names = [("Ann", "X")], ["person", "firm"]
+            elif contexts is not None and any("Y" in tuple(r) or "X" in tuple(r) for r in contexts.drop("pos").collect()) and len(asked) > 2:
+                data, names = [("X", "Rome")], ["firm", "city"]
+            else:
+                data, names = self.first, ["firm", "city"]
+            schema = ", ".join(f"{n} string" for n in names)
+            rows = spark.createDataFrame(data, schema)
+            return rows.selectExpr(*names, f"'{slot.id}' AS _slot_id", "'1' AS _source_id", "'t' AS _source_span", "1.0D AS _confidence", "1.0D AS _retrieval_score", "0L AS pos")
+
+    slots = [Slot(id="a", predicate="Works", arguments=["?person", "?firm"]), Slot(id="b", predicate="Seat", arguments=["?firm", "?city"])]
+    plan = SlotPlan(slots=slots, joins=[Join(left_slot="a", left_field="firm", right_slot="b", right_field="firm")], outputs=["?city"])
+    propose = lambda slot, variable, texts: ["", "X", "X", "Y"]
+    for first in ([], [("Z", "Oslo")]):
+        asked.clear()
+        Source.first = first
+        assert execute(plan, Source(), budget=4, strategy="question").status == "empty"
+        asked.clear()
+        out = execute(plan, Source(), budget=4, strategy="question", bridge=propose)
+        assert out.status == "ok" and out.bridges == 1 and out.calls == 3
+        assert [r.city for r in out.rows.collect()] == ["Rome"]
+        out.release()
+        asked.clear()
+        assert execute(plan, Source(), budget=2, strategy="question", bridge=propose).status == "empty"
