@@ -43,45 +43,49 @@ def _quantile(up: Column, q: float) -> Column:
     return left + (right - left) * (at - low)
 
 
-def _entropy(weights: Column) -> Column:
+def _entropy(weights: Column, total: Column) -> Column:
     """Entropy of an array of positive weights as a share of its largest possible value."""
-    total, n = _sum(weights), F.size(weights)
+    n = F.size(weights)
     bits = _sum(F.transform(weights, lambda w: F.when(w > 0, -(w / total) * F.log(w / total)).otherwise(0.0)))
     return F.when(n > 1, bits / F.log(n)).otherwise(0.0)
 
 
-def score_shape(scores: Column) -> dict[str, Column]:
-    """Shape of an array of scores in result order: 0 everywhere for an empty one.
+def with_shape(df: DataFrame, scores: str) -> DataFrame:
+    """Add the shape of an array of scores in result order: 0 everywhere for an empty one.
 
-    Masses are the scores above the smallest one, as shares; equal ones if no score differs.
+    Masses are the scores above the smallest one, as shares; equal ones if no score differs. Totals are columns of their
+    own, so that no lambda computes them for each element.
     """
-    n, low, high = F.size(scores), F.array_min(scores), F.array_max(scores)
-    up = F.array_sort(scores)
-    span, second = high - low, F.when(n > 1, F.get(up, n - 2)).otherwise(high)
-    total = _sum(F.transform(scores, lambda x: x - low))
-    mass = F.transform(scores, lambda x: F.when(total <= _TINY, F.lit(1.0) / n).otherwise((x - low) / total))
-    iqr = _quantile(up, 0.75) - _quantile(up, 0.25)
-    scale = F.when(iqr > _TINY, iqr).otherwise(span)
+    up = F.col("__up")
+    n, low, high = F.size(scores), F.get(up, F.lit(0)), F.get(up, F.size(up) - 1)
+    df = df.withColumn("__up", F.array_sort(scores))
+    df = df.withColumn("__total", _sum(F.transform(scores, lambda x: x - low)))
+    df = df.withColumn("__mass", F.transform(scores, lambda x: F.when(F.col("__total") <= _TINY, F.lit(1.0) / n).otherwise((x - low) / F.col("__total"))))
+    mass, span, second = F.col("__mass"), high - low, F.when(n > 1, F.get(up, n - 2)).otherwise(high)
+    df = df.withColumn("__iqr", _quantile(up, 0.75) - _quantile(up, 0.25))
+    scale = F.when(F.col("__iqr") > _TINY, F.col("__iqr")).otherwise(span)
     shape = {
         "backend_top1_score": high,
         "backend_top1_top2_margin": high - second,
         "backend_margin_ratio": _clip((high - second) / F.greatest(F.abs(high), F.abs(second), F.lit(_TINY)), 2.0),
         "backend_top1_share": F.array_max(mass),
-        "backend_relative_entropy": _clip(_entropy(mass), 1.0),
-        "backend_score_iqr_ratio": F.when(span > _TINY, iqr / span).otherwise(0.0),
+        "backend_relative_entropy": _clip(_entropy(mass, F.lit(1.0)), 1.0),
+        "backend_score_iqr_ratio": F.when(span > _TINY, F.col("__iqr") / span).otherwise(0.0),
         "backend_top1_robust_zscore": _clip(F.when(scale > _TINY, (high - _quantile(up, 0.5)) / scale).otherwise(0.0), 20.0),
         "backend_rank_discounted_mass": _clip(_sum(F.transform(mass, lambda m, i: m / F.log2(i + F.lit(2.0)))), 1.0),
     }
-    return {k: F.when(n > 0, v).otherwise(0.0) for k, v in shape.items()}
+    return df.withColumns({k: F.when(n > 0, v).otherwise(0.0) for k, v in shape.items()}).drop("__up", "__total", "__mass", "__iqr")
 
 
-def agreement(results: Column, left: str, right: str) -> Column:
-    """Spearman agreement in [0, 1] of two scores over the results that have both; 1 for fewer than two."""
+def agreement(df: DataFrame, results: str, left: str, right: str, name: str) -> DataFrame:
+    """Add the Spearman agreement in [0, 1] of two scores over the results that have both; 1 for fewer than two."""
     both = F.filter(results, lambda r: r[left].isNotNull() & r[right].isNotNull())
     order = lambda c: F.transform(F.array_sort(F.transform(both, lambda r: F.struct((-r[c]).alias("s"), r["passage_id"].alias("id")))), lambda r: r["id"])
-    n, there = F.size(both).cast("double"), order(right)
-    d2 = _sum(F.transform(order(left), lambda x, i: F.pow((i - F.array_position(there, x) + 1).cast("double"), F.lit(2.0))))
-    return F.when(n < 2, 1.0).otherwise(_clip((2 - 6 * d2 / (n * (n * n - 1))) / 2, 1.0))
+    df = df.withColumns({"__here": order(left), "__there": order(right)})
+    n = F.size("__here").cast("double")
+    d2 = _sum(F.zip_with("__here", F.transform("__here", lambda x, i: i), lambda x, i: F.pow((i - F.array_position(F.col("__there"), x) + 1).cast("double"), F.lit(2.0))))
+    df = df.withColumn("__d2", d2)
+    return df.withColumn(name, F.when(n < 2, 1.0).otherwise(_clip((2 - 6 * F.col("__d2") / (n * (n * n - 1))) / 2, 1.0))).drop("__here", "__there", "__d2")
 
 
 def features(contexts: DataFrame, results: DataFrame, rows: DataFrame, query: str = "query_id") -> DataFrame:
@@ -125,15 +129,17 @@ def features(contexts: DataFrame, results: DataFrame, rows: DataFrame, query: st
     down, top = F.col("down"), F.get("down", F.lit(0))
     present = F.array_compact(F.transform(F.col("joined"), lambda v: F.try_element_at(F.col("last"), v)))
     m = F.coalesce("n", F.lit(0))
-    out = score_shape(F.col("backend_scores")) | {
+    full = with_shape(full, "backend_scores").withColumn("__soft", F.transform(down, lambda x: F.exp(F.greatest(x - top, F.lit(-50.0))))).withColumn("__softs", _sum(F.col("__soft")))
+    full = agreement(agreement(full, "rs", "bm25_score", "dense_score", "sparse_dense_agreement"), "rs", "score", "rerank_score", "reranker_agreement")
+    out = {name: F.col(name) for name in FEATURES if name.startswith("backend_")} | {
         "top1_score": F.coalesce(top, F.lit(0.0)),
         "topk_score": F.when(n > 0, _sum(down) / n).otherwise(0.0),
         "topk_min_score": F.coalesce(F.array_min(down), F.lit(0.0)),
         "top1_top2_margin": F.coalesce(top - F.coalesce(F.get(down, F.lit(1)), top), F.lit(0.0)),
-        "score_entropy": _entropy(F.transform(down, lambda x: F.exp(F.greatest(x - top, F.lit(-50.0))))),
+        "score_entropy": _entropy(F.col("__soft"), F.col("__softs")),
         **{f"score_source_{s}": (F.col("source") == s).cast("double") for s in ("bm25", "dense", "reranker", "fused")},
-        "sparse_dense_agreement": agreement(rs, "bm25_score", "dense_score"),
-        "reranker_agreement": agreement(rs, "score", "rerank_score"),
+        "sparse_dense_agreement": F.col("sparse_dense_agreement"),
+        "reranker_agreement": F.col("reranker_agreement"),
         "new_entity_coverage": F.when(F.size("requested") > 0, F.size(F.array_intersect("requested", F.coalesce("covered", F.array().cast("array<string>")))) / F.size("requested")).otherwise((m > 0).cast("double")),
         "source_diversity": F.when(n > 0, F.size(F.array_distinct(F.transform(rs, lambda r: r["doc_id"]))) / n).otherwise(0.0),
         "predicate_coverage": coverage(F.col("predicate"), F.col("hay"), 0.0),

@@ -22,7 +22,7 @@ _CASES_SQL = _LISTS_SQL + """
  z AS (SELECT *, k - min(k) OVER q AS sh, exp(greatest(e - max(e) OVER q, -50)) AS w, row_number() OVER (PARTITION BY query_id, k IS NULL ORDER BY pos) AS place,
    CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, a IS NULL OR b IS NULL ORDER BY a DESC, pid) - row_number() OVER (PARTITION BY query_id, a IS NULL OR b IS NULL ORDER BY b DESC, pid) END AS d,
    row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pid) - row_number() OVER (PARTITION BY query_id ORDER BY r DESC, pid) AS dr FROM y WINDOW q AS (PARTITION BY query_id)),
- f AS (SELECT *, CASE WHEN sum(sh) OVER q <= 1e-12 THEN 1.0 / count(k) OVER q ELSE sh / sum(sh) OVER q END AS mass, w / sum(w) OVER q AS soft FROM z WINDOW q AS (PARTITION BY query_id)),
+ f AS (SELECT *, CASE WHEN k IS NULL THEN NULL WHEN sum(sh) OVER q <= 1e-12 THEN 1.0 / count(k) OVER q ELSE sh / sum(sh) OVER q END AS mass, w / sum(w) OVER q AS soft FROM z WINDOW q AS (PARTITION BY query_id)),
  per AS (SELECT query_id, count(*) AS n, count(k) AS nk, max(e) AS top, avg(e) AS mean, min(e) AS low, list(e ORDER BY e DESC) AS es, sum(CASE WHEN soft > 0 THEN -soft * ln(soft) ELSE 0 END) AS h, max(k) AS ktop, min(k) AS klow, list(k ORDER BY k DESC) FILTER (k IS NOT NULL) AS ks,
    max(mass) AS share, sum(CASE WHEN mass > 0 THEN -mass * ln(mass) ELSE 0 END) AS kh, quantile_cont(k, 0.25) AS q1, quantile_cont(k, 0.5) AS q2, quantile_cont(k, 0.75) AS q3, sum(mass / log2(place + 1)) AS discounted, sum(d * d) AS d2, count(d) AS nd, sum(dr * dr) AS dr2, count(DISTINCT pos % 20) AS docs FROM f GROUP BY query_id),
  t AS (SELECT query_id, count(*) AS m, avg(CASE WHEN pos % 5 <> 0 THEN 1.0 ELSE 0 END) AS valid, avg(CASE WHEN query_id % 4 = 0 THEN 1.0 WHEN pos % 4 <> 0 THEN 1.0 ELSE 0.5 END) AS filled, avg((pos % 10) / 10.0) AS confidence, bool_or(pos % 4 <> 0) AS sized, max(pos) AS last FROM lb WHERE rank <= 3 GROUP BY 1)
