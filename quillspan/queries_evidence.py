@@ -71,11 +71,11 @@ def sufficiency_features(spark, sf):
 
 @query("""
 WITH g AS (SELECT l_orderkey AS query_id, count(*) AS row_count, avg(round(l_discount * 100) / 16) AS c, max(CASE WHEN l_linenumber % 2 = 0 THEN l_tax * 10 END) AS best FROM lineitem GROUP BY 1)
-SELECT query_id, row_count, round(least(1.0, 0.7 * c + 0.3 * coalesce(best, c)), 6) AS probability, CASE WHEN c >= 0.5 THEN 'SUFFICIENT' ELSE 'PARTIAL' END AS status FROM g
+SELECT query_id, row_count, round(least(1.0, 0.7 * c + 0.3 * coalesce(best, c)), 9) AS probability, CASE WHEN c >= 0.5 THEN 'SUFFICIENT' ELSE 'PARTIAL' END AS status FROM g
 """)
 def runtime_proxy(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.round(F.col("l_discount") * 100) / 16).cast("double").alias("_confidence"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax") * 10).cast("double").alias("_retrieval_score"))
-    return S.runtime_proxy(li, 0).select("query_id", "row_count", F.round("probability", 6).alias("probability"), "status")
+    return S.runtime_proxy(li, 0).select("query_id", "row_count", F.round("probability", 9).alias("probability"), "status")
 
 
 _QUALITY = "CASE {a} WHEN 'ANSWER' THEN (doc_id % 100) / 100.0 WHEN 'EXPAND_TOPK' THEN (doc_id % 7) / 7.0 WHEN 'STOP_SLOT' THEN (doc_id % 5) / 10.0 ELSE 0.0 END"
