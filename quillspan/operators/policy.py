@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import polar_answer, vote_answer
+from .resample import poisson_bootstrap
 
 # ---- binding beam ---------------------------------------------------------------------------
 
@@ -77,26 +77,20 @@ class Calibrator:
         return cls(**json.loads(s))
 
 
-def calibrate(examples: DataFrame, names: list[str], label: str, most: int = 20_000, epochs: int = 800, rate: float = 0.15, l2: float = 1e-3) -> Calibrator:
-    """Fit by gradient descent on at most ``most`` examples (least hashes of their features)."""
-    rows = examples.select(*[F.col(n).cast("double").alias(n) for n in names], F.col(label).cast("double").alias("__y")).orderBy(F.xxhash64(*names, label)).limit(most).toPandas()
-    x, y = rows[names].fillna(0.0).to_numpy(float), rows["__y"].to_numpy(float)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale[scale < 1e-12] = 1.0
-    z, w, b = (x - mean) / scale, np.zeros(len(names)), 0.0
-    for _ in range(epochs):
-        g = 1 / (1 + np.exp(-(z @ w + b))) - y
-        w -= rate * (z.T @ g / len(y) + l2 * w)
-        b -= rate * g.mean()
-    p = 1 / (1 + np.exp(-(z @ w + b)))
-    grid = np.arange(1, 20) / 20
-
-    def f1(t: float) -> float:
-        tp = ((p >= t) & (y > 0)).sum()
-        return 2 * tp / max(1, (p >= t).sum() + (y > 0).sum())
-
-    best = max(grid.tolist(), key=lambda t: (round(f1(t), 12), -abs(t - 0.5)))
-    return Calibrator(names, mean.tolist(), scale.tolist(), w.tolist(), float(b), best, best / 2)
+def frozen_report(held: DataFrame, used: DataFrame, question: str, draws: int = 2000) -> DataFrame:
+    """(dataset, examples, selected_brier, comparator_brier, brier_delta, ci_low, ci_high) of frozen predictions.
+
+    ``held`` has (dataset, question, label, selected, comparator), ``used`` the questions that took part in fitting or selection:
+    any that is held out as well is an error. The interval is a percentile one over draws of whole questions.
+    """
+    shared = held.join(used.select(question).distinct(), question, "left_semi").select(question).limit(5).collect()
+    if shared:
+        raise ValueError(f"validation questions overlap selection data: {', '.join(str(r[0]) for r in shared)}")
+    loss = lambda c: F.pow(F.col(c) - F.col("label"), F.lit(2))
+    means = held.groupBy("dataset").agg(F.count("*").alias("examples"), F.avg(loss("selected")).alias("selected_brier"), F.avg(loss("comparator")).alias("comparator_brier"))
+    pairs = held.select("dataset", F.col(question).alias("__q"), loss("comparator").alias("reference"), loss("selected").alias("treatment"))
+    drawn = poisson_bootstrap(pairs, ["dataset"], F.col("__q"), draws)
+    return means.join(drawn, "dataset").select("dataset", "examples", "selected_brier", "comparator_brier", F.col("mean_difference").alias("brier_delta"), "ci_low", "ci_high")
 
 
 def calibration_report(scored: DataFrame, p: str = "p", label: str = "label", threshold: float = 0.5, bins: int = 10) -> tuple[DataFrame, DataFrame]:

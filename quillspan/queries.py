@@ -276,11 +276,37 @@ def evidence_rerank(spark, sf):
     return out.select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+def _graph_sql(candidates: int, k: int = 10, iterations: int = 30) -> str:
+    """Rounds written out one after the other over (query, passage) links."""
+    stop = ", ".join(f"'{w}'" for w in T.GRAPH_STOP_WORDS)
+    terms = lambda c: f"list_distinct(list_filter({WORDS.format(c)}, lambda w: length(w) >= 3 AND w NOT IN ({stop})))"
+    found = _bm25_sql({"text": "text"}, "1.0", candidates)
+    parts = [
+        f"hit AS MATERIALIZED ({found})",
+        f"n AS MATERIALIZED (SELECT h.query_id, h.pos, {terms('d.text')} AS t, {terms('b.text')} AS q FROM hit AS h JOIN documents AS d ON d.doc_id = h.pos JOIN benchmark AS b ON b.item_id = h.query_id)",
+        "x AS MATERIALIZED (SELECT query_id, pos, unnest(t) AS term FROM n)",
+        "rare AS MATERIALIZED (SELECT query_id, term FROM x GROUP BY ALL HAVING count(*) BETWEEN 2 AND 20)",
+        "xr AS MATERIALIZED (SELECT x.* FROM x JOIN rare USING (query_id, term))",
+        "e AS MATERIALIZED (SELECT DISTINCT a.query_id, a.pos, b.pos AS nbr FROM xr AS a JOIN xr AS b ON a.query_id = b.query_id AND a.term = b.term AND a.pos <> b.pos)",
+        "deg AS MATERIALIZED (SELECT query_id, pos, count(*) AS deg FROM e GROUP BY ALL)",
+        "ov AS MATERIALIZED (SELECT query_id, pos, len(list_intersect(t, q)) AS overlap FROM n)",
+        "seed AS MATERIALIZED (SELECT query_id, pos, overlap, deg, CASE WHEN sum(overlap) OVER w > 0 THEN overlap / sum(overlap) OVER w ELSE 1.0::DOUBLE / count(*) OVER w END AS seed FROM ov LEFT JOIN deg USING (query_id, pos) WINDOW w AS (PARTITION BY query_id))",
+        "r0 AS MATERIALIZED (SELECT query_id, pos, overlap, deg, seed, seed AS score FROM seed)",
+    ]
+    for i in range(iterations):
+        parts.append(f"g{i} AS MATERIALIZED (SELECT e.query_id, e.nbr AS pos, sum(score / deg) AS got FROM r{i} JOIN e USING (query_id, pos) GROUP BY ALL)")
+        parts.append(f"i{i} AS MATERIALIZED (SELECT query_id, sum(score) AS idle FROM r{i} WHERE deg IS NULL GROUP BY query_id)")
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT query_id, r.pos, overlap, deg, seed, 0.15 * seed + 0.85 * (coalesce(got, 0) + coalesce(idle, 0) * seed) AS score FROM r{i} AS r LEFT JOIN g{i} AS g USING (query_id, pos) LEFT JOIN i{i} USING (query_id))")
+    parts.append(f"o AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, overlap DESC, pos) AS rank FROM r{iterations})")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT query_id, pos, rank, round(score, 9) AS score FROM o WHERE rank <= {k}"
+
+
+@query(_graph_sql(100))
 def graph_ranking(spark, sf):
+    """The hundred best passages of each item, ranked by how they hang together."""
     docs, items = _corpus(spark, sf), _items(spark, sf)
-    hits = retrieval.bm25_top_k(retrieval.build_index(docs), items, 20).select("query_id", "pos")
-    return graph.graph_rank(hits.join(docs.select("pos", "text"), "pos").join(items, "query_id"))
+    hits = retrieval.bm25_top_k(retrieval.build_index(docs), items, 100).select("query_id", "pos")
+    return graph.graph_rank(hits.join(docs.select("pos", "text"), "pos").join(items, "query_id")).withColumn("score", F.round("score", 9))
 
 
 # ---- the plan operators ---------------------------------------------------------------------

@@ -277,21 +277,6 @@ def wilcoxon(spark, sf):
     return stats.wilcoxon(p, ["dataset"]).select("dataset", "n", F.round(F.col("w_plus").cast("double"), 6).alias("w_plus"))
 
 
-@query()
-def bootstrap_ci(spark, sf):
-    return stats.paired_bootstrap(_paired(spark, sf).na.drop(), ["dataset"])
-
-
-@query()
-def sign_flip(spark, sf):
-    return stats.sign_flip(_paired(spark, sf).na.drop(), ["dataset"])
-
-
-@query()
-def cluster_ci(spark, sf):
-    return stats.cluster_bootstrap(_paired(spark, sf).na.drop().withColumn("cluster", F.col("question_id") % 20), ["dataset"], "cluster")
-
-
 # ---- samples --------------------------------------------------------------------------------
 
 
