@@ -7,14 +7,15 @@ generalises the rest: a token that stands at its place in few of the leaf's docu
 lines, and no leaf has to fit a task. A line keeps at least ``constant`` of its tokens as
 constants, or it is a template by itself.
 
-A template is boilerplate, and its lines are dropped everywhere, if it stands in ``min_docs`` documents
-of different text and the lines before and after it differ from document to document (``variety``);
-so copies of one document, which share whole runs of lines, do not turn each other's text into boilerplate.
-A line of ``passage`` tokens or more is a shared passage in two documents already, if both the lines before it and the
-lines after it differ (copies that differ in one line still agree on one side of its neighbours).
+A template is boilerplate, and its lines are dropped everywhere, if it stands in enough documents that are independent of
+each other: ``min_docs`` of them for lines of up to ten tokens, fewer for longer lines, two from ``passage`` tokens on.
+Copies of a document, with their edits, count as one document. To tell them, each document has four anchors: min-hashes of
+the three-word runs of those of its lines that stand in no more documents than its median line. So boilerplate is no anchor, and edited
+lines of copies still agree in most runs. The documents of a template are contracted on one anchor after the other; what is
+left is the number of independent ones. Where a line stands does not count, so whole blocks go like single lines.
 
 Defined cases: a null text stays null; blank lines stay; lines that recur
-inside one document count once; a document may end up empty but is never dropped; equal rows give equal rows;
+inside one document count once; a document may end up empty but is never dropped; equal texts, with or without ids, give equal texts;
 ``n_chars`` is set to the new length where the column exists; other columns stay as they are, but columns ``n_lines`` and
 ``n_dropped`` of the input give way to the operator's own where these are asked for.
 """
@@ -24,13 +25,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, LongType
 
-from .common import claim, fresh, materialize
+from .common import claim, fresh, materialize, mix64, word_hashes
 
 WILD = "<*>"
 _VARIABLE = re.compile(r"\d|@|://")
@@ -54,53 +56,101 @@ def masked(line: str) -> list[str]:
     return tokens if wild.count(WILD) > (1 - CONSTANT) * len(wild) else wild
 
 
-def parse(text: str, depth: int, passage: int) -> Iterator[tuple[int, int, int, int, str]]:
-    """(leaf, line key, line before, line after, masked line) of every line; leaves of long lines are odd, others even."""
-    lines = [x for x in map(masked, text.split("\n")) if x]
-    joined = [" ".join(x) for x in lines]
-    keys = [_hash(x) for x in joined]
-    for i, tokens in enumerate(lines):
-        leaf = _hash(f"{len(tokens)} {' '.join(tokens[:depth])}")
-        yield leaf | 1 if len(tokens) >= passage else leaf & ~1, keys[i], keys[i - 1] if i else 0, keys[i + 1] if i + 1 < len(lines) else 0, joined[i]
+SIZE_BITS = 63
+ANCHORS = 4
+_SEEDS = mix64(np.arange(1, ANCHORS + 1, dtype=np.uint64))
+_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
-def boilerplate(docs: DataFrame, depth: int = 3, min_docs: int = 10, passage: int = 50, constant: float = CONSTANT, variety: float = 0.4, common_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(lines of the documents, keys of the lines whose template recurs): (doc_id, key), (key, template, docs)."""
-    slim = docs.filter("text IS NOT NULL").select("doc_id", "text")
-    long = F.col("leaf").bitwiseAND(F.lit(1)) == 1
+def parse(text: str, depth: int) -> Iterator[tuple[int, int, str]]:
+    """(leaf, line key, masked line) of every line; a leaf's low six bits hold the number of tokens, 63 at most."""
+    for tokens in map(masked, text.split("\n")):
+        if tokens:
+            line = " ".join(tokens)
+            yield _hash(f"{len(tokens)} {' '.join(tokens[:depth])}") & ~SIZE_BITS | min(len(tokens), SIZE_BITS), _hash(line), line
+
+
+def needed(leaf: Column, min_docs: int, passage: int) -> Column:
+    """Independent documents from which a line of the leaf's size is boilerplate: ``min_docs`` up to 10 tokens, falling to 2 at ``passage``."""
+    size = leaf.bitwiseAND(F.lit(SIZE_BITS))
+    falling = F.ceil(min_docs - (size - 10) * (min_docs - 2) / F.lit(float(max(1, passage - 10))))
+    return F.greatest(F.lit(min(2, min_docs)), F.least(F.lit(min_docs), falling))
+
+
+def line_minima(text: str, sizes: list[int]) -> np.ndarray:
+    """For each line of so many tokens (in order), the least hash of the three-word runs that start in it, under four hashes."""
+    words = np.concatenate((word_hashes(text), np.zeros(2, dtype=np.uint64)))
+    runs = (words[:-2] * _MULTIPLIER + words[1:-1]) * _MULTIPLIER + words[2:]
+    starts = np.concatenate(([0], np.cumsum(sizes[:-1]))).astype(np.int64)
+    return np.stack([np.minimum.reduceat(mix64(runs ^ seed), starts) for seed in _SEEDS], axis=1).view(np.int64)
+
+
+def anchors(minima: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """A document's anchors from its lines' minima and in how many documents each line stands."""
+    return minima[docs <= np.sort(docs)[(len(docs) - 1) // 2]].view(np.uint64).min(axis=0).view(np.int64)
+
+
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("lines")
+    for batch in batches:
+        rows = np.empty((len(batch), ANCHORS), dtype=np.int64)
+        for i, (keys, minima, known, counts) in enumerate(zip(*(batch[c].to_pylist() for c in ("keys", "minima", "known", "counts")), strict=True)):
+            at = dict(zip(known, counts, strict=True))
+            rows[i] = anchors(np.frombuffer(minima, dtype=np.int64).reshape(-1, ANCHORS), np.array([at.get(k, 1) for k in keys]))
+        yield pa.RecordBatch.from_arrays([batch["digest"], *(pa.array(rows[:, i]) for i in range(ANCHORS))], names=["digest", *(f"a{i}" for i in range(ANCHORS))])
+
+
+def independent(stands: DataFrame) -> DataFrame:
+    """(template, docs, independent) of (template, a0 ... a3), a row for each document: contracted on one anchor after the other."""
+    names = [f"a{i}" for i in range(ANCHORS)]
+    left = stands.groupBy("template", *names).agg(F.count("*").alias("n"))
+    for i in range(ANCHORS - 1):
+        rest = F.struct(*names[i + 1 :])
+        left = left.groupBy("template", names[i]).agg(F.max_by(rest, F.struct("n", *names[i + 1 :])).alias("r"), F.sum("n").alias("n")).select("template", "r.*", "n")
+    return left.groupBy("template", names[-1]).agg(F.sum("n").alias("n")).groupBy("template").agg(F.sum("n").alias("docs"), F.count("*").alias("independent"))
+
+
+def boilerplate(docs: DataFrame, depth: int = 3, min_docs: int = 10, passage: int = 50, constant: float = CONSTANT, common_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(line keys of each distinct text, keys of the lines whose template recurs): (digest, keys), (key, template, docs).
+
+    ``digest`` is Spark's xxhash64 of the text.
+    """
+    slim = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("digest"), "text")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lines")
         for batch in batches:
-            digests, leaves, keys = [], [], []
+            leaves, keys, minima = [], [], []
             for text in batch["text"].to_pylist():
-                rows = {k: leaf for leaf, k, _, _, _ in parse(text, depth, passage)}
-                digests.append(_hash(text))
+                sizes, rows = [], {}
+                for leaf, k, line in parse(text, depth):
+                    rows.setdefault(k, (leaf, len(sizes)))
+                    sizes.append(line.count(" ") + 1)
                 keys.append(list(rows))
-                leaves.append(list(rows.values()))
+                leaves.append([leaf for leaf, _ in rows.values()])
+                minima.append(line_minima(text, sizes)[[i for _, i in rows.values()]].tobytes() if rows else b"")
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.int64()), pa.array(leaves, kind), pa.array(keys, kind)], names=["doc_id", "digest", "leaves", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(leaves, kind), pa.array(keys, kind), pa.array(minima, pa.binary())], names=["digest", "leaves", "keys", "minima"])
 
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    lines = materialize(slim.mapInArrow(index, f"doc_id {doc_id}, digest long, leaves array<long>, keys array<long>"), "line-index")
-    leaves = lines.select("digest", F.explode(F.array_distinct("leaves")).alias("leaf")).distinct().groupBy("leaf").count().filter(F.col("count") >= F.when(long, 2).otherwise(min_docs)).select("leaf")
+    each = slim.mapInArrow(index, "digest long, leaves array<long>, keys array<long>, minima binary")
+    lines = materialize(each.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("leaves", "keys", "minima")]), "line-index")
+    need = needed(F.col("leaf"), min_docs, passage)
+    leaves = lines.select(F.explode(F.array_distinct("leaves")).alias("leaf")).groupBy("leaf").count().filter(F.col("count") >= need).select("leaf")
     leaves = materialize(leaves, "line-leaves")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lines")
         for batch in batches:
             out: list[tuple] = []
-            for text in batch["text"].to_pylist():
-                digest = _hash(text)
-                rows = {k: (digest, leaf, k, before, after, line) for leaf, k, before, after, line in parse(text, depth, passage)}
-                out += rows.values()
+            for digest, text in zip(batch["digest"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                out += {k: (digest, leaf, k, line) for leaf, k, line in parse(text, depth)}.values()
             if out:
-                kinds = (*[pa.int64()] * 5, pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["digest", "leaf", "key", "before", "after", "line"])
+                kinds = (*[pa.int64()] * 3, pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["digest", "leaf", "key", "line"])
 
-    spelled = slim.select("text").mapInArrow(spell, "digest long, leaf long, key long, before long, after long, line string").join(leaves, "leaf")
+    spelled = slim.mapInArrow(spell, "digest long, leaf long, key long, line string").join(leaves, "leaf")
     # a document's line once, however many copies the document has
-    found = materialize(spelled.groupBy("leaf", "key", "digest").agg(F.min("before").alias("before"), F.min("after").alias("after"), F.first("line").alias("line")), "line-found")
+    found = materialize(spelled.groupBy("leaf", "key", "digest").agg(F.first("line").alias("line")), "line-found")
     distinct = materialize(found.groupBy("leaf", "key").agg(F.first("line").alias("line"), F.count("*").alias("n")), "line-distinct")
     fields = distinct.select("leaf", "key", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
     # a share of the leaf, or a field's frequent values would become constants as the corpus grows
@@ -112,30 +162,29 @@ def boilerplate(docs: DataFrame, depth: int = 3, min_docs: int = 10, passage: in
     spelled_out = fields.join(common, ["leaf", "place", "token"], "left").select("leaf", "key", "place", F.coalesce(shown, F.lit(WILD)).alias("shown"))
     general = spelled_out.groupBy("leaf", "key").agg(F.array_sort(F.collect_list(F.struct("place", "shown"))).alias("f"), F.avg((F.col("shown") != WILD).cast("double")).alias("share"))
     general = materialize(general.select("leaf", "key", "share", F.array_join("f.shown", " ").alias("general")), "line-general")
-    own = distinct.join(general, ["leaf", "key"]).select("leaf", "key", F.when(F.col("share") >= constant, F.col("general")).otherwise(F.col("line")).alias("template"))
-    own = materialize(own, "line-templates")
-    stands = found.join(own, ["leaf", "key"]).groupBy("leaf", "template", "digest").agg(F.min("before").alias("before"), F.min("after").alias("after"))
-    stands = stands.groupBy("leaf", "template", "before", "after").agg(F.count("*").alias("docs"))
-    recurs = stands.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.count("*").alias("settings"), F.size(F.collect_set(F.when(long, F.col("before")))).alias("before"), F.size(F.collect_set(F.when(long, F.col("after")))).alias("after"))
-    varied = F.col("settings") >= variety * F.col("docs")
-    sides = F.least("before", "after") >= F.greatest(F.lit(2), variety * F.col("docs"))
-    recurs = materialize(recurs.filter(F.when(long, sides & varied).otherwise((F.col("docs") >= min_docs) & varied)), "line-recurs")
-    dropped = materialize(own.join(recurs, ["leaf", "template"]).select("key", "template", "docs"), "line-dropped")
-    return lines.select("doc_id", F.explode("keys").alias("key")), dropped
+    own = distinct.join(general, ["leaf", "key"]).select("leaf", "key", "n", F.when(F.col("share") >= constant, F.col("general")).otherwise(F.col("line")).alias("template"))
+    own = materialize(own.withColumn("template", F.xxhash64("leaf", "template")), "line-templates")
+    stands = materialize(found.select("leaf", "key", "digest").join(own, ["leaf", "key"]).select("template", "digest", "key", "n"), "line-stands")
+    held = stands.groupBy("digest").agg(F.collect_list("key").alias("known"), F.collect_list("n").alias("counts"))
+    anchored = lines.select("digest", "keys", "minima").join(held, "digest").mapInArrow(_anchored, "digest long, " + ", ".join(f"a{i} long" for i in range(ANCHORS)))
+    placed = stands.select("template", "digest").distinct().join(materialize(anchored, "line-anchors"), "digest").drop("digest")
+    wanted = own.groupBy("template").agg(F.min("leaf").alias("leaf")).withColumn("need", need)
+    recurs = independent(placed).join(wanted, "template").filter(F.col("independent") >= F.col("need")).select("template", "docs")
+    dropped = materialize(own.join(recurs, "template").select("key", "template", "docs"), "line-dropped")
+    return lines.select("digest", "keys"), dropped
 
 
 def drop_boilerplate(docs: DataFrame, counts: bool = True, **options: float) -> DataFrame:
     """The documents without the lines of recurring templates, with (n_lines, n_dropped) appended if ``counts``."""
     lines, dropped = boilerplate(docs, **options)
-    hits = lines.join(dropped.select("key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("hit"))
+    hits = lines.select("digest", F.explode("keys").alias("key")).join(dropped.select("key").distinct(), "key").groupBy("digest").agg(F.collect_set("key").alias("hit"))
     if counts:
         docs = docs.select([c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
     names = docs.columns
-    hit, hit_id = fresh("hit", names), fresh("hit_id", names)
-    hits = materialize(hits.withColumnsRenamed({"doc_id": hit_id, "hit": hit}), "line-hits")
+    hit, hit_text = fresh("hit", names), fresh("hit_text", names)
+    hits = materialize(hits.withColumnsRenamed({"digest": hit_text, "hit": hit}), "line-hits")
     # a sort-merge join at every size: the hits grow with the corpus
-    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col(hit_id)), "left").select(*names, hit)
-
+    joined = docs.join(hits.hint("merge"), F.when(F.col("text").isNotNull(), F.xxhash64("text")) == F.col(hit_text), "left").select(*names, hit)
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lines")
         for batch in batches:
