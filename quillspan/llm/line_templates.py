@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, LongType
 
-from .common import claim, fresh, materialize, mix64, word_hashes
+from .common import claim, fresh, materialize, mix64, text_slices, word_hashes
 
 WILD = "<*>"
 _VARIABLE = re.compile(r"\d|@|://")
@@ -57,8 +57,10 @@ def masked(line: str) -> list[str]:
 
 
 SIZE_BITS = 63
+#: Leaves sent to tasks at most, 4 MB; more are joined.
+MOST_SENT = 500_000
 ANCHORS = 4
-_SEEDS = mix64(np.arange(1, ANCHORS + 1, dtype=np.uint64))
+_SEEDS = mix64(np.arange(1, ANCHORS + 1, dtype=np.uint64)) | np.uint64(1)
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -77,12 +79,12 @@ def needed(leaf: Column, min_docs: int, passage: int) -> Column:
     return F.greatest(F.lit(min(2, min_docs)), F.least(F.lit(min_docs), falling))
 
 
-def line_minima(text: str, sizes: list[int]) -> np.ndarray:
-    """For each line of so many tokens (in order), the least hash of the three-word runs that start in it, under four hashes."""
-    words = np.concatenate((word_hashes(text), np.zeros(2, dtype=np.uint64)))
-    runs = (words[:-2] * _MULTIPLIER + words[1:-1]) * _MULTIPLIER + words[2:]
+def line_minima(texts: list[str], sizes: list[int]) -> np.ndarray:
+    """For each line of so many tokens (of all texts, in order), the least hash of the three-word runs that start in it, under four hashes."""
+    words = np.concatenate((word_hashes("\n".join(texts)), np.zeros(2, dtype=np.uint64)))
+    runs = mix64((words[:-2] * _MULTIPLIER + words[1:-1]) * _MULTIPLIER + words[2:])
     starts = np.concatenate(([0], np.cumsum(sizes[:-1]))).astype(np.int64)
-    return np.stack([np.minimum.reduceat(mix64(runs ^ seed), starts) for seed in _SEEDS], axis=1).view(np.int64)
+    return np.stack([np.minimum.reduceat(runs * seed, starts) for seed in _SEEDS], axis=1).view(np.int64)
 
 
 def anchors(minima: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -110,6 +112,37 @@ def independent(stands: DataFrame) -> DataFrame:
     return left.groupBy("template", names[-1]).agg(F.sum("n").alias("n")).groupBy("template").agg(F.sum("n").alias("docs"), F.count("*").alias("independent"))
 
 
+def _generalised(slim: DataFrame, leaves: DataFrame, distinct: DataFrame, depth: int, min_docs: int, constant: float, common_share: float) -> DataFrame:
+    """(leaf, key, template) of the lines of ``leaves`` that keep enough constants when rare tokens become fields."""
+    # few leaves (8 bytes each) go to the tasks, which then spell their lines only; more than that are joined
+    few = [r.leaf for r in leaves.limit(MOST_SENT + 1).collect()]
+    known = frozenset(few) if len(few) <= MOST_SENT else None
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
+        for batch in batches:
+            out: dict[int, tuple] = {}
+            for text in batch["text"].to_pylist():
+                out |= {k: (leaf, k, line) for leaf, k, line in parse(text, depth) if known is None or leaf in known}
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out.values()), (pa.int64(), pa.int64(), pa.string()))], names=["leaf", "key", "line"])
+
+    spelled = slim.select("text").mapInArrow(spell, "leaf long, key long, line string")
+    if known is None:
+        spelled = spelled.join(leaves, "leaf", "left_semi")
+    spelled = materialize(spelled.groupBy("leaf", "key").agg(F.first("line").alias("line")).join(distinct, ["leaf", "key"]), "line-spelled")
+    fields = spelled.select("leaf", "key", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
+    # a share of the leaf, or a field's frequent values would become constants as the corpus grows
+    sizes = spelled.groupBy("leaf").agg(F.sum("n").alias("size"))
+    common = fields.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).join(sizes, "leaf")
+    common = common.filter(F.col("n") >= common_share * F.col("size")).select("leaf", "place", "token", F.lit(True).alias("common"))
+    common = materialize(common, "line-fields")
+    shown = F.when(F.col("common") & (F.col("token") != WILD), F.col("token")).otherwise(WILD)
+    spelled_out = fields.join(common, ["leaf", "place", "token"], "left").select("leaf", "key", "place", F.coalesce(shown, F.lit(WILD)).alias("shown"))
+    general = spelled_out.groupBy("leaf", "key").agg(F.array_sort(F.collect_list(F.struct("place", "shown"))).alias("f"), F.avg((F.col("shown") != WILD).cast("double")).alias("share"))
+    return general.filter(F.col("share") >= constant).select("leaf", "key", F.xxhash64("leaf", F.array_join("f.shown", " ")).alias("template"))
+
+
 def boilerplate(docs: DataFrame, depth: int = 3, min_docs: int = 10, passage: int = 50, constant: float = CONSTANT, common_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(line keys of each distinct text, keys of the lines whose template recurs): (digest, keys), (key, template, docs).
 
@@ -119,52 +152,33 @@ def boilerplate(docs: DataFrame, depth: int = 3, min_docs: int = 10, passage: in
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lines")
-        for batch in batches:
-            leaves, keys, minima = [], [], []
-            for text in batch["text"].to_pylist():
-                sizes, rows = [], {}
+        for batch in text_slices(batches, most=1_000_000):
+            leaves, keys, firsts, sizes = [], [], [], []
+            texts = batch["text"].to_pylist()
+            for text in texts:
+                rows = {}
                 for leaf, k, line in parse(text, depth):
                     rows.setdefault(k, (leaf, len(sizes)))
                     sizes.append(line.count(" ") + 1)
                 keys.append(list(rows))
                 leaves.append([leaf for leaf, _ in rows.values()])
-                minima.append(line_minima(text, sizes)[[i for _, i in rows.values()]].tobytes() if rows else b"")
+                firsts.append([i for _, i in rows.values()])
+            minima = line_minima(texts, sizes) if sizes else np.empty((0, ANCHORS), dtype=np.int64)
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(leaves, kind), pa.array(keys, kind), pa.array(minima, pa.binary())], names=["digest", "leaves", "keys", "minima"])
+            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(leaves, kind), pa.array(keys, kind), pa.array([minima[f].tobytes() if f else b"" for f in firsts], pa.binary())], names=["digest", "leaves", "keys", "minima"])
 
     each = slim.mapInArrow(index, "digest long, leaves array<long>, keys array<long>, minima binary")
     lines = materialize(each.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("leaves", "keys", "minima")]), "line-index")
     need = needed(F.col("leaf"), min_docs, passage)
-    leaves = lines.select(F.explode(F.array_distinct("leaves")).alias("leaf")).groupBy("leaf").count().filter(F.col("count") >= need).select("leaf")
-    leaves = materialize(leaves, "line-leaves")
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("lines")
-        for batch in batches:
-            out: list[tuple] = []
-            for digest, text in zip(batch["digest"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                out += {k: (digest, leaf, k, line) for leaf, k, line in parse(text, depth)}.values()
-            if out:
-                kinds = (*[pa.int64()] * 3, pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["digest", "leaf", "key", "line"])
-
-    spelled = slim.mapInArrow(spell, "digest long, leaf long, key long, line string").join(leaves, "leaf")
+    pairs = lines.select("digest", F.explode(F.arrays_zip("leaves", "keys")).alias("x")).select("digest", F.col("x.leaves").alias("leaf"), F.col("x.keys").alias("key"))
+    leaves = pairs.groupBy("leaf").agg(F.count("*").alias("docs"), F.min("key").alias("low"), F.max("key").alias("high")).filter(F.col("docs") >= need)
+    leaves = materialize(leaves.select("leaf", ((F.col("docs") >= min_docs) & (F.col("low") < F.col("high"))).alias("several")), "line-leaves")
     # a document's line once, however many copies the document has
-    found = materialize(spelled.groupBy("leaf", "key", "digest").agg(F.first("line").alias("line")), "line-found")
-    distinct = materialize(found.groupBy("leaf", "key").agg(F.first("line").alias("line"), F.count("*").alias("n")), "line-distinct")
-    fields = distinct.select("leaf", "key", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    # a share of the leaf, or a field's frequent values would become constants as the corpus grows
-    sizes = distinct.groupBy("leaf").agg(F.sum("n").alias("size"))
-    common = fields.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).join(sizes, "leaf")
-    common = common.filter(F.col("n") >= common_share * F.col("size")).select("leaf", "place", "token", F.lit(True).alias("common"))
-    common = materialize(common, "line-fields")
-    shown = F.when(F.col("common") & (F.col("token") != WILD), F.col("token")).otherwise(WILD)
-    spelled_out = fields.join(common, ["leaf", "place", "token"], "left").select("leaf", "key", "place", F.coalesce(shown, F.lit(WILD)).alias("shown"))
-    general = spelled_out.groupBy("leaf", "key").agg(F.array_sort(F.collect_list(F.struct("place", "shown"))).alias("f"), F.avg((F.col("shown") != WILD).cast("double")).alias("share"))
-    general = materialize(general.select("leaf", "key", "share", F.array_join("f.shown", " ").alias("general")), "line-general")
-    own = distinct.join(general, ["leaf", "key"]).select("leaf", "key", "n", F.when(F.col("share") >= constant, F.col("general")).otherwise(F.col("line")).alias("template"))
-    own = materialize(own.withColumn("template", F.xxhash64("leaf", "template")), "line-templates")
-    stands = materialize(found.select("leaf", "key", "digest").join(own, ["leaf", "key"]).select("template", "digest", "key", "n"), "line-stands")
+    found = materialize(pairs.join(leaves.select("leaf"), "leaf", "left_semi"), "line-found")
+    distinct = materialize(found.groupBy("leaf", "key").agg(F.count("*").alias("n")), "line-distinct")
+    general = _generalised(slim, leaves.filter("several").select("leaf"), distinct, depth, min_docs, constant, common_share)
+    own = materialize(distinct.join(general, ["leaf", "key"], "left").withColumn("template", F.coalesce("template", "key")), "line-templates")
+    stands = materialize(found.join(own, ["leaf", "key"]).select("template", "digest", "key", "n"), "line-stands")
     held = stands.groupBy("digest").agg(F.collect_list("key").alias("known"), F.collect_list("n").alias("counts"))
     anchored = lines.select("digest", "keys", "minima").join(held, "digest").mapInArrow(_anchored, "digest long, " + ", ".join(f"a{i} long" for i in range(ANCHORS)))
     placed = stands.select("template", "digest").distinct().join(materialize(anchored, "line-anchors"), "digest").drop("digest")

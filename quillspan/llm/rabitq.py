@@ -236,7 +236,8 @@ def _cores(heads: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame:
     """(node, core): vectors of crowded buckets within half the threshold's angle of a pivot; one core each."""
     picked = crowded.select("band", "bucket", F.explode("picked").alias("node")).join(heads.select("node", "vec"), "node")
     pivots = picked.groupBy("band", "bucket").agg(F.collect_list(F.struct("node", "vec")).alias("pivots"))  # at most 8
-    members = heads.select("node", "vec", F.posexplode("bands").alias("band", "bucket")).join(pivots, ["band", "bucket"])
+    # only members of crowded buckets carry their vector to the pivots
+    members = heads.select("node", "vec", F.posexplode("bands").alias("band", "bucket")).join(crowded.select("band", "bucket"), ["band", "bucket"], "left_semi").join(pivots, ["band", "bucket"])
     near = members.select("node", "vec", "pivots").mapInArrow(_near_pivots(math.acos(threshold) / 2), "node long, core long")
     return materialize(near.groupBy("node").agg(F.min("core").alias("core")), "rabitq-cores")
 
