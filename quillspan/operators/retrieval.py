@@ -8,16 +8,20 @@ go to the smaller ``pos``; documents without any hit score 0 and fill up short l
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from ..sources.scratch import written
 
 
 @dataclass
@@ -26,24 +30,53 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
+    #: the smallest places, for short result lists; null if they are not kept
+    lowest: list | None = None
+
+
+_TOKEN = re.compile(r"\w+")
 
 
 def build_index(passages: DataFrame, fields: tuple[str, ...] = ("text",)) -> Index:
-    """Postings and term statistics of each field; all of them can be written as Parquet and read again.
+    """Postings and term statistics of each field.
 
-    Passages are dealt by ``pos`` once: their terms are then counted where they are, and postings are not shuffled.
+    Terms are counted inside the passage's row, so no text is shuffled; postings are written once to the shared scratch
+    folder, from which statistics and searches read them.
     """
-    dealt = passages.repartition("pos")
-    each = [dealt.select(F.lit(f).alias("field"), "pos", tokens(F.col(f)).alias("t")) for f in fields]
-    docs = each[0]
+    return index_of(passages, written(count_terms(passages, fields), "bm25-postings"), fields)
+
+
+def count_terms(passages: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(field, term, pos, tf, size) of every passage: a token is a run of letters, digits and underscores in lower case."""
+    each = [passages.select(F.lit(f).alias("field"), "pos", F.lower(f).alias("text")).filter("text IS NOT NULL") for f in fields]
+    held = each[0]
     for e in each[1:]:
-        docs = docs.unionByName(e)
-    counted = docs.select("field", "pos", F.size("t").alias("size"), F.explode("t").alias("term"))
-    postings = counted.groupBy("field", "pos", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size")).select("field", "term", "pos", "tf", "size")
+        held = held.unionByName(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, counts, ends, sizes = [], [], [0], []
+            for text in b["text"].to_pylist():
+                found = _TOKEN.findall(text)
+                c = Counter(found)
+                terms += c.keys()
+                counts += c.values()
+                ends.append(len(terms))
+                sizes.append(len(found))
+            ends = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_pydict({"field": b["field"], "pos": b["pos"], "size": pa.array(sizes, pa.int32()), "terms": pa.ListArray.from_arrays(ends, pa.array(terms, pa.string())), "tfs": pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))})
+
+    pos = passages.schema["pos"].dataType.simpleString()
+    counted = held.mapInArrow(run, f"field string, pos {pos}, size int, terms array<string>, tfs array<bigint>")
+    return counted.select("field", "pos", "size", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("field", F.col("x.terms").alias("term"), "pos", F.col("x.tfs").alias("tf"), "size")
+
+
+def index_of(passages: DataFrame, postings: DataFrame, fields: tuple[str, ...]) -> Index:
+    """The index over given postings, with document frequencies, idf and mean sizes of each field."""
     found = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     held = passages.agg(F.count("*").alias("n"), *[F.count(f).alias(f"__{f}") for f in fields])
     present = held.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__{f}").alias("texts")) for f in fields])).alias("x")).select("n", "x.field", "x.texts")
-    totals = present.join(found.groupBy("field").agg(F.sum("cf").alias("words")), "field", "left").select("field", "n", (F.coalesce("words", F.lit(0)) / F.col("texts")).alias("mean_size"))
+    totals = present.join(found.groupBy("field").agg(F.sum("cf").alias("words")), "field", "left").select("field", "n", F.try_divide(F.coalesce("words", F.lit(0)).cast("double"), F.col("texts").cast("double")).alias("mean_size"))
     raw = found.join(F.broadcast(totals), "field").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("field").agg(F.avg("raw").alias("mean_idf"))
     terms = raw.join(F.broadcast(mean), "field").select("field", "term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -60,7 +93,6 @@ def bm25_scores(index: Index, queries: DataFrame, weights: dict[str, float] | No
     asked = queries.select("query_id", per_field.alias("w"), F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"), F.first("w").alias("w"))
     asked = asked.select("query_id", "term", "times", F.explode("w").alias("field", "weight")).filter("weight <> 0")
     known = asked.join(index.terms.select("field", "term", "idf"), ["field", "term"])
-    # the semi-join on the grouping keys moves below the postings' aggregation: only asked terms are counted
     postings = index.postings.join(asked.select("field", "term").distinct(), ["field", "term"], "left_semi")
     hits = postings.join(known, ["field", "term"]).join(F.broadcast(index.totals), "field")
     part = F.col("weight") * F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
@@ -77,50 +109,41 @@ def bm25_top_k(index: Index, queries: DataFrame, k: int, weights: dict[str, floa
     """Best k passages of each query; with ``pad``, passages that score 0 fill up, smallest ``pos`` first."""
     scores = bm25_scores(index, queries, weights)
     if pad:
-        first = [r.pos for r in index.passages.select("pos").orderBy("pos").limit(k).collect()]  # k numbers
+        first = index.lowest[:k] if index.lowest is not None and len(index.lowest) >= k else [r.pos for r in index.passages.select("pos").orderBy("pos").limit(k).collect()]  # k numbers
         filler = queries.select("query_id", F.explode(F.array(*[F.lit(p).cast("long") for p in first])).alias("pos"), F.lit(0.0).alias("score"))
         scores = scores.unionByName(filler).groupBy("query_id", "pos").agg(F.sum("score").alias("score"))
     return top_k(scores, k)
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """Exact cosine search: queries (query_id, vector) in blocks of bounded size against all (pos, vector) rows.
+    """Exact cosine search of (query_id, vector) queries in all (pos, vector) rows.
 
-    Each task keeps the k best of its rows for each query of the block, so few rows are shuffled.
+    Blocks of queries meet blocks of vectors, one task group each, which keeps the k best of its rows for each of
+    its queries; these are merged. The plan is the same for any number of queries. Zero vectors score 0.
     """
     spark = vectors.sparkSession
-    out: DataFrame | None = None
-    rows = queries.select("query_id", "vector").toLocalIterator()
-    batch: list = []
-
-    def search(part: list) -> DataFrame:
-        ids = np.array([r.query_id for r in part])
-        q = np.array([r.vector for r in part], dtype=np.float64)
-        q_norm = np.sqrt((q * q).sum(axis=1))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
-                if not len(t):
-                    continue
-                pos = t["pos"].to_numpy(zero_copy_only=False)
-                v = np.stack(t["vector"].to_numpy(zero_copy_only=False)).astype(np.float64)
-                dots = q @ v.T
-                score = np.where(q_norm[:, None] == 0, 0.0, dots / np.maximum(q_norm[:, None] * np.sqrt((v * v).sum(axis=1))[None, :], 1e-12))
-                best = np.lexsort((np.broadcast_to(pos, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                take = np.take_along_axis(score, best, axis=1)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, best.shape[1])), "pos": pa.array(pos[best].ravel()), "score": pa.array(take.ravel())})
-
-        return vectors.select("pos", "vector").mapInArrow(run, "query_id long, pos long, score double")
-
-    for r in rows:
-        batch.append(r)
-        if len(batch) == block:
-            out, batch = search(batch) if out is None else out.unionByName(search(batch)), []
-    if batch:
-        out = search(batch) if out is None else out.unionByName(search(batch))
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, pos long, score double")
-    return top_k(out, k)
+    asked = max(1, -(-queries.count() // block))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // (16 * block)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = vectors.select("pos", "vector", place("pos", parts).alias("part"), upto(asked).alias("asked"))
+    right = queries.select(F.col("query_id").alias("query"), F.col("vector").alias("wanted"), place("query_id", asked).alias("asked"), upto(parts).alias("part"))
+    pos, query = vectors.schema["pos"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def run(rows: pa.Table, asking: pa.Table) -> pa.Table:
+        matrix = lambda c: np.stack(c.combine_chunks().to_numpy(zero_copy_only=False)).astype(np.float64)
+        if not len(rows) or not len(asking):
+            return pa.table({"query_id": asking["query"].slice(0, 0), "pos": rows["pos"].slice(0, 0), "score": pa.array([], pa.float64())})
+        v, q = matrix(rows["vector"]), matrix(asking["wanted"])
+        q_norm, v_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
+        score = np.where(q_norm[:, None] == 0, 0.0, q @ v.T / np.maximum(q_norm[:, None] * v_norm[None, :], 1e-12))
+        place = pa.compute.rank(rows["pos"].combine_chunks(), tiebreaker="first").to_numpy().astype(np.int64)
+        best = np.lexsort((np.broadcast_to(place, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+        take = pa.array(best.ravel())
+        return pa.table({"query_id": asking["query"].take(pa.array(np.repeat(np.arange(len(q)), best.shape[1]))), "pos": rows["pos"].take(take), "score": np.take_along_axis(score, best, axis=1).ravel()})
+
+    found = left.groupBy("part", "asked").cogroup(right.groupBy("part", "asked")).applyInArrow(run, f"query_id {query}, pos {pos}, score double")
+    return top_k(found, k)
 
 
 def rank_fusion(ranked: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from .plans.compile import director_extremum
 from .plans.execute import Relation, TableMaterializer, execute
 from .plans.model import Join, LogicalPlan, Operator, Slot, SlotPlan
 from .plans.optimize import SearchOptions, search
+from .sources import store
 from .sources.records import dense_positions
+from .sources.scratch import scratch_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,10 +47,8 @@ WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 @query(f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY term")
 def term_frequencies(spark, sf):
-    dealt = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
-    t = dealt.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    each = t.groupBy("doc_id", "term").agg(F.count("*").alias("n"))  # where the document is: only sums by term are shuffled
-    return each.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    counted = retrieval.count_terms(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text"))  # in the document's row: only sums by term are shuffled
+    return counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
 @query(r"""
@@ -158,20 +159,29 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.select("query_id", "pos", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+_FIELDS = ("text", "title")
+
+
+def _index(spark, sf) -> retrieval.Index:
+    """The one stored index of the documents' texts and titles that all retrieval queries share; built where it is absent or does not fit."""
+    path = f"{scratch_root(spark)}/bm25-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    return store.open_or_build(spark, path, _corpus(spark, sf), lambda p: retrieval.build_index(p, _FIELDS), store.Identity(dataset=sf, fields=_FIELDS))[0]
+
+
 @query(_bm25_sql({"text": "text"}, "1.0", 10))
 def bm25_topk(spark, sf):
-    return _ranked(retrieval.bm25_top_k(retrieval.build_index(_corpus(spark, sf)), _items(spark, sf), 10))
+    return _ranked(retrieval.bm25_top_k(_index(spark, sf), _items(spark, sf), 10))
 
 
 @query(_bm25_sql({"text": "text", "title": "source"}, "(CASE post.field WHEN 'title' THEN 2.0 ELSE 1.0 END)", 10))
 def bm25f_topk(spark, sf):
-    index = retrieval.build_index(_corpus(spark, sf), ("text", "title"))
+    index = _index(spark, sf)
     return _ranked(retrieval.bm25_top_k(index, _items(spark, sf), 10, {"text": 1.0, "title": 2.0}))
 
 
 @query(_bm25_sql({"text": "text", "title": "source"}, "(CASE WHEN post.field = 'text' THEN 1.0 WHEN item_id % 2 = 0 THEN 0.0 ELSE 2.0 END)", 10))
 def bm25_access_modes(spark, sf):
-    index = retrieval.build_index(_corpus(spark, sf), ("text", "title"))
+    index = _index(spark, sf)
     title = F.when(F.col("query_id") % 2 == 0, 0.0).otherwise(2.0)
     q = _items(spark, sf).withColumn("weights", F.create_map(F.lit("text"), F.lit(1.0), F.lit("title"), title))
     return _ranked(retrieval.bm25_top_k(index, q, 10))
@@ -305,7 +315,7 @@ def _graph_sql(candidates: int, k: int = 10, iterations: int = 30) -> str:
 def graph_ranking(spark, sf):
     """The hundred best passages of each item, ranked by how they hang together."""
     docs, items = _corpus(spark, sf), _items(spark, sf)
-    hits = retrieval.bm25_top_k(retrieval.build_index(docs), items, 100).select("query_id", "pos")
+    hits = retrieval.bm25_top_k(_index(spark, sf), items, 100).select("query_id", "pos")
     return graph.graph_rank(hits.join(docs.select("pos", "text"), "pos").join(items, "query_id")).withColumn("score", F.round("score", 9))
 
 

@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.window import Window
+
+from .scratch import written
 
 _WRAPPERS = ("data", "questions", "records", "items")
 
@@ -104,11 +107,19 @@ def shared_corpus(passages: DataFrame, dataset: str) -> DataFrame:
 
 
 def dense_positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """Append ``pos`` = 0, 1, ... in the given order, without a single-partition window."""
-    spark, schema = df.sparkSession, df.schema
-    ordered = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(numbered, StructType(schema.fields).add("pos", "long"))
+    """Append ``pos`` = 0, 1, ... in the given order, without a single-partition window.
+
+    Rows are dealt to ranges once and written to the shared scratch folder; the driver adds up one count for each range.
+    """
+    ranged = written(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    before, offsets = 0, []
+    for r in sorted(counts):
+        offsets += [F.lit(r), F.lit(before).cast("long")]
+        before += counts[r]
+    start = F.element_at(F.create_map(*offsets), F.col("__range")) if offsets else F.lit(0).cast("long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.withColumn("pos", start + place).drop("__range")
 
 
 def read_runs(spark: SparkSession, root: str, stage: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.operators.retrieval import build_index
+from quillspan.operators.retrieval import bm25_top_k, build_index
 from quillspan.sources import providers, records, store
 from quillspan.streaming.evidence import evidence_states
 
@@ -57,6 +57,59 @@ def test_index_is_reused_and_rebuilt(spark, tmp_path):
     assert store.open_or_build(spark, path, passages, build_index)[1] == "reused"
     changed = spark.createDataFrame([(0, "alpha fact"), (1, "beta tale")], "pos long, text string")
     assert store.open_or_build(spark, path, changed, build_index)[1] == "checksum"
+    other = spark.createDataFrame([(0, "alpha fact"), (2, "beta tale")], "pos long, text string")
+    assert store.open_or_build(spark, path, other, build_index)[1] == "passage_ids"
+    assert store.open_or_build(spark, path, other.limit(1), build_index)[1] == "passage_count"
+    assert store.open_or_build(spark, path, other, build_index, store.Identity(split="dev"))[1] == "split"
+    assert store.open_or_build(spark, path, other.limit(0), build_index, store.Identity(split="dev"))[1] == "passage_count"
+
+
+def _hits(index, spark):
+    q = spark.createDataFrame([(0, "beta word3"), (1, "alpha tale")], "query_id int, query string")
+    return sorted(tuple(r) for r in bm25_top_k(index, q, 5).select("query_id", "pos", "rank", F.round("score", 9)).collect())
+
+
+def test_one_change_builds_one_range_and_readers_keep_their_snapshot(spark, tmp_path):
+    rows = [(i, f"alpha word{i} beta" if i % 3 else f"tale {i} word3") for i in range(200)]
+    passages = spark.createDataFrame(rows, "pos long, text string")
+    path, seen = str(tmp_path / "index"), []
+
+    def build(p):
+        seen.append(p.count())
+        return build_index(p)
+
+    index, _ = store.open_or_build(spark, path, passages, build)
+    old = _hits(index, spark)
+    changed = spark.createDataFrame([*rows[:7], (7, "beta beta word3 tale"), *rows[8:]], "pos long, text string")
+    new, why = store.open_or_build(spark, path, changed, build)
+    assert why == "checksum" and seen[0] == 200 and seen[1] < 40 and len(store.corpus_manifest(spark, path)["built"]) == 1
+    assert _hits(new, spark) == _hits(build_index(changed), spark) != old
+    assert _hits(index, spark) == old  # the snapshot that the reader opened is still whole
+
+
+def test_a_broken_write_and_a_lost_race_change_nothing(spark, tmp_path):
+    passages = spark.createDataFrame([(i, f"alpha word{i}") for i in range(30)], "pos long, text string")
+    path = str(tmp_path / "index")
+    index, _ = store.open_or_build(spark, path, passages, build_index)
+    before, first = _hits(index, spark), store.current_snapshot(spark, path)
+
+    def breaks(p):
+        raise RuntimeError("executor lost")
+
+    more = passages.unionByName(spark.createDataFrame([(99, "beta")], "pos long, text string"))
+    with pytest.raises(RuntimeError):
+        store.open_or_build(spark, path, more, breaks)
+    assert store.current_snapshot(spark, path) == first and _hits(store.load_index(spark, path, passages), spark) == before
+
+    def overtaken(p):
+        store.save_index(passages, path, build_index)  # another writer commits meanwhile
+        return build_index(p)
+
+    with pytest.raises(store.IndexMismatch, match="concurrent_commit"):
+        store.open_or_build(spark, path, more, overtaken)
+    assert store.load_index(spark, path, passages) and store.corpus_manifest(spark, path)["passages"] == 30
+    (tmp_path / "index" / "pointers" / "000000000077").write_text("")  # a pointer that its writer never finished
+    assert store.load_index(spark, path, passages)
 
 
 def test_vector_cache_and_cost_gate(spark):
