@@ -83,3 +83,20 @@ def permute_labels(rows: DataFrame, keys: list[str], unit: Column, draws: int =
     hits = means.join(total, keys).groupBy(*keys).agg(F.avg((F.col("__d") >= F.col("observed_difference") - 1e-12).cast("double")).alias("__p"))
     enough = F.least("deep_n", "shallow_n") >= least
     return total.join(hits, keys, "left").select(*keys, "deep_n", "shallow_n", "deep_mean", "shallow_mean", "observed_difference", F.when(enough, F.col("__p")).alias("p_value"))
+
+
+def empirical_power(pairs: DataFrame, keys: list[str], unit: Column, trials: int = 2000, size: float = 1.0, cut: float = 3.841458820694124) -> DataFrame:
+    """(keys, trials, wins, losses, power): share of resampled studies in which McNemar's test finds the difference.
+
+    A trial draws every unit a Poisson number of times with mean ``size`` = 1, or, for whole ``size`` > 1, that many draws added up; its wins and losses are sums, so
+    trials are dealt over the tasks as they read the pairs. Significant is a chi-square with continuity above ``cut`` (5 %).
+    """
+    copies = int(size)
+    d = F.col("treatment") - F.col("reference")
+    slim = pairs.select(*keys, F.when(d > 1e-9, 1).when(d < -1e-9, -1).otherwise(0).alias("__w"), unit.cast("string").alias("__u"))
+    drawn = with_draws(slim, F.col("__u"), trials * copies).withColumn("__c", poisson_count(F.col("u"))).withColumn("__trial", F.floor(F.col("draw") / copies))
+    sums = drawn.groupBy(*keys, "__trial").agg(F.sum(F.when(F.col("__w") > 0, F.col("__c")).otherwise(0)).alias("b"), F.sum(F.when(F.col("__w") < 0, F.col("__c")).otherwise(0)).alias("c"))
+    off = F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0))
+    hit = F.coalesce(F.try_divide((off * off).cast("double"), (F.col("b") + F.col("c")).cast("double")), F.lit(0.0)) > cut
+    total = slim.groupBy(*keys).agg(F.count_if(F.col("__w") > 0).alias("wins"), F.count_if(F.col("__w") < 0).alias("losses"))
+    return total.join(sums.groupBy(*keys).agg(F.count("*").alias("trials"), F.avg(hit.cast("double")).alias("power")), keys)

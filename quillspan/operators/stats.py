@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 
 def bootstrap_vector(reference: np.ndarray, treatment: np.ndarray, iterations: int = 10_000, seed: int = 2027, level: float = 0.95) -> dict:
     """Percentile interval and two-sided p of the mean paired difference; no interval for fewer than two pairs."""
@@ -210,11 +212,23 @@ def monte_carlo_power(spark, n: int, p10: float, p01: float, alpha: float = 0.05
     return done.agg(F.sum("trials").alias("trials"), (F.sum("hits") / F.sum("trials")).alias("power"))
 
 
+def sums_before(sizes: DataFrame, keys: list[str], order: str, amount: str) -> DataFrame:
+    """Append ``before``: the sum of ``amount`` over smaller values of ``order`` in each key, without a window over a whole key.
+
+    Rows (unique in keys and order) are dealt to ranges and written once; sums by (key, range) are added up over the ranges, then inside each range.
+    """
+    ranged = written(sizes.repartitionByRange(*keys, order).withColumn("__r", F.spark_partition_id()), "ranks")
+    parts = ranged.groupBy(*keys, "__r").agg(F.sum(amount).alias("__s"))
+    earlier = F.coalesce(F.sum("__s").over(Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("__r", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__in", inside).join(parts.withColumn("__b", earlier).drop("__s"), ["__r", *keys]).withColumn("before", F.col("__b") + F.col("__in")).drop("__r", "__in", "__b")
+
+
 def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Signed-rank sums of nonzero differences (average ranks for ties) and the normal two-sided p."""
     d = pairs.withColumn("d", F.col("treatment") - F.col("reference")).filter("d <> 0")
-    sizes = d.groupBy(*keys, F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sums_before(d.groupBy(*keys, F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up")), keys, "m", "t")
+    before = F.col("before")
     ranked = sizes.withColumn("r", before + (F.col("t") + 1) / 2.0)
     out = ranked.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("ties") / 48.0

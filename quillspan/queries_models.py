@@ -143,6 +143,16 @@ def sign_flip(spark, sf):
     return _rounded(resample.flip_signs(_paired(spark, sf).na.drop(), ["dataset"], F.col("question_id"), 1000))
 
 
+@query(_PAIRS + f""", rs AS (SELECT *, {_COUNT} AS c, draw // 2 AS trial FROM ({_draws_sql("SELECT dataset, question_id, d FROM q", "question_id", 400)})),
+ sg AS (SELECT dataset, trial, sum(CASE WHEN d > 1e-9 THEN c ELSE 0 END) AS up, sum(CASE WHEN d < -1e-9 THEN c ELSE 0 END) AS down FROM rs GROUP BY ALL),
+ tt AS (SELECT dataset, count(*) FILTER (d > 1e-9) AS wins, count(*) FILTER (d < -1e-9) AS losses FROM q GROUP BY dataset)
+SELECT dataset, any_value(wins) AS wins, any_value(losses) AS losses, count(*) AS trials, round(avg(CASE WHEN up + down > 0 AND greatest(abs(up - down) - 1, 0) ** 2 / (up + down) > 3.841458820694124 THEN 1.0 ELSE 0.0 END), 7) AS power FROM sg JOIN tt USING (dataset) GROUP BY dataset
+""")
+def resampled_power(spark, sf):
+    """Power of a study of twice the pairs, from the pairs at hand."""
+    return _rounded(resample.empirical_power(_paired(spark, sf).na.drop(), ["dataset"], F.col("question_id"), 200, 2))
+
+
 @query(f"""
 WITH e AS (SELECT o_orderpriority AS dataset, o_orderkey AS id, o_orderdate >= DATE '1995-01-01' AS deep, CAST(o_totalprice AS DOUBLE) AS v FROM orders),
  t AS (SELECT dataset, count(*) FILTER (deep) AS deep_n, count(*) FILTER (NOT deep) AS shallow_n, avg(v) FILTER (deep) AS dm, avg(v) FILTER (NOT deep) AS sm, CAST(floor(count(*) FILTER (deep) / count(*) * 4294967296) AS BIGINT) AS cut FROM e GROUP BY dataset),
