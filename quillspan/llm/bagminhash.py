@@ -264,7 +264,7 @@ def verified_links(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataF
 def likely_pairs(sig: np.ndarray, root: list[bytes], minor: np.ndarray, guest: np.ndarray, floor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(i, members j of other classes that may be near it, their likeness) for each ``minor`` i.
 
-    A ``guest`` is a minor of another part of the bucket: it meets those who are at home here.
+    A ``guest`` is a minor that visits: it meets those who are at home here.
     """
     _, code = np.unique(np.array(root, dtype=object), return_inverse=True)
     home = np.flatnonzero(~guest)
@@ -277,7 +277,7 @@ def likely_pairs(sig: np.ndarray, root: list[bytes], minor: np.ndarray, guest: n
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple[int, int], list[list]]]:
-    """Rows of one (key, part) at a time, each node once, from batches in that order."""
+    """Rows of one (key, part) at a time, each node once at home and once as a guest, from batches in that order."""
     at, rows = None, []
     for batch in batches:
         for key, part, *row in zip(*(batch[c].to_pylist() for c in ("key", "part", *columns))):
@@ -285,7 +285,7 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
                 if rows:
                     yield at, rows
                 at, rows = (key, part), []
-            if not rows or rows[-1][0] != row[0]:
+            if not rows or (rows[-1][0], rows[-1][4]) != (row[0], row[4]):
                 rows.append(row)
     if rows:
         yield at, rows
@@ -361,24 +361,30 @@ PART_SHINGLES = 3_000_000
 def remaining_links(met: DataFrame, roots: DataFrame, bags: DataFrame, floor: float, threshold: float, split_over: int) -> DataFrame:
     """Verified links (a, b) that join classes, the ``roots`` of the links so far, that share a bucket.
 
-    Large buckets are dealt to parts; the members outside the largest class visit all parts, so each pair meets.
+    Large buckets are dealt to tiles, a block of all members at home and a block of visiting minors in each; every minor visits all home
+    blocks, so each pair meets, and a tile's rows and shingles are bounded whatever the bucket holds.
     """
     width = shuffle_width(met.sparkSession)
     classed = met.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("key", "node", "sig", "size", F.coalesce("root", "node").alias("root"))
     sizes = classed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "root")).alias("most")).filter("classes > 1")
-    parts = F.greatest(F.ceil(2 * F.col("total") / split_over), F.ceil(2 * F.col("shingles") / PART_SHINGLES))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "root", "shingles")).alias("most")).filter("classes > 1")
+    blocks = lambda n, shingles: F.greatest(F.lit(1), F.ceil(2 * n / split_over), F.ceil(2 * shingles / PART_SHINGLES)).cast("long")
     crowded = (F.col("total") > split_over) | (F.col("shingles") > PART_SHINGLES)
-    mixed = mixed.select("key", F.col("most.root").alias("main"), F.when(crowded, parts).otherwise(1).alias("parts"))
-    rows = classed.join(mixed, "key").withColumn("minor", F.col("root") != F.col("main")).withColumn("home", F.pmod(F.xxhash64("node"), "parts"))
-    # everyone at home, and minors in all parts
-    seats = F.when(F.col("minor") & (F.col("parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("home"))
-    seated = rows.withColumn("part", F.explode(seats)).withColumn("guest", F.col("part") != F.col("home")).select("key", "part", *_MEMBER)
-    dealt = seated.repartition(width, "key", "part").sortWithinPartitions("key", "part", "node")
+    mixed = mixed.select("key", F.col("most.root").alias("main"), F.when(crowded, blocks(F.col("total"), F.col("shingles"))).otherwise(0).alias("homes"), blocks(F.col("total") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")).alias("visits"))
+    rows = classed.join(mixed, "key").withColumn("minor", F.col("root") != F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.lit(1).cast("long"), F.col(n)))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    seat = lambda parts, minor, guest: F.transform(parts, lambda p: F.struct(p.alias("part"), minor.alias("minor"), guest.alias("guest")))
+    no, yes = F.lit(False), F.lit(True)
+    at_home = seat(F.transform(upto("visits"), lambda v: place("homes") * F.col("visits") + v), no, no)
+    visiting = seat(F.transform(upto("homes"), lambda h: h * F.col("visits") + place("visits")), yes, yes)
+    seats = F.when(F.col("homes") == 0, seat(F.array(F.lit(0).cast("long")), F.col("minor"), no)).when(F.col("minor"), F.concat(at_home, visiting)).otherwise(at_home)
+    seated = rows.select("key", "node", "sig", "root", F.explode(seats).alias("s")).select("key", "s.part", "node", "sig", "root", "s.minor", "s.guest")
+    dealt = seated.repartition(width, "key", "part").sortWithinPartitions("key", "part", "node", "guest")
     involved = materialize(dealt.mapInArrow(_involved(floor), _MEMBER_SCHEMA), "bag-involved")
     one = bags.groupBy("node").agg(F.first("bag").alias("bag"))
     carried = involved.join(one, "node").select("key", "part", *_MEMBER, "bag")
-    return carried.repartition(width, "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_joining(floor, threshold), "a binary, b binary").distinct()
+    return carried.repartition(width, "key", "part").sortWithinPartitions("key", "part", "node", "guest").mapInArrow(_joining(floor, threshold), "a binary, b binary").distinct()
 
 
 def _is_star(edges: DataFrame) -> bool:

@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import in_order_buckets, materialize, shuffle_width, text_slices
 from .encoders import encoder
@@ -208,17 +209,22 @@ def write_files(docs: DataFrame, tokenizer: Callable[[], str], end_id: int = 1,
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    totals = {(r.bucket, r.part): r.n_ids for r in files.select("bucket", "part", "n_ids").collect()}  # one small row per file
-    base, before = {}, 0
-    for b in sorted(totals):
-        base[b], before = before, before + totals[b]
+    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files.
+
+    Files are read where they are; what comes before each file is a sum over buckets and parts, joined to the documents' narrow rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, part, data in zip(batch["bucket"].to_pylist(), batch["part"].to_pylist(), batch["data"]):
-                rows = [(d, base[bucket, part] + s, len(x), zlib.crc32(x)) for d, s, x in PlaneReader(data.as_py()).documents()]
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "n_tokens", "ids_crc32"), cols)})
-
-    return files.select("bucket", "part", "data").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                rows = [(bucket, part, d, s, len(x), zlib.crc32(x)) for d, s, x in PlaneReader(data.as_py()).documents()]
+                names = ("bucket", "part", "doc_id", "within", "n_tokens", "ids_crc32")
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in names[:2] else pa.int64()) for n, c in zip(names, zip(*rows))], names=list(names))
+
+    sizes = files.select("bucket", "part", "n_ids")
+    buckets = sizes.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a bucket, of which there are a fixed number
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = materialize(sizes.withColumn("inside", inside).join(buckets.withColumn("earlier", earlier), "bucket").select("bucket", "part", (F.col("earlier") + F.col("inside")).alias("base")), "bitplane-bases")
+    read_rows = files.select("bucket", "part", "data").mapInArrow(read, "bucket int, part int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    return read_rows.join(bases, ["bucket", "part"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

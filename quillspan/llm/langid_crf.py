@@ -7,8 +7,8 @@ maximising the conditional likelihood of word labels; training sequences are spl
 languages, so transitions learn how rarely text switches. Labels of words are their forward-backward
 marginals; a document's language is the label with the largest mean marginal, which is its score.
 
-Learning uses a bounded sample of whole texts (``per_lang`` documents of each of the ``max_langs`` most frequent languages,
-none longer than ``max_chars``); predictions use every word of every text.
+Learning uses a bounded sample of whole texts (``per_lang`` documents of each language, none longer than ``max_chars``,
+``sample_chars`` characters together), of which 2,400 windows of 48 words train the weights; predictions use every word of every text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties go to the language
 that sorts first; a table without labelled text predicts ``und`` for all, and nothing but texts without a letter is then
@@ -261,19 +261,25 @@ def train(samples: list[tuple[str, str]], sequences: int = 2400, length: int = 4
     return model
 
 
-def fit(docs: DataFrame, usable: Column, per_lang: int = 400, max_langs: int = 100, max_chars: int = 200_000) -> CrfModel | None:
-    """Train on at most ``per_lang`` documents of each language among the ``usable`` rows, chosen by a hash of the id."""
+def fit(docs: DataFrame, usable: Column, per_lang: int = 400, max_chars: int = 200_000, sample_chars: int = 100_000_000) -> CrfModel | None:
+    """Train on at most ``per_lang`` documents of each language among the ``usable`` rows, chosen by a hash of the id.
+
+    Every language is learned. The sample that comes to the driver has about ``sample_chars`` characters at most: it is shared out by
+    language, and a language whose documents are long gives fewer of them (one at least). From it ``train`` takes 2,400 windows of 48 words.
+    """
     known = docs.filter(usable & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean")).collect()  # one row a language
     if not counts:
         return None
-    share = known.sparkSession.createDataFrame([(r["lang"], int((1 << 20) * min(1.0, 1.5 * per_lang / r["count"] + 20 / r["count"]))) for r in counts], "lang string, below int")
-    rows = known.join(F.broadcast(share), "lang").filter(place < F.col("below")).select("lang", place.alias("place"), "doc_id", "text").collect()
+    share = sample_chars / len(counts)
+    most = {r["lang"]: max(1, min(per_lang, int(share / (1.5 * max(r["mean"], 1.0))))) for r in counts}
+    below = known.sparkSession.createDataFrame([(r["lang"], int((1 << 20) * min(1.0, 1.5 * most[r["lang"]] / r["n"] + min(20, most[r["lang"]]) / r["n"]))) for r in counts], "lang string, below int")
+    rows = known.join(F.broadcast(below), "lang").filter(place < F.col("below")).select("lang", place.alias("place"), "doc_id", "text").collect()
     taken: Counter = Counter()
     sample = []
     for r in sorted(rows, key=lambda r: (r.place, r.doc_id, r.text)):
-        if taken[r.lang] < per_lang:
+        if taken[r.lang] < most[r.lang]:
             taken[r.lang] += 1
             sample.append((r.lang, r.text))
     return train(sample)

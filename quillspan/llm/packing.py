@@ -131,8 +131,9 @@ def places(docs: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(docs).astype(np.uint64)
     start = np.cumsum(sizes) - sizes
     ahead = np.concatenate((flat, np.zeros(2, dtype=np.uint64)))
-    tri = mix64((flat << np.uint64(40)) ^ (ahead[1:-1] << np.uint64(20)) ^ ahead[2:])
     left = np.repeat(start + sizes, sizes) - np.arange(len(flat))  # ids from here to the document's end
+    second, third = np.where(left > 1, ahead[1:-1], np.uint64(0)), np.where(left > 2, ahead[2:], np.uint64(0))
+    tri = mix64((flat << np.uint64(40)) ^ (second << np.uint64(20)) ^ third)
     tri[(left < 3) & (np.repeat(sizes, sizes) > 2)] = np.uint64(2**64 - 1)
     low = np.minimum.reduceat(tri, start)
     return (low >> np.uint64(1)).astype(np.int64)

@@ -42,8 +42,9 @@ from .common import claim, materialize, text_slices
 
 BLANK = "▁"
 NEVER = 2**31 - 1
-#: Bits of a place in a word and of a piece id.
-_PLACE, _ID = 23, 16
+#: Bits of a place in a word (beside a rank), of a piece's length and of its id. An edge leaves 39 bits to its end.
+_PLACE, _LENGTH, _ID = 40, 8, 16
+_LONGEST = (1 << _LENGTH) - 1
 
 
 def merge_tree(chars: str, ranks: dict[str, int]) -> list:
@@ -78,6 +79,8 @@ class PieceTable:
         self.known = {p: i for p, i in words.items() if len(p) == 1}
         self.ranks = {p: r for p, r in ranks.items() if p not in runs}
         self.longest = max(map(len, words))
+        if self.longest > _LONGEST:
+            raise ValueError(f"pieces of more than {_LONGEST} characters are not supported")
         #: ids of pieces that merging can build, and the (rank, first character) of all merges in each one's tree
         self.edges: dict[str, int] = {}
         self.merges: list[list[int]] = [[] for _ in range(size)]
@@ -187,16 +190,16 @@ def _constant(value: list, kind: str) -> Column:
 
 
 def _edge(e: Column, s: Column, i: Column) -> Column:
-    """End, start and piece in one number, in this order."""
-    return F.shiftleft(e.cast("long"), _PLACE + _ID).bitwiseOR(F.shiftleft(s.cast("long"), _ID)).bitwiseOR(i.cast("long"))
+    """End, length (longest first) and piece in one number, in this order; ends may be as large as a string's length."""
+    return F.shiftleft(e.cast("long"), _LENGTH + _ID).bitwiseOR(F.shiftleft((_LONGEST - (e - s)).cast("long"), _ID)).bitwiseOR(i.cast("long"))
 
 
 def _end(x: Column) -> Column:
-    return F.shiftright(x, _PLACE + _ID)
+    return F.shiftright(x, _LENGTH + _ID)
 
 
 def _start(x: Column) -> Column:
-    return F.shiftright(x, _ID).bitwiseAND(F.lit((1 << _PLACE) - 1).cast("long"))
+    return _end(x) - _LONGEST + F.shiftright(x, _ID).bitwiseAND(F.lit(_LONGEST).cast("long"))
 
 
 def _id(x: Column) -> Column:

@@ -50,13 +50,25 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
+def _members(archive: bytes, chunk: int = 1 << 14) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(offset, length, decompressed parts) of every gzip member; what is read beyond a member's end is at most a chunk."""
+    view, at = memoryview(archive), 0
+    while at < len(archive):
+        member, pos, parts = zlib.decompressobj(31), at, []
+        while not member.eof and pos < len(archive):
+            parts.append(member.decompress(view[pos : pos + chunk]))
+            pos = min(pos + chunk, len(archive))
+        if not member.eof:
+            raise ValueError("an archive ends inside a record")
+        size = pos - len(member.unused_data) - at
+        yield at, size, parts
+        at += size
+
+
 def iter_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of every record; each gzip member is one record."""
-    rest = archive
-    while rest:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(rest)
-        rest = member.unused_data
+    for _, _, parts in _members(archive):
+        raw = b"".join(parts)
         head, _, tail = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -65,17 +77,10 @@ def iter_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, tail[: int(fields["content-length"])]
 
 
-def split_members(archive: bytes, chunk: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def split_members(archive: bytes) -> Iterator[tuple[int, int]]:
     """(offset, length) of every gzip member: the record index of an archive."""
-    at = 0
-    while at < len(archive):
-        member, pos = zlib.decompressobj(31), at
-        while not member.eof and pos < len(archive):
-            member.decompress(archive[pos : pos + chunk])
-            pos += chunk
-        size = min(pos, len(archive)) - at - len(member.unused_data)
+    for at, size, _ in _members(archive):
         yield at, size
-        at += size
 
 
 def resolve_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
