@@ -113,6 +113,25 @@ def mcnemar_counts(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("discordant", F.col("b") + F.col("c")).withColumn("chi_square", F.coalesce(F.try_divide((diff * diff).cast("double"), F.col("discordant").cast("double")), F.lit(0.0)))
 
 
+def mcnemar_exact(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, b, c, p_exact, p_mid): two-sided binomial p of the discordant pairs; 1 without any.
+
+    The tail is summed from its logarithms, one step for each of the min(b, c) + 1 terms.
+    """
+    counts = mcnemar_counts(pairs, keys).select(*keys, "b", "c")
+    n, m = F.col("b") + F.col("c"), F.least("b", "c")
+    start = F.struct((-n * math.log(2)).cast("double").alias("log"), F.exp(-n * math.log(2)).alias("tail"))
+
+    def step(acc: Column, i: Column) -> Column:
+        log = acc["log"] + F.log(n - i + 1.0) - F.log(i.cast("double"))
+        return F.struct(log.alias("log"), (acc["tail"] + F.exp(log)).alias("tail"))
+
+    terms = F.when(m > 0, F.sequence(F.lit(1).cast("long"), m)).otherwise(F.array().cast("array<bigint>"))
+    out = counts.withColumn("__x", F.aggregate(terms, start, step))
+    exact, last = F.least(F.lit(1.0), 2 * F.col("__x.tail")), F.exp("__x.log")
+    return out.select(*keys, "b", "c", F.when(n == 0, 1.0).otherwise(exact).alias("p_exact"), F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.col("__x.tail") - last)).alias("p_mid"))
+
+
 def mcnemar_p(b: int, c: int, two_sided: bool = True) -> dict[str, float]:
     """Exact binomial and mid-p values of b against c discordant pairs (one-sided: b is not larger by chance)."""
     n = b + c

@@ -448,9 +448,8 @@ def plan_field_extremum(spark, sf):
     return execute(plan, _relations(spark, sf), physical, budget=4, strategy="fixed").rows.select("answer")
 
 
-@query("SELECT CAST(count(*) AS VARCHAR) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = (SELECT n_name FROM nation WHERE n_nationkey = 7)")
+@query("SELECT CAST(count(*) AS VARCHAR) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7'")
 def plan_join_count(spark, sf):
     """A two-slot plan with sideways bindings and a count; contexts reduce the customer scan to one nation."""
-    name = table(spark, sf, "nation").filter("n_nationkey = 7").first().n_name
-    plan = SlotPlan([Slot("S1", "NationName", ["?nation", name], cardinality=1), Slot("S2", "LivesIn", ["?customer", "?nation"], cardinality=1000)], ["?n"], [Join("S1", "nation", "S2", "nation")], [Operator("count", output="n")])
+    plan = SlotPlan([Slot("S1", "NationName", ["?nation", "NATION_7"], cardinality=1), Slot("S2", "LivesIn", ["?customer", "?nation"], cardinality=1000)], ["?n"], [Join("S1", "nation", "S2", "nation")], [Operator("count", output="n")])
     return execute(plan, _relations(spark, sf), budget=4).rows.select("n")

@@ -49,26 +49,40 @@ def value_coverage(spark, sf):
     return c.select("conv_id", "turn", T.coverage(values, F.col("t"), 1.0).alias("coverage"))
 
 
-@query("""
-SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN 'line ' || o_orderkey ELSE o_orderstatus || ' ' || o_orderkey END AS answer FROM orders
+_REPLIES_SQL = r"""
+WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN '<think>' || text || '</think> ' || replace(text, ' ', chr(10)) WHEN 2 THEN text || ' Answer: ' || text || ' done.' ELSE '<answer id=1>' || text || '</answer> or <FINAL>' || substr(text, 1, 40) || '</final>' END AS t FROM conversations)
+"""
+
+
+@query(_REPLIES_SQL + r"""
+, a AS (SELECT *, regexp_replace(t, '(?is)<think\b[^>]*>.*?</think\s*>', '', 'g') AS s FROM c),
+ b AS (SELECT *, trim(coalesce(regexp_extract_all(s, '(?is)<(?:answer|final|output|result)\b[^>]*>(.*?)</(?:answer|final|output|result)\s*>', 1)[-1], regexp_split_to_array(s, '(?i)</think\s*>')[-1])) AS u FROM a),
+ d AS (SELECT *, trim(regexp_split_to_array(u, '(?i)(?:final\s+answer|answer)\s*(?:is)?\s*[:：]')[-1]) AS v FROM b),
+ e AS (SELECT *, list_filter(string_split(v, chr(10)), lambda x: trim(x) <> '') AS l FROM d),
+ f AS (SELECT *, CASE WHEN len(l) > 1 AND length(trim(l[-1])) <= 256 THEN trim(l[-1]) ELSE v END AS w FROM e)
+SELECT conv_id, turn, trim(replace(regexp_replace(w, '(?i)\s*\b(done|end|finished)\.?\s*$', ''), '`', '')) AS answer FROM f
 """)
 def answer_spans(spark, sf):
-    o = table(spark, sf, "orders")
-    a = F.concat_ws(" ", "o_orderstatus", F.col("o_orderkey").cast("string"))
+    """Answers in replies made of whole turns: thoughts, tags, marks and lines stand where the text puts them."""
+    t, turn = F.col("text"), F.col("turn")
     said = (
-        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("<think>maybe answer: 7</think>Final answer: "), a))
-        .when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("<answer>first</answer> then <Answer>"), a, F.lit(" </answer>")))
-        .when(F.col("o_orderkey") % 5 == 2, F.concat(F.lit("The answer is: `"), a, F.lit("` done.")))
-        .when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit("some words\n\nline "), F.col("o_orderkey").cast("string"), F.lit("\n  ")))
-        .otherwise(F.concat(F.lit("unfinished thought</think> "), a))
+        F.when(turn % 4 == 0, t).when(turn % 4 == 1, F.concat(F.lit("<think>"), t, F.lit("</think> "), F.replace(t, F.lit(" "), F.lit("\n")))).when(turn % 4 == 2, F.concat(t, F.lit(" Answer: "), t, F.lit(" done.")))
+        .otherwise(F.concat(F.lit("<answer id=1>"), t, F.lit("</answer> or <FINAL>"), F.substring(t, 1, 40), F.lit("</final>")))
     )
-    return o.select("o_orderkey", T.answer_span(said).alias("answer"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.answer_span(said).alias("answer"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || ' (' || c_mktsegment || ')' END AS head FROM customer")
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*\([^\n]*?\)', 0) AS s FROM documents UNION ALL SELECT p_partkey + 1000000000, [p_name || ' (' || p_brand || ' ' || p_name || ')', p_type || ' (' || p_name || ')  '] FROM part),
+ u AS (SELECT doc_id, unnest(s) AS c FROM t),
+ h AS (SELECT *, regexp_extract(c, '^(.*?)\s*\((.*)\)\s*$', 1) AS head, regexp_extract(c, '^(.*?)\s*\((.*)\)\s*$', 2) AS inside FROM u)
+SELECT doc_id, CASE WHEN head <> '' AND contains(lower(inside), lower(head)) THEN head ELSE c END AS head, count(*) AS n FROM h GROUP BY ALL
+""")
 def restated_answers(spark, sf):
-    inside = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("12 "), F.upper("c_name"), F.lit(" units"))).otherwise(F.col("c_mktsegment"))
-    return table(spark, sf, "customer").select("c_custkey", T.unparenthesised(F.concat(F.col("c_name"), F.lit(" ("), inside, F.lit(")"))).alias("head"))
+    """Every parenthesised clause of the documents, and part names restated in their parentheses."""
+    docs = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"([^.!?\n]*\([^\n]*?\))"), F.lit(1)).alias("s"))
+    parts = table(spark, sf, "part").select((F.col("p_partkey") + 1_000_000_000).alias("doc_id"), F.array(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(" "), "p_name", F.lit(")")), F.concat("p_type", F.lit(" ("), "p_name", F.lit(")  "))).alias("s"))
+    return docs.unionByName(parts).select("doc_id", F.explode("s").alias("c")).select("doc_id", T.unparenthesised(F.col("c")).alias("head")).groupBy("doc_id", "head").agg(F.count("*").alias("n"))
 
 
 @query(r"""
@@ -176,12 +190,19 @@ def answer_changes(spark, sf):
 
 
 @query("""
-SELECT * FROM (VALUES (3, 9, 0.146, 0.0923), (0, 0, 1.0, 1.0), (5, 5, 1.0, 1.0), (0, 8, 0.0078, 0.0039), (12, 2, 0.0129, 0.0074)) t(b, c, p_exact, p_mid)
+WITH r AS (SELECT p_brand AS dataset, p_partkey % 3 > 0 AS t, p_size % 2 = 0 AS r FROM part UNION ALL SELECT 'none', true, true FROM part WHERE p_partkey < 3 UNION ALL SELECT 'orders', o_custkey % 9 < 5, o_orderkey % 7 < 4 FROM orders),
+ c AS (SELECT dataset, count(*) FILTER (t AND NOT r) AS b, count(*) FILTER (r AND NOT t) AS c FROM r GROUP BY dataset),
+ e AS (SELECT dataset, b, c, least(b, c) AS m, b + c AS n, unnest(range(0, least(b, c) + 1)) AS i FROM c),
+ s AS (SELECT dataset, b, c, n, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS tail, max(CASE WHEN i = m THEN exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) END) AS last FROM e GROUP BY ALL)
+SELECT dataset, b, c, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * tail) END, 6) AS p_exact, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * tail - last) END, 6) AS p_mid FROM s
 """)
 def mcnemar_exact(spark, sf):
-    """Closed-form values: twice the binomial tail at a half, with and without half of its last term."""
-    rows = [(b, c, round(p["p_exact"], 4), round(p["p_mid"], 4)) for b, c in ((3, 9), (0, 0), (5, 5), (0, 8), (12, 2)) for p in [stats.mcnemar_p(b, c)]]
-    return spark.createDataFrame(rows, "b int, c int, p_exact double, p_mid double")
+    """Exact and mid-p values of discordant pairs counted from the tables."""
+    part, orders = table(spark, sf, "part"), table(spark, sf, "orders")
+    score = lambda t, r: (t.cast("double").alias("treatment"), r.cast("double").alias("reference"))
+    pairs = part.select(F.col("p_brand").alias("dataset"), *score(F.col("p_partkey") % 3 > 0, F.col("p_size") % 2 == 0))
+    pairs = pairs.unionByName(part.filter("p_partkey < 3").select(F.lit("none").alias("dataset"), *score(F.lit(True), F.lit(True)))).unionByName(orders.select(F.lit("orders").alias("dataset"), *score(F.col("o_custkey") % 9 < 5, F.col("o_orderkey") % 7 < 4)))
+    return stats.mcnemar_exact(pairs, ["dataset"]).select("dataset", "b", "c", F.round("p_exact", 6).alias("p_exact"), F.round("p_mid", 6).alias("p_mid"))
 
 
 _CARDS = "(SELECT n_regionkey AS plan, count(*) * 1.0 AS a, 2.0 + n_regionkey AS b, 1.5 AS c FROM nation GROUP BY n_regionkey)"
@@ -191,10 +212,7 @@ _CARDS = "(SELECT n_regionkey AS plan, count(*) * 1.0 AS a, 2.0 + n_regionkey AS
 SELECT plan, a + a * b + a * b * c AS cost, a + a * b + a * b * c - least(a + a*b + a*b*c, a + a*c + a*b*c, b + a*b + a*b*c, b + b*c + a*b*c, c + a*c + a*b*c, c + b*c + a*b*c) AS regret FROM {_CARDS}
 """)
 def order_regret(spark, sf):
-    """Plans of three slots whose cardinalities come from the regions (one small row each)."""
-    sizes = {r["n_regionkey"]: r["count"] for r in table(spark, sf, "nation").groupBy("n_regionkey").count().collect()}
-    rows = []
-    for plan, n in sizes.items():
-        card = {"a": float(n), "b": 2.0 + plan, "c": 1.5}
-        rows.append((plan, optimize.order_cost(["a", "b", "c"], card), optimize.regret(["a", "b", "c"], card)))
-    return spark.createDataFrame(rows, "plan int, cost double, regret double")
+    """Plans of three slots whose cardinalities come from the regions."""
+    sizes = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("plan")).agg(F.count("*").cast("double").alias("a")).withColumns({"b": 2.0 + F.col("plan"), "c": F.lit(1.5)})
+    cards = {x: F.col(x) for x in "abc"}
+    return sizes.select("plan", optimize.order_cost(["a", "b", "c"], cards).alias("cost"), optimize.regret_column(["a", "b", "c"], cards).alias("regret"))
