@@ -67,3 +67,54 @@ def dataset_audit(records: DataFrame, keys: list[str], stratum: Column, valid: C
     """Records, invalid ones, and a histogram of strata (array of name and count, by name) of each dataset."""
     by = records.groupBy(*keys, stratum.alias("__s")).agg(F.count("*").alias("__n"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("__bad"))
     return by.groupBy(*keys).agg(F.sum("__n").alias("records"), F.sum("__bad").alias("invalid_records"), F.array_sort(F.collect_list(F.struct(F.col("__s").alias("stratum"), F.col("__n").alias("n")))).alias("strata"))
+
+
+# ---- records of unknown metrics -------------------------------------------------------------
+
+
+def metric_cells(lines: DataFrame, since: DataFrame | None = None, roots: dict[str, str] | None = None) -> DataFrame:
+    """(record_id, dataset, method, schema_version, name, value): every metric of JSON run records (record_id, value), whatever their names.
+
+    A record is parsed once into a VARIANT. Below each root (path to name prefix) numbers and booleans are cells, objects give
+    ``outer.inner`` names, lists their length as ``name_count``; texts and nulls are no metrics. ``since`` (name, version) nulls what a record's schema is too old
+    to have measured; a record without a version has version 1.
+    """
+    roots = roots or {"$.result.metrics": "", "$.scores": "score_", "$.budget": "budget_"}
+    v = F.col("__v")
+    held = lines.select("record_id", F.try_parse_json("value").alias("__v")).select(
+        "record_id", F.try_variant_get(v, "$.dataset", "string").alias("dataset"), F.try_variant_get(v, "$.method", "string").alias("method"), F.coalesce(F.try_variant_get(v, "$.schema_version", "int"), F.lit(1)).alias("schema_version"), "__v"
+    )
+    struct = "array<struct<name:string,value:double>>"
+
+    def leaf(name: Column, x: Column) -> Column:
+        """The cells of one value that is no object."""
+        listed, flag, number = F.try_variant_get(x, "$", "array<variant>"), F.schema_of_variant(x) == "BOOLEAN", F.try_variant_get(x, "$", "double")
+        text = F.schema_of_variant(x).isin("STRING", "VOID")
+        one = lambda n, c: F.array(F.struct(n.alias("name"), c.cast("double").alias("value"))).cast(struct)
+        return F.when(listed.isNotNull(), one(F.concat(name, F.lit("_count")), F.size(listed))).when(flag, one(name, F.try_variant_get(x, "$", "boolean").cast("int"))).when(number.isNotNull() & ~text, one(name, number)).otherwise(F.array().cast(struct))
+
+    def cells(prefix: Column, x: Column) -> Column:
+        inner = F.map_entries(F.try_variant_get(x, "$", "map<string,variant>"))
+        deep = F.flatten(F.transform(inner, lambda e: leaf(F.concat(prefix, F.lit("."), e["key"]), e["value"])))
+        return F.coalesce(deep, leaf(prefix, x))
+
+    parts = [_cells_below(v, path, prefix, cells, struct) for path, prefix in roots.items()]
+    out = held.select("record_id", "dataset", "method", "schema_version", F.explode(F.concat(*parts)).alias("c")).select("record_id", "dataset", "method", "schema_version", "c.name", "c.value")
+    if since is not None:
+        out = out.join(since.select("name", F.col("version").alias("__since")), "name", "left").filter(F.col("schema_version") >= F.coalesce("__since", F.lit(0))).drop("__since")
+    return out
+
+
+def _cells_below(v: Column, path: str, prefix: str, cells, struct: str) -> Column:
+    entries = F.map_entries(F.try_variant_get(v, path, "map<string,variant>"))
+    return F.coalesce(F.flatten(F.transform(entries, lambda e: cells(F.concat(F.lit(prefix), e["key"]), e["value"]))), F.array().cast(struct))
+
+
+def metric_report(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, n, mean, low, high) of every metric in each group, by one aggregate, however many metrics there are."""
+    return cells.groupBy(*keys, "name").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def metric_columns(cells: DataFrame, names: list[str]) -> DataFrame:
+    """One row a record with a column for each of the names; null where it was not measured."""
+    return cells.groupBy("record_id", "dataset", "method", "schema_version").pivot("name", names).agg(F.first("value"))
