@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import claim, crc_bucket, fresh
+from .common import claim, crc_bucket, fresh, text_slices
 
 CHUNK = 128
 
@@ -331,12 +331,10 @@ def predict(docs: DataFrame, model: CrfModel | None, names: list[str] | None = N
         return docs.withColumns({n: F.lit(v).cast(f.dataType) for n, v, f in zip(names, ("und", 0.0, 0, 0, 0.0), _PREDICTED.fields)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, len(batch), 500):
-                part = batch.slice(s, 500)
-                found = zip(*label_texts(part["text"].to_pylist(), model))
-                kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(found, kinds))], names=[*part.schema.names, *names])
+        kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+        for part in text_slices(batches, most=1_000_000):  # by bytes: long texts come in small slices
+            found = zip(*label_texts(part["text"].to_pylist(), model))
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(found, kinds))], names=[*part.schema.names, *names])
 
     return docs.mapInArrow(run, StructType(docs.schema.fields + [StructField(n, f.dataType) for n, f in zip(names, _PREDICTED.fields)]))
 
