@@ -397,7 +397,7 @@ def assemble(texts: list[str | None], rare: list[list[int]], shared: Dictionary,
 
 
 #: Bytes of text in a slice.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def _slice_key(batch: pa.RecordBatch) -> bytes:
