@@ -331,6 +331,11 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, size: int, seed: in
     return top.join(F.broadcast(q), "stratum").filter(F.col("rn") <= F.col("quota")).select(key, "stratum", "place")
 
 
+def disjoint_sample(df: DataFrame, taken: DataFrame, key: str, stratum: str, size: int, seed: int, dataset: str) -> DataFrame:
+    """A stratified sample of the rows that no earlier sample (``taken``, by key) holds; quotas are those of what is left."""
+    return stratified_sample(df.join(taken.select(key).distinct(), key, "left_anti"), key, stratum, size, seed, dataset)
+
+
 def holdout_share(key: Column) -> Column:
     """The first eight digest bytes of the key as a share of 2^64."""
     return F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)

@@ -63,10 +63,14 @@ def attempt_gaps(attempts: DataFrame, finals: DataFrame, keys: list[str]) -> Dat
     return finals.join(seen, keys, "left").select(*keys, F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce(good, F.lit(False)).alias("contiguous"))
 
 
-def dataset_audit(records: DataFrame, keys: list[str], stratum: Column, valid: Column) -> DataFrame:
-    """Records, invalid ones, and a histogram of strata (array of name and count, by name) of each dataset."""
-    by = records.groupBy(*keys, stratum.alias("__s")).agg(F.count("*").alias("__n"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("__bad"))
-    return by.groupBy(*keys).agg(F.sum("__n").alias("records"), F.sum("__bad").alias("invalid_records"), F.array_sort(F.collect_list(F.struct(F.col("__s").alias("stratum"), F.col("__n").alias("n")))).alias("strata"))
+def dataset_audit(records: DataFrame, keys: list[str], stratum: Column, valid: Column, content: Column | None = None) -> DataFrame:
+    """Records, invalid ones, a checksum, and a histogram of strata (array of name and count, by name) of each dataset.
+
+    The checksum is the sum of 32 bits of the md5 of every record's ``content`` (0 without): order-free, and sums of parts add up.
+    """
+    bits = F.lit(0).cast("long") if content is None else F.conv(F.substring(F.md5(F.coalesce(content, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    by = records.groupBy(*keys, stratum.alias("__s")).agg(F.count("*").alias("__n"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("__bad"), F.sum(bits).alias("__sum"))
+    return by.groupBy(*keys).agg(F.sum("__n").alias("records"), F.sum("__bad").alias("invalid_records"), F.sum("__sum").alias("checksum"), F.array_sort(F.collect_list(F.struct(F.col("__s").alias("stratum"), F.col("__n").alias("n")))).alias("strata"))
 
 
 # ---- records of unknown metrics -------------------------------------------------------------

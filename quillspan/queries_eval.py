@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .operators import evaluate as E
 from .operators import policy, stats
@@ -300,6 +301,22 @@ def stratified_sample(spark, sf):
     return E.stratified_sample(table(spark, sf, "documents"), "doc_id", "lang", 50, 7, "docs")
 
 
+@query("""
+WITH a AS (SELECT p_partkey, p_type, sha256('3:parts:' || p_partkey) AS place, row_number() OVER (PARTITION BY p_type ORDER BY sha256('3:parts:' || p_partkey), p_partkey) AS rn FROM part), d AS (SELECT * FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM a WHERE rn <= 4)),
+ c AS (SELECT p_type AS stratum, count(*) AS n FROM d GROUP BY 1), t AS (SELECT *, sum(n - 1) OVER () AS free, 30 - count(*) OVER () AS left_ FROM c), e AS (SELECT *, left_ * (n - 1) / free AS x FROM t),
+ f AS (SELECT *, floor(x) AS part, left_ - sum(floor(x)) OVER () AS rest, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, stratum) AS r FROM e),
+ q AS (SELECT stratum, 1 + part + CASE WHEN r <= rest THEN 1 ELSE 0 END AS quota FROM f),
+ s AS (SELECT p_partkey, p_type AS stratum, sha256('4:parts:' || p_partkey) AS place, row_number() OVER (PARTITION BY p_type ORDER BY sha256('4:parts:' || p_partkey), p_partkey) AS rn FROM d)
+SELECT p_partkey, s.stratum, place FROM s JOIN q ON s.stratum = q.stratum WHERE rn <= quota
+""")
+def disjoint_sample(spark, sf):
+    """A second sample of parts that leaves out the first four of each type."""
+    p = table(spark, sf, "part")
+    first = E.sample_place(3, "parts", F.col("p_partkey"))
+    taken = p.select("p_partkey", F.row_number().over(Window.partitionBy("p_type").orderBy(first, "p_partkey")).alias("rn")).filter("rn <= 4")
+    return E.disjoint_sample(p, taken, "p_partkey", "p_type", 30, 4, "parts")
+
+
 @query("SELECT o_orderkey, CAST('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0 < 0.2 AS held_out FROM orders")
 def stable_holdout(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", (E.holdout_share(F.col("o_orderkey")) < 0.2).alias("held_out"))

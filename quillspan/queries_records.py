@@ -55,10 +55,10 @@ def attempt_audit(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT source, lang AS s, count(*) AS n, count(*) FILTER (n_chars < 500) AS bad FROM documents GROUP BY ALL)
-SELECT source, sum(n)::BIGINT AS records, sum(bad)::BIGINT AS invalid_records, string_agg(coalesce(s, '-') || '=' || n, ' ' ORDER BY s NULLS FIRST) AS strata FROM s GROUP BY source
+WITH s AS (SELECT source, lang AS s, count(*) AS n, count(*) FILTER (n_chars < 500) AS bad, sum(CAST('0x' || substr(md5(coalesce(text, '')), 1, 8) AS BIGINT)) AS c FROM documents GROUP BY ALL)
+SELECT source, sum(n)::BIGINT AS records, sum(bad)::BIGINT AS invalid_records, sum(c)::BIGINT AS checksum, string_agg(coalesce(s, '-') || '=' || n, ' ' ORDER BY s NULLS FIRST) AS strata FROM s GROUP BY source
 """)
 def dataset_audit(spark, sf):
-    d = R.dataset_audit(table(spark, sf, "documents"), ["source"], F.col("lang"), F.col("n_chars") >= 500)
+    d = R.dataset_audit(table(spark, sf, "documents"), ["source"], F.col("lang"), F.col("n_chars") >= 500, F.col("text"))
     text = F.transform("strata", lambda x: F.concat(F.coalesce(x["stratum"], F.lit("-")), F.lit("="), x["n"].cast("string")))
-    return d.select("source", "records", "invalid_records", F.concat_ws(" ", text).alias("strata"))
+    return d.select("source", "records", "invalid_records", "checksum", F.concat_ws(" ", text).alias("strata"))
