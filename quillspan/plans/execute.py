@@ -98,7 +98,7 @@ class TextMaterializer:
         paths = [own]
         if self.cost(calls, contexts is not None) == 2:
             paths.append(own.withColumn("query", F.concat_ws(" ", F.lit(self.question), "query")))
-        hits = reduce(lambda x, y: x.unionByName(y), [retrieval.bm25_top_k(self.index, q, self.top_k).select("pos", "score", F.lit(i).alias("path")) for i, q in enumerate(paths)])
+        hits = reduce(lambda x, y: x.unionByName(y), [retrieval.bm25_top_k(self.index, q, self.top_k).select("query_id", "pos", "score", F.lit(i).alias("path")) for i, q in enumerate(paths)])
         best = hits.groupBy("pos", "path").agg(F.max("score").alias("score")) if self.per_path else hits.groupBy("pos").agg(F.max("score").alias("score"), F.min("path").alias("path"))
         found = best.join(self.index.passages.select("pos", "text"), "pos")
         names, extract = slot.variables, self.extract
@@ -119,6 +119,12 @@ class TextMaterializer:
             rows = rows.withColumn(v, typed(F.col(v), kind, keep_surface=True))
             if kind != "boolean":
                 rows = rows.filter(F.col(v).isNotNull() & grounded(ascii_words(F.col(v)), text))
+        if contexts is not None:  # a row belongs to a binding that asked for its passage and repeats the bound values
+            known = [v for v in names if v in contexts.columns]
+            bound = contexts.select(F.to_json(F.struct(*known)).alias("query_id"), *[ascii_words(F.col(v)).alias(f"__k_{v}") for v in known]).distinct()
+            asked = hits.select("query_id", "pos").distinct().join(bound, "query_id")
+            same = [ascii_words(F.col(v)).eqNullSafe(F.col(f"__k_{v}")) for v in known]
+            rows = rows.join(asked, "pos").filter(reduce(lambda x, y: x & y, same, F.lit(True))).select(rows.columns).distinct()
         if self.per_path:
             rows = first_of_each(rows, [F.col("pos"), *map(F.col, names)], "_path", "_nth")
         return rows.drop("_path", "_nth").withColumns({"_slot_id": F.lit(slot.id), "_source_id": F.col("pos").cast("string"), "_confidence": F.lit(1.0)})
@@ -169,7 +175,7 @@ def choose_slot(left: list[Slot], bound: set[str], seen: dict[str, int], strateg
     return max(pool, key=lambda s: ((sum(v in bound for v in s.variables) + s.importance) / (s.cost * max(seen.get(s.id, s.cardinality), 1e-9)), -left.index(s)))
 
 
-def execute(plan: SlotPlan, source: Materializer, physical: PhysicalPlan | None = None, budget: int = 8, strategy: str = "adaptive", contexts_limit: int = 32, late: bool = False, bridge: Bridge | None = None) -> Result:
+def execute(plan: SlotPlan, source: Materializer, physical: PhysicalPlan | None = None, budget: int = 8, strategy: str = "adaptive", contexts_limit: int = 32, late: bool = False, bridge: Bridge | None = None, bridge_passages: int = 8, bridge_chars: int = 1200) -> Result:
     """Materialise the slots one by one, join each to what is there, and run the operators.
 
     A call is kept back for every slot still to come. Bindings of shared variables reach the next slot
@@ -206,7 +212,10 @@ def execute(plan: SlotPlan, source: Materializer, physical: PhysicalPlan | None
             return rows
 
         def texts() -> list[str]:
-            return [] if out.evidence is None else [r[0][:1200] for r in out.evidence.select("_source_span").limit(8).collect()]
+            if out.evidence is None:
+                return []
+            first = out.evidence.groupBy("_source_id").agg(F.min("_source_span").alias("t")).orderBy("_source_id").limit(bridge_passages)
+            return [r[0] for r in first.select(F.substring("t", 1, bridge_chars)).collect()]
 
         rows = ask(contexts, calls)
         unbound = [v for v in sorted(slot.variables) if v not in shared]

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: (query_id, query) to (query_id, source_id, score, text)
 Search = Callable[[DataFrame], DataFrame]
 #: (question, texts so far, round) to (next query, stop)
@@ -22,8 +24,8 @@ Answer = Callable[[str, list[str]], str]
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop: a checkpoint where the session names a folder for them."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """Cut the lineage of a loop: a table in the shared scratch folder."""
+    return written(df, "method-round")
 
 
 def evidence_texts(questions: DataFrame, items: DataFrame) -> DataFrame:
