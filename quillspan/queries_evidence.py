@@ -45,7 +45,8 @@ _FEATURES_SQL = {
 }
 
 
-@query(_CASES_SQL + "SELECT query_id, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in _FEATURES_SQL.items()) + " FROM per JOIN t USING (query_id)")
+# a hair is added on both sides, so that values that end in a half unit are rounded alike by both engines
+@query(_CASES_SQL + "SELECT query_id, " + ", ".join(f"round(CAST({v} AS DOUBLE) + 1e-10, 6) AS {k}" for k, v in _FEATURES_SQL.items()) + " FROM per JOIN t USING (query_id)")
 def sufficiency_features(spark, sf):
     a, b = _lists(spark, sf)
     q, pos = F.col("query_id"), F.col("pos")
@@ -66,7 +67,7 @@ def sufficiency_features(spark, sf):
         F.when(q % 5 == 0, none).otherwise(F.array(F.lit("ITEM"), F.lit("zebra"))).alias("bound"), F.when(q % 2 == 1, "bm25").otherwise("hybrid").alias("backend"), F.lit(4).alias("call_budget"), (q % 6).alias("calls_used"), (q % 3).alias("remaining_depth"),
     )
     out = S.features(contexts, results, rows)
-    return out.select("query_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in S.FEATURES])
+    return out.select("query_id", *[F.round(F.col(c).cast("double") + 1e-10, 6).alias(c) for c in S.FEATURES])
 
 
 @query("""

@@ -148,15 +148,22 @@ def load_index(spark: SparkSession, path: str, passages: DataFrame, identity: Id
     return Index(passages, postings, spark.read.parquet(f"{snapshot}/terms"), spark.read.parquet(f"{snapshot}/totals"), json.loads(m.lowest))
 
 
-def open_or_build(spark: SparkSession, path: str, passages: DataFrame, build: Callable[[DataFrame], Index], identity: Identity = Identity()) -> tuple[Index, str]:
-    """(index, why): reuse a fitting index, else index what changed, commit, and read it back."""
+def open_or_build(spark: SparkSession, path: str, passages: DataFrame, build: Callable[[DataFrame], Index], identity: Identity = Identity(), tries: int = 3) -> tuple[Index, str]:
+    """(index, why): reuse a fitting index, else index what changed, commit, and read it back; who is overtaken looks again."""
     sums = range_checksums(passages, identity.fields)
-    try:
-        return load_index(spark, path, passages, identity, sums), "reused"
-    except IndexMismatch as e:
-        why, changed = e.reason, e.ranges
-    save_index(passages, path, build, identity, sums, changed)
-    return load_index(spark, path, passages, identity, sums), why
+    first = ""
+    for n in range(tries):
+        try:
+            return load_index(spark, path, passages, identity, sums), first or "reused"
+        except IndexMismatch as e:
+            why, changed = e.reason, e.ranges
+        first = first or why
+        try:
+            save_index(passages, path, build, identity, sums, changed)
+        except IndexMismatch as e:
+            if e.reason != "concurrent_commit" or n == tries - 1:
+                raise
+    return load_index(spark, path, passages, identity, sums), first
 
 
 def corpus_manifest(spark: SparkSession, path: str) -> dict:
