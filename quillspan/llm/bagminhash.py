@@ -235,7 +235,7 @@ def bags_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bagminhash")
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=2_000_000):
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array([dump_bag(bag(t)) for t in batch["text"].to_pylist()], pa.binary())], names=["node", "bag"])
 
     wanted = materialize(nodes.distinct(), "bag-wanted")

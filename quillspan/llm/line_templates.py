@@ -120,7 +120,7 @@ def _generalised(slim: DataFrame, leaves: DataFrame, distinct: DataFrame, depth:
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lines")
-        for batch in batches:
+        for batch in text_slices(batches, most=2_000_000):
             out: dict[int, tuple] = {}
             for text in batch["text"].to_pylist():
                 out |= {k: (leaf, k, line) for leaf, k, line in parse(text, depth) if known is None or leaf in known}
@@ -201,7 +201,7 @@ def drop_boilerplate(docs: DataFrame, counts: bool = True, **options: float) ->
     joined = docs.join(hits.hint("merge"), F.when(F.col("text").isNotNull(), F.xxhash64("text")) == F.col(hit_text), "left").select(*names, hit)
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lines")
-        for batch in batches:
+        for batch in text_slices(batches, most=2_000_000):
             texts, total, gone = [], [], []
             for text, found in zip(batch["text"].to_pylist(), batch[hit].to_pylist()):
                 parts = [] if text is None else text.split("\n")

@@ -148,7 +148,7 @@ def encode_documents(docs: DataFrame, tokenizer: Callable[[], str], end_id: int)
         names = ["doc_id", "n", "place", "ids"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         frequency = np.zeros(0, dtype=np.int64)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=2_000_000):
             ids = [np.concatenate((x, end)) for x in encoder(tokenizer()).encode(batch["text"].to_pylist())]
             sizes = [len(x) for x in ids]
             flat = np.concatenate(ids).astype(np.int64)
