@@ -28,8 +28,9 @@ from ..sources.scratch import written
 class Index:
     passages: DataFrame
     postings: DataFrame
-    terms: DataFrame
-    totals: DataFrame
+    #: statistics; a builder for the store may leave them out
+    terms: DataFrame | None = None
+    totals: DataFrame | None = None
     #: the smallest places, for short result lists; null if they are not kept
     lowest: list | None = None
 

@@ -165,7 +165,7 @@ _FIELDS = ("text", "title")
 def _index(spark, sf) -> retrieval.Index:
     """The one stored index of the documents' texts and titles that all retrieval queries share; built where it is absent or does not fit."""
     path = f"{scratch_root(spark)}/bm25-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
-    return store.open_or_build(spark, path, _corpus(spark, sf), lambda p: retrieval.build_index(p, _FIELDS), store.Identity(dataset=sf, fields=_FIELDS))[0]
+    return store.open_or_build(spark, path, _corpus(spark, sf), lambda p: retrieval.Index(p, retrieval.count_terms(p, _FIELDS)), store.Identity(dataset=sf, fields=_FIELDS))[0]
 
 
 @query(_bm25_sql({"text": "text"}, "1.0", 10))
