@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import values as V
 from .operators import probes
 from .plans import answers as A
 from .queries import _LISTS_SQL, _lists, query, table
@@ -123,7 +124,7 @@ SELECT dataset, method, n, round(mean, 7) AS mean_difference, wins, ties, losses
 def baseline_comparison(spark, sf):
     """Two methods against a fixed baseline, with intervals and corrected p values."""
     out = probes.compare_with_baseline(_scores(spark, sf), "view", ["click", "purchase"], 400)
-    return out.select(*[F.round(c, 7).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    return out.select(*[V.rounded(F.col(c), 7).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 _METRICS_SQL = """
