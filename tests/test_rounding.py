@@ -30,7 +30,7 @@ def test_rounding_is_that_of_sql(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["baseline_comparison", "pairwise_wtl", "wilcoxon"])
+@pytest.mark.parametrize("name", ["baseline_comparison", "pairwise_wtl", "strategy_summary", "wilcoxon"])
 def test_dealt_rows_equal_sql(spark, tmp_path, name):
     import duckdb
 
