@@ -47,6 +47,17 @@ def build_index(passages: DataFrame, fields: tuple[str, ...] = ("text",)) -> Ind
     return index_of(passages, written(count_terms(passages, fields), "bm25-postings"), fields)
 
 
+def _text_slices(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in slices of about ``most`` bytes of text (one row at least), so that a worker's memory does not follow the size of its input."""
+    for b in batches:
+        ends = np.cumsum(pa.compute.binary_length(b["text"]).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def count_terms(passages: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
     """(field, term, pos, tf, size) of every passage: a token is a run of letters, digits and underscores in lower case."""
     each = [passages.select(F.lit(f).alias("field"), "pos", F.lower(f).alias("text")).filter("text IS NOT NULL") for f in fields]
@@ -55,7 +66,7 @@ def count_terms(passages: DataFrame, fields: tuple[str, ...] = ("text",)) -> Dat
         held = held.unionByName(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _text_slices(batches):
             terms, counts, ends, sizes = [], [], [0], []
             for text in b["text"].to_pylist():
                 found = _TOKEN.findall(text)

@@ -58,3 +58,13 @@ def test_graph_rank_prefers_the_linked_passage(spark):
     rows = [(0, "amber engine", 0, "amber engine hall"), (0, "amber engine", 1, "hall of mirrors hall"), (0, "amber engine", 2, "unrelated words entirely")]
     got = graph.graph_rank(spark.createDataFrame(rows, "query_id long, query string, pos long, text string")).orderBy("rank").collect()
     assert [r.pos for r in got] == [0, 1, 2] and abs(sum(r.score for r in got) - 1) < 1e-9
+
+
+def test_terms_are_counted_in_slices_of_bounded_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * 300] * 7 + [None, "", "b" * 5000, "c"]
+    batch = pa.RecordBatch.from_pydict({"pos": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    got = list(retrieval._text_slices(iter([batch]), 1000))
+    assert [p for b in got for p in b["pos"].to_pylist()] == list(range(len(texts)))
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b["text"].to_pylist()) <= 1000 for b in got) and len(got) >= 4
