@@ -6,48 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scratch import written
-
 
 def link(previous: Column, payload: Column) -> Column:
     """The chain value of an event: the digest of the value before it and of its own payload."""
-    return F.sha2(F.concat_ws(":", F.coalesce(previous, F.lit("")), F.sha2(F.coalesce(payload, F.lit("")), 256)), 256)
+    return linked(previous, F.sha2(F.coalesce(payload, F.lit("")), 256))
+
+
+def linked(previous: Column, digest: Column) -> Column:
+    return F.sha2(F.concat_ws(":", F.coalesce(previous, F.lit("")), digest), 256)
 
 
 def sealed(events: DataFrame, keys: list[str], order: str, payload: str) -> DataFrame:
     """Events with ``place`` (from 1) and ``chain`` in each key's order, folded inside the key's row.
 
-    A key's payload digests must fit a row (64 bytes an attempt); ``order`` must be unique within a key.
+    A key's events must fit a row and be comparable; ``order`` must be unique within a key. The events travel with their order, so they are shuffled once.
     """
-    each = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.sha2(F.coalesce(payload, F.lit("")), 256).alias("d")))).alias("x"))
-    step = lambda a, x: F.concat(a, F.array(F.sha2(F.concat_ws(":", F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")), x["d"]), 256)))
+    rest = [c for c in events.columns if c not in keys and c != order]
+    each = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*rest).alias("e")))).alias("x"))
+    step = lambda a, x: F.concat(a, F.array(link(F.try_element_at(a, F.lit(-1)), x["e"][payload])))
     chained = each.select(*keys, F.arrays_zip("x", F.aggregate("x", F.array().cast("array<string>"), step).alias("chain")).alias("z")).select(*keys, F.posexplode("z").alias("at", "z"))
-    return events.join(chained.select(*keys, F.col("z.x.o").alias(order), (F.col("at") + 1).alias("place"), F.col("z.chain").alias("chain")), [*keys, order])
+    return chained.select(*keys, F.col("z.x.o").alias(order), *[F.col("z.x.e")[c].alias(c) for c in rest], (F.col("at") + 1).alias("place"), F.col("z.chain").alias("chain"))
 
 
-def chain_breaks(events: DataFrame, keys: list[str], payload: str) -> DataFrame:
+def chain_breaks(events: DataFrame, keys: list[str], payload: str, block: int = 1000) -> DataFrame:
     """(keys, place, reason) of events (keys, place, chain) that don't follow from the one before: gap, duplicate or digest.
 
-    Events are dealt to ranges of (keys, place), so a key of any length is spread; a range's first event is checked against the last one
-    of the range before, of which the driver holds one row a range.
+    Events are checked inside blocks of ``block`` places, so a key of any length is spread; a block's first event is checked against the last
+    one of the block before. Only these ends, and what is broken, meet by key, and events that are dealt by key stay where they are.
     """
-    spark = events.sparkSession
-    ranged = written(events.select(*keys, "place", "chain", F.col(payload).alias("__p")).repartitionByRange(*keys, "place").withColumn("__r", F.spark_partition_id()), "chain")
-    key = F.struct(*keys)
-    last = ranged.groupBy("__r").agg(F.max(F.struct(*keys, "place", "chain")).alias("e")).select("__r", *[F.col(f"e.{c}").alias(f"__l_{c}") for c in keys], F.col("e.place").alias("__l_place"), F.col("e.chain").alias("__l_chain"))
-    rows = sorted(last.collect(), key=lambda r: r["__r"])
-    after = [(b["__r"], *a[1:]) for a, b in zip(rows, rows[1:], strict=False)]
-    shape = last.schema
-    prior = spark.createDataFrame(after, shape)
-    w = Window.partitionBy("__r").orderBy(*keys, "place", "chain")
-    own = F.lag(F.struct(*keys, "place", "chain")).over(w)
-    before = F.struct(*[F.col(f"__l_{c}").alias(c) for c in keys], F.col("__l_place").alias("place"), F.col("__l_chain").alias("chain"))
-    joined = ranged.withColumn("__own", own).join(F.broadcast(prior), "__r", "left")  # one row a range
-    prev = F.coalesce("__own", F.when(F.col("__l_place").isNotNull(), before))
-    same = F.coalesce(F.struct(*[prev[c].alias(c) for c in keys]) == key, F.lit(False))
-    place, value = F.when(same, prev["place"]).otherwise(0), F.when(same, prev["chain"])
-    reason = F.when(F.col("place") == place, "duplicate").when(F.col("place") != place + 1, "gap").when(~F.col("chain").eqNullSafe(link(value, F.col("__p"))), "digest")
-    return joined.withColumn("reason", reason).filter("reason IS NOT NULL").select(*keys, "place", "reason")
+    slim = events.select(*keys, "place", "chain", F.unhex(F.sha2(F.coalesce(payload, F.lit("")), 256)).alias("__d"), F.floor((F.col("place") - 1) / block).alias("__b"))
+    by_block, by_key = Window.partitionBy(*keys, "__b").orderBy("place", "chain"), Window.partitionBy(*keys).orderBy("place", "chain")
+    held = F.struct("place", "chain")
+
+    def reason(prev: Column) -> Column:
+        place = F.coalesce(prev["place"], F.lit(0))
+        return F.when(F.col("place") == place, "duplicate").when(F.col("place") != place + 1, "gap").when(~F.col("chain").eqNullSafe(linked(prev["chain"], F.lower(F.hex("__d")))), "digest")
+
+    inside = slim.withColumns({"__own": F.lag(held).over(by_block), "__last": F.lead("place").over(by_block).isNull()})
+    inside = inside.withColumn("__why", F.when(F.col("__own").isNotNull(), reason(F.col("__own"))))
+    ends = inside.filter("__own IS NULL OR __last OR __why IS NOT NULL").withColumn("__prev", F.lag(held).over(by_key))
+    return ends.select(*keys, "place", F.when(F.col("__own").isNull(), reason(F.col("__prev"))).otherwise(F.col("__why")).alias("reason")).filter("reason IS NOT NULL")
 
 
 def cell_report(expected: DataFrame, items: DataFrame, broken: DataFrame, keys: list[str]) -> DataFrame:

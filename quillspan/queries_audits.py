@@ -21,10 +21,10 @@ b AS (SELECT record, place, CASE WHEN place <> coalesce(before, 0) + 1 THEN 'gap
 def _breaks(spark, sf):
     """Chains over the lines of every order; some payloads are altered and some events lost after sealing."""
     cells = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record"), "l_partkey", "l_suppkey", F.struct(*cells).alias("at"), F.concat_ws("|", *[F.col(c).cast("string") for c in cells]).alias("payload"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record"), F.struct(*cells).alias("at"), F.concat_ws("|", *[F.col(c).cast("string") for c in cells]).alias("payload"))
     whole = audits.sealed(li, ["record"], "at", "payload")
-    altered = F.when((F.col("l_partkey") % 97 == 0) & (F.col("place") > 1), F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
-    return audits.chain_breaks(whole.filter("l_suppkey % 31 <> 0").withColumn("payload", altered), ["record"], "payload")
+    altered = F.when((F.col("at.l_partkey") % 97 == 0) & (F.col("place") > 1), F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
+    return audits.chain_breaks(whole.filter("at.l_suppkey % 31 <> 0").withColumn("payload", altered), ["record"], "payload")
 
 
 @query(f"WITH {_EVENTS_SQL} SELECT record, place, reason FROM b WHERE reason IS NOT NULL")

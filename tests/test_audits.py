@@ -75,3 +75,19 @@ def test_cells_that_nobody_expected(spark):
     items = spark.createDataFrame([(1, "d", "m", "ok"), (2, "d", "m", "question_timeout"), (3, "e", "m", "ok")], "id int, dataset string, method string, status string")
     got = {(r.dataset, r.method): r.blockers for r in audits.cell_report(expected, items, items.filter("id = 3"), ["id"]).collect()}
     assert got == {("d", "m"): "question_timeouts", ("d", "n"): "cell_count_mismatch", ("e", "m"): "unexpected_cell,record_audit_incomplete"}
+
+
+def test_events_are_shuffled_once(spark):
+    events = spark.createDataFrame([("k", i, f"p{i}", "kept") for i in range(4)], "k string, o int, payload string, other string")
+    whole = audits.sealed(events, ["k"], "o", "payload")
+    assert [r.other for r in whole.collect()] == ["kept"] * 4
+    plan = audits.chain_breaks(whole, ["k"], "payload")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_ends_of_blocks_are_checked(spark):
+    whole = audits.sealed(spark.createDataFrame([(i, f"p{i}") for i in range(30)], "o int, payload string").selectExpr("'k' AS k", "*"), ["k"], "o", "payload")
+    assert audits.chain_breaks(whole, ["k"], "payload", block=7).collect() == []
+    lost = whole.filter("place NOT IN (7, 8, 15) AND NOT place BETWEEN 20 AND 29")
+    got = audits.chain_breaks(lost.withColumn("payload", F.when(F.col("place") == 3, "x").otherwise(F.col("payload"))), ["k"], "payload", block=7).collect()
+    assert sorted((r.place, r.reason) for r in got) == [(3, "digest"), (9, "gap"), (16, "gap"), (30, "gap")]
