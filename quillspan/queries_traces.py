@@ -27,23 +27,26 @@ g AS (SELECT o, first_p AS id FROM f WHERE o % 4 <> 1 UNION ALL SELECT o, first_
 def _items(spark, sf) -> DataFrame:
     """(question_id, gold, answers, gold_answer, prediction, em, available, slot_traces, evidence, rows) of every order with lines."""
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
-    pid, sid, rid = F.concat(F.lit("P"), "l_partkey", F.lit("#0")), F.concat(F.lit("Q"), "l_suppkey", F.lit("#0")), F.concat(F.lit("R"), F.col("l_partkey") * 7 % 500, F.lit("#0"))
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    name = F.when(F.col("l_tax") <= 0.07, F.col("p_name")).otherwise("")
+    read = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     ids = F.array().cast("array<string>")
     cand = lambda *c: F.struct(F.array(*[F.struct(x.alias("source_id")) for x in c]).alias("candidates"))
-    searches = F.when(F.col("l_quantity") > 25, F.array(cand(pid, sid), cand(rid))).otherwise(F.array(cand(pid, sid)))
-    row = F.array(F.struct(pid.alias("source_id"), F.create_map(F.lit("name"), name).alias("bindings")))
-    made = F.when(F.col("l_linestatus") == "F", row)
-    mat = F.struct(
-        searches.alias("searches"), F.concat(F.when(F.col("l_returnflag") != "R", F.array(pid)).otherwise(ids), F.when(F.col("l_discount") >= 0.05, F.array(sid)).otherwise(ids)).alias("selected_source_ids"), made.alias("extracted_rows"),
-        F.when(F.col("l_linenumber") == 1, F.create_map(F.lit("name"), F.lit("k"))).alias("binding_context"), F.when(F.col("l_quantity") > 25, 2).otherwise(1).alias("retrieval_calls"),
-    )
-    bare = F.create_map().cast("map<string,string>")
-    evidence = F.when(F.col("l_tax") >= 0.03, F.array(F.struct(pid.alias("source_id"), bare.alias("bindings")), F.struct(sid.alias("source_id"), bare.alias("bindings"))))
-    kept = F.when((F.col("l_linestatus") == "F") & (F.col("l_tax") < 0.06), row)
-    line = F.struct(order.alias("at"), F.concat(F.lit("S"), F.col("l_linenumber")).alias("slot_id"), mat.alias("m"), evidence.alias("evidence"), kept.alias("rows"), "p_name", pid.alias("p"), sid.alias("q"))
-    each = li.groupBy(F.col("l_orderkey").alias("question_id")).agg(F.array_sort(F.collect_list(line), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)).alias("x"))
+
+    def line(l):  # noqa: E741
+        """A line's materialisation, made after the shuffle: only the columns that it is made of travel."""
+        pid, sid, rid = F.concat(F.lit("P"), l["l_partkey"], F.lit("#0")), F.concat(F.lit("Q"), l["l_suppkey"], F.lit("#0")), F.concat(F.lit("R"), l["l_partkey"] * 7 % 500, F.lit("#0"))
+        name = F.when(l["l_tax"] <= 0.07, l["p_name"]).otherwise("")
+        searches = F.when(l["l_quantity"] > 25, F.array(cand(pid, sid), cand(rid))).otherwise(F.array(cand(pid, sid)))
+        row = F.array(F.struct(pid.alias("source_id"), F.create_map(F.lit("name"), name).alias("bindings")))
+        mat = F.struct(
+            searches.alias("searches"), F.concat(F.when(l["l_returnflag"] != "R", F.array(pid)).otherwise(ids), F.when(l["l_discount"] >= 0.05, F.array(sid)).otherwise(ids)).alias("selected_source_ids"), F.when(l["l_linestatus"] == "F", row).alias("extracted_rows"),
+            F.when(l["l_linenumber"] == 1, F.create_map(F.lit("name"), F.lit("k"))).alias("binding_context"), F.when(l["l_quantity"] > 25, 2).otherwise(1).alias("retrieval_calls"),
+        )
+        bare = F.create_map().cast("map<string,string>")
+        evidence = F.when(l["l_tax"] >= 0.03, F.array(F.struct(pid.alias("source_id"), bare.alias("bindings")), F.struct(sid.alias("source_id"), bare.alias("bindings"))))
+        kept = F.when((l["l_linestatus"] == "F") & (l["l_tax"] < 0.06), row)
+        return F.struct(F.concat(F.lit("S"), l["l_linenumber"]).alias("slot_id"), mat.alias("m"), evidence.alias("evidence"), kept.alias("rows"), l["p_name"].alias("p_name"), pid.alias("p"), sid.alias("q"))
+
+    each = li.groupBy(F.col("l_orderkey").alias("question_id")).agg(F.sort_array(F.collect_list(F.struct(*read, "p_name"))).alias("x")).withColumn("x", F.transform("x", line))
     each = each.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), "o_custkey"), "question_id")
     first, o, gold_answer = F.col("x")[0], F.col("question_id"), F.col("x")[0]["p_name"]
     said = F.when(F.col("o_custkey") % 5 == 0, gold_answer).when(F.col("o_custkey") % 5 == 1, F.concat(gold_answer, F.lit(" extra"))).when(F.col("o_custkey") % 5 == 2, F.concat(F.split_part(gold_answer, F.lit(" "), F.lit(1)), F.lit(" zzz"))).when(F.col("o_custkey") % 5 == 3, F.split_part(gold_answer, F.lit(" "), F.lit(2)))
