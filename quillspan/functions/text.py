@@ -74,7 +74,8 @@ def canonical_id(c: Column) -> Column:
         return F.array_join(F.slice(parts, F.lit(2), k - 1), ":") == F.regexp_replace(tail(k), "#[^#]*$", "")
 
     hit = F.filter(F.when(n > 2, F.sequence(F.lit(2), n - 1)).otherwise(F.array().cast("array<int>")), repeats)
-    return F.when(F.size(hit) > 0, tail(F.get(hit, F.lit(0)))).when(n >= 3, F.element_at(parts, -1)).otherwise(head)
+    # most ids have no colon: they are not split at all
+    return F.when(F.contains(head, F.lit(":")), F.when(F.size(hit) > 0, tail(F.get(hit, F.lit(0)))).when(n >= 3, F.element_at(parts, -1)).otherwise(head)).otherwise(head)
 
 
 def last_part_id(c: Column) -> Column:

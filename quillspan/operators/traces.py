@@ -93,16 +93,17 @@ _STATE = f"struct<calls:long,covered:array<string>,out:array<{_EXAMPLE}>>"
 def known_sources(items: DataFrame, passages: DataFrame, key: str = "question_id") -> DataFrame:
     """(question, known): the question's candidates and sources that have a passage, and whether it holds an answer."""
     mats = F.explode(_flat(F.col("slot_traces.materializations"))).alias("m")
-    ids = items.select(key, "answers", mats).select(key, "answers", F.explode(F.array_union(_ids(_flat(F.transform(F.col("m.searches"), lambda s: s["candidates"]["source_id"]))), _ids(F.col("m.extracted_rows.source_id")))).alias("source_id")).distinct()
+    answers = F.transform(F.coalesce("answers", F.array().cast(_NONE)), plain_answer).alias("answers")
+    ids = items.select(key, answers, mats).select(key, "answers", F.explode(F.array_union(_ids(_flat(F.transform(F.col("m.searches"), lambda s: s["candidates"]["source_id"]))), _ids(F.col("m.extracted_rows.source_id")))).alias("source_id")).distinct()
     held = ids.join(passages.select("source_id", F.concat(F.lit(" "), plain_answer(F.col("text")), F.lit(" ")).alias("__t")), "source_id")
-    answered = F.exists(F.coalesce("answers", F.array().cast(_NONE)), lambda a: (plain_answer(a) != "") & F.contains(F.col("__t"), F.concat(F.lit(" "), plain_answer(a), F.lit(" "))))
+    answered = F.exists("answers", lambda a: (a != "") & F.contains(F.col("__t"), F.concat(F.lit(" "), a, F.lit(" "))))
     return held.select(key, F.struct("source_id", answered.alias("answered")).alias("e")).groupBy(key).agg(F.map_from_entries(F.collect_list("e")).alias("known"))
 
 
 def development_examples(items: DataFrame, passages: DataFrame, key: str = "question_id") -> DataFrame:
     """One row for each materialisation of a trace: its label, what a wider window would have found, and the budget so far.
 
-    A fold over the ordered materialisations carries the retrieval calls and the set of gold ids selected so far. With gold ids
+    Each materialisation is judged by itself; a fold over the ordered ones carries the retrieval calls and the set of gold ids selected so far. With gold ids
     the label is strong: a gold passage was selected and gave a row, and some row fills all requested variables. Without, it
     is weak: an answer stands in a selected passage and in a row. Materialisations whose selected sources have no passage at
     all are skipped and use no calls. ``passages`` has unique (source_id, text); candidates count once, in order of appearance.
@@ -115,34 +116,46 @@ def development_examples(items: DataFrame, passages: DataFrame, key: str = "ques
     depth = F.size("slot_traces")
     flat = _flat(F.transform("slot_traces", lambda t, i: F.transform(F.coalesce(t["materializations"], F.array()), lambda m, j: F.struct(i.alias("i"), j.alias("j"), t["slot_id"].alias("slot_id"), t["variables"].alias("variables"), m.alias("m")))))
 
-    def step(state: Column, x: Column) -> Column:
-        m, known, gold = x["m"], F.col("known"), F.col("__gold")
+    def read(x: Column) -> Column:
+        m = x["m"]
         asked = _ids(_flat(F.transform(m["searches"], lambda s: s["candidates"]["source_id"])))
-        found = F.filter(asked, lambda c: F.map_contains_key(known, c))
-        selected = F.filter(found, lambda c: F.array_contains(m["selected_source_ids"], c))
-        rows = F.coalesce(m["extracted_rows"], F.array())
-        held = F.filter(rows, lambda r: F.map_contains_key(known, r["source_id"]))
-        canon = lambda a: F.array_distinct(F.transform(a, canonical_id))
-        chosen, pool = canon(selected), canon(found)
         requested = F.array_except(F.coalesce(x["variables"], F.array().cast(_NONE)), F.map_keys(F.coalesce(m["binding_context"], F.create_map().cast("map<string,string>"))))
-        complete = F.filter(held, lambda r: F.forall(requested, lambda v: F.trim(F.coalesce(F.try_element_at(r["bindings"], v), F.lit(""))) != ""))
-        strong, hit, within = F.size(gold) > 0, F.arrays_overlap(chosen, gold), F.arrays_overlap(pool, gold)
-        row_gold = F.exists(held, lambda r: F.array_contains(gold, canonical_id(r["source_id"])))
-        stated = F.array_join(F.transform(_values(held["bindings"]), plain_answer), " ")
-        said = F.exists(F.col("__answers"), lambda a: (a != "") & F.contains(F.concat(F.lit(" "), stated, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" "))))
-        seen = F.exists(selected, lambda c: F.try_element_at(known, c))
-        calls = state["calls"] + F.coalesce(m["retrieval_calls"], F.lit(0))
-        covered = F.array_union(state["covered"], F.array_intersect(chosen, gold))
-        label = F.when(strong, hit & row_gold & (F.size(complete) > 0)).otherwise(seen & said)
+        rows = F.coalesce(m["extracted_rows"], F.array())
+        held = F.filter(rows, lambda r: F.map_contains_key("known", r["source_id"]))
+        found = F.transform(F.filter(asked, lambda c: F.map_contains_key("known", c)), lambda c: F.struct(c.alias("id"), canonical_id(c).alias("canon"), F.coalesce(F.array_contains(m["selected_source_ids"], c), F.lit(False)).alias("selected")))
+        given = F.size(F.coalesce(m["selected_source_ids"], F.array().cast(_NONE))) > 0
+        return F.struct(x["slot_id"].alias("slot_id"), x["i"].alias("i"), x["j"].alias("j"), F.size(asked).alias("asked"), requested.alias("requested"), F.size(rows).alias("rows"), held.alias("held"), found.alias("found"), given.alias("given"), F.coalesce(m["retrieval_calls"], F.lit(0)).alias("calls"))
+
+    def sets(x: Column) -> Column:
+        selected = F.filter(x["found"], lambda c: c["selected"])
+        stated = F.concat(F.lit(" "), F.array_join(F.transform(_values(x["held"]["bindings"]), plain_answer), " "), F.lit(" "))
+        complete = F.filter(x["held"], lambda r: F.forall(x["requested"], lambda v: F.trim(F.coalesce(F.try_element_at(r["bindings"], v), F.lit(""))) != ""))
+        return F.struct(
+            *[x[c].alias(c) for c in ("slot_id", "i", "j", "calls")], (x["asked"] - F.size(x["found"]) + x["rows"] - F.size(x["held"])).alias("missing"), ((F.size(selected) == 0) & x["given"]).alias("skip"), F.size(complete).alias("complete"),
+            F.array_distinct(selected["canon"]).alias("chosen"), F.array_distinct(x["found"]["canon"]).alias("pool"), F.exists(selected, lambda c: F.try_element_at("known", c["id"])).alias("seen"), stated.alias("stated"),
+            F.exists(x["held"], lambda r: F.array_contains("__gold", canonical_id(r["source_id"]))).alias("row_gold"),
+        )
+
+    def judged(x: Column) -> Column:
+        hit, within = F.arrays_overlap(x["chosen"], "__gold"), F.arrays_overlap(x["pool"], "__gold")
+        said = F.exists("__answers", lambda a: (a != "") & F.contains(x["stated"], F.concat(F.lit(" "), a, F.lit(" "))))
+        label = F.when(strong, hit & x["row_gold"] & (x["complete"] > 0)).otherwise(x["seen"] & said)
         example = F.struct(
-            x["slot_id"], x["i"], x["j"], F.when(strong, "strong_gold_evidence").otherwise("weak_answer_surface"), F.coalesce(label, F.lit(False)).cast("int"), strong & hit, strong & within, F.size(F.array_except(pool, chosen)) > 0,
-            strong & ~hit & within, F.size(chosen), F.size(pool), F.size(complete), F.size(asked) - F.size(found) + F.size(rows) - F.size(held), calls, F.greatest(depth - x["i"] - 1, F.lit(0)), F.size(covered),
+            x["slot_id"], x["i"], x["j"], F.when(strong, "strong_gold_evidence").otherwise("weak_answer_surface"), F.coalesce(label, F.lit(False)).cast("int"), strong & hit, strong & within, F.size(F.array_except(x["pool"], x["chosen"])) > 0,
+            strong & ~hit & within, F.size(x["chosen"]), F.size(x["pool"]), x["complete"], x["missing"], x["calls"], F.greatest(depth - x["i"] - 1, F.lit(0)), F.lit(0),
         ).cast(_EXAMPLE)
-        skip = (F.size(selected) == 0) & (F.size(F.coalesce(m["selected_source_ids"], F.array().cast(_NONE))) > 0)
-        return F.when(skip, state).otherwise(F.struct(calls.alias("calls"), covered.alias("covered"), F.concat(state["out"], F.array(example)).alias("out")).cast(_STATE))
+        return F.struct(example.alias("example"), F.array_intersect(x["chosen"], "__gold").alias("gold"))
+
+    def step(state: Column, x: Column) -> Column:
+        calls, covered = state["calls"] + x["example"]["calls_used"], F.array_union(state["covered"], x["gold"])
+        example = x["example"].withField("calls_used", calls).withField("covered_gold", F.size(covered))
+        return F.struct(calls.alias("calls"), covered.alias("covered"), F.concat(state["out"], F.array(example)).alias("out")).cast(_STATE)
 
+    strong = F.size("__gold") > 0
     start = F.struct(F.lit(0).cast("long").alias("calls"), F.array().cast(_NONE).alias("covered"), F.array().cast(f"array<{_EXAMPLE}>").alias("out")).cast(_STATE)
-    return both.select(key, F.explode(F.aggregate(flat, start, step, lambda s: s["out"])).alias("e")).select(key, "e.*")
+    # each transform names what the next one reads again and again, so that nothing is worked out twice
+    steps = F.transform(F.filter(F.transform(F.transform(flat, read), sets), lambda x: ~x["skip"]), judged)
+    return both.select(key, F.explode(F.aggregate(steps, start, step, lambda s: s["out"])).alias("e")).select(key, "e.*")
 
 
 # ---- extracted rows -------------------------------------------------------------------------
