@@ -85,19 +85,21 @@ def count_terms(passages: DataFrame, fields: tuple[str, ...] = ("text",)) -> Dat
 
 def index_of(passages: DataFrame, postings: DataFrame, fields: tuple[str, ...]) -> Index:
     """The index over given postings, with document frequencies, idf and mean sizes of each field."""
-    found = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    found = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     held = passages.agg(F.count("*").alias("n"), *[F.count(f).alias(f"__{f}") for f in fields])
     present = held.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__{f}").alias("texts")) for f in fields])).alias("x")).select("n", "x.field", "x.texts")
-    totals = present.join(found.groupBy("field").agg(F.sum("cf").alias("words")), "field", "left").select("field", "n", F.try_divide(F.coalesce("words", F.lit(0)).cast("double"), F.col("texts").cast("double")).alias("mean_size"))
+    totals = present.join(postings.groupBy("field").agg(F.sum("tf").alias("words")), "field", "left").select("field", "n", F.try_divide(F.coalesce("words", F.lit(0)).cast("double"), F.col("texts").cast("double")).alias("mean_size"))
     raw = found.join(F.broadcast(totals), "field").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("field").agg(F.avg("raw").alias("mean_idf"))
     terms = raw.join(F.broadcast(mean), "field").select("field", "term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     return Index(passages, postings, terms, totals)
 
 
-def bm25_scores(index: Index, queries: DataFrame, weights: dict[str, float] | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_scores(index: Index, queries: DataFrame, weights: dict[str, float] | None = None, k1: float = 1.5, b: float = 0.75, also: DataFrame | None = None) -> DataFrame:
     """(query_id, pos, score) of every passage that shares a term with a query; repeated query terms count again.
 
+    ``also`` are further (query_id, pos, score) that are added up with the hits.
+
     ``weights`` weighs the fields; a query column ``weights`` (map) overrides it for each query.
     """
     weights = weights or {"text": 1.0}
@@ -108,7 +110,8 @@ def bm25_scores(index: Index, queries: DataFrame, weights: dict[str, float] | No
     postings = index.postings.join(asked.select("field", "term").distinct(), ["field", "term"], "left_semi")
     hits = postings.join(known, ["field", "term"]).join(F.broadcast(index.totals), "field")
     part = F.col("weight") * F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
-    return hits.groupBy("query_id", "pos").agg(F.sum(part).alias("score"))
+    parts = hits.select("query_id", "pos", part.alias("score"))
+    return (parts if also is None else parts.unionByName(also)).groupBy("query_id", "pos").agg(F.sum("score").alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, order: list[Column] | None = None) -> DataFrame:
@@ -119,11 +122,11 @@ def top_k(scores: DataFrame, k: int, order: list[Column] | None = None) -> DataF
 
 def bm25_top_k(index: Index, queries: DataFrame, k: int, weights: dict[str, float] | None = None, pad: bool = True) -> DataFrame:
     """Best k passages of each query; with ``pad``, passages that score 0 fill up, smallest ``pos`` first."""
-    scores = bm25_scores(index, queries, weights)
+    filler = None
     if pad:
         first = index.lowest[:k] if index.lowest is not None and len(index.lowest) >= k else [r.pos for r in index.passages.select("pos").orderBy("pos").limit(k).collect()]  # k numbers
         filler = queries.select("query_id", F.explode(F.array(*[F.lit(p).cast("long") for p in first])).alias("pos"), F.lit(0.0).alias("score"))
-        scores = scores.unionByName(filler).groupBy("query_id", "pos").agg(F.sum("score").alias("score"))
+    scores = bm25_scores(index, queries, weights, also=filler)
     return top_k(scores, k)
 
 

@@ -101,8 +101,9 @@ def save_index(passages: DataFrame, path: str, build: Callable[[DataFrame], Inde
     todo = sorted(wanted & set(changed)) if before else sorted(wanted)
     snapshot = f"{path}/snapshots/{uuid.uuid4().hex}"
     if todo:
-        fresh = build(passages.filter(_range(F.col("pos")).isin(todo))).postings
-        fresh.withColumn("range", _range(F.col("pos"))).repartition("range", F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("range", "field", "term", "pos").write.partitionBy("range").parquet(f"{snapshot}/postings")
+        # texts are dealt out before their terms are counted: they are smaller than their postings, and all of a passage's postings lie in one file, so searches add up its score where they read it
+        dealt = passages.filter(_range(F.col("pos")).isin(todo)).repartition(_range(F.col("pos")), F.pmod(F.xxhash64("pos", F.lit(1)), F.lit(8)))
+        build(dealt).postings.withColumn("range", _range(F.col("pos"))).sortWithinPartitions("range", "field", "term", "pos").write.partitionBy("range").parquet(f"{snapshot}/postings")
     old = {r["range"]: r.path for r in before.ranges} if before else {}
     written = {f.getPath().getName() for f in _listed(spark, f"{snapshot}/postings")}
     where = lambda r: (f"{snapshot}/postings/range={r}" if f"range={r}" in written else "") if r in todo else old[r]
