@@ -206,6 +206,12 @@ def polar_answer(c: Column) -> Column:
     return F.when(word.isin("yes", "true"), "yes").when(word.isin("no", "false"), "no")
 
 
+def parenthesised_clauses(c: Column) -> Column:
+    """All ``clause (...)`` of a text. No match crosses a line, so only lines with both parentheses are searched: elsewhere each clause would be tried from all of its places."""
+    lines = F.filter(F.split(c, "\n"), lambda l: F.contains(l, F.lit("(")) & F.contains(l, F.lit(")")))  # noqa: E741
+    return F.flatten(F.transform(lines, lambda l: F.regexp_extract_all(l, F.lit(r"([^.!?\n]*\([^\n]*?\))"), F.lit(1))))  # noqa: E741
+
+
 def unparenthesised(c: Column) -> Column:
     """``Head (12 head ...)`` as its head, where the parenthesis only restates it."""
     head, inside = F.regexp_extract(c, r"^(.*?)\s*\((.*)\)\s*$", 1), F.regexp_extract(c, r"^(.*?)\s*\((.*)\)\s*$", 2)

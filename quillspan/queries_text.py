@@ -80,7 +80,7 @@ SELECT doc_id, CASE WHEN head <> '' AND contains(lower(inside), lower(head)) THE
 """)
 def restated_answers(spark, sf):
     """Every parenthesised clause of the documents, and part names restated in their parentheses."""
-    docs = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"([^.!?\n]*\([^\n]*?\))"), F.lit(1)).alias("s"))
+    docs = table(spark, sf, "documents").select("doc_id", T.parenthesised_clauses(F.col("text")).alias("s"))
     parts = table(spark, sf, "part").select((F.col("p_partkey") + 1_000_000_000).alias("doc_id"), F.array(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(" "), "p_name", F.lit(")")), F.concat("p_type", F.lit(" ("), "p_name", F.lit(")  "))).alias("s"))
     return docs.unionByName(parts).select("doc_id", F.explode("s").alias("c")).select("doc_id", T.unparenthesised(F.col("c")).alias("head")).groupBy("doc_id", "head").agg(F.count("*").alias("n"))
 
