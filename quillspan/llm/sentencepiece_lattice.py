@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialize, text_slices
+from .common import claim, materialize, release, text_slices
 
 BLANK = "▁"
 NEVER = 2**31 - 1
@@ -334,14 +334,19 @@ class Dictionary:
     def __init__(self, raw: bytes):
         table = pa.ipc.open_stream(raw).read_all().combine_chunks()
         lists = table["ids"].chunk(0) if table["ids"].num_chunks else pa.array([], pa.list_(pa.int32()))
-        self.row = {w: i for i, w in enumerate(table["word"].to_pylist())}
+        self.row = {w: i for i, w in enumerate(_strings(table["word"]))}
         self.offsets = lists.offsets.to_numpy().astype(np.int64)
         self.flat = lists.values.to_numpy()
 
 
+def _strings(a: pa.Array | pa.ChunkedArray) -> list[str]:
+    """As ``to_pylist``, without a scalar object for each string."""
+    return pc.cast(a, pa.large_string()).to_numpy(**({} if isinstance(a, pa.ChunkedArray) else {"zero_copy_only": False})).tolist()
+
+
 def rare_words(segments: Segments, shared: Dictionary) -> tuple[np.ndarray, np.ndarray]:
     """(dictionary row of each distinct segment or -1, places of those that need the word table)."""
-    row = np.fromiter((shared.row.get(w, -1) for w in segments.distinct.to_pylist()), dtype=np.int64, count=len(segments.distinct))
+    row = np.fromiter((shared.row.get(w, -1) for w in _strings(segments.distinct)), dtype=np.int64, count=len(segments.distinct))
     return row, np.flatnonzero((row < 0) & segments.words())
 
 
@@ -357,7 +362,7 @@ def assemble(texts: list[str | None], rare: list[list[int]], shared: Dictionary,
     run = np.zeros(len(row), dtype=np.int64)
     rest = np.flatnonzero(row < 0)
     special = np.setdiff1d(rest, wanted, assume_unique=True)
-    for i, w in zip(special.tolist(), seg.distinct.take(pa.array(special)).to_pylist()):
+    for i, w in zip(special.tolist(), _strings(seg.distinct.take(pa.array(special)))):
         if not w.strip(BLANK):
             run[i] = len(w)
             own[i] = t.run_ids(len(w))
@@ -425,13 +430,16 @@ def _encoded(docs: DataFrame, model: Callable[[], str], dictionary: int, schema:
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("sentencepiece")
+        claim("sentencepiece", _SHARED.clear)
+        _SHARED.clear()  # an earlier run's
         table = piece_table(model())
-        for batch in text_slices(batches, most=2 * SLICE):
+        for batch in text_slices(batches, most=SLICE):
             seg = Segments(batch["text"].to_pylist(), table)
             count = np.bincount(seg.code, minlength=len(seg.distinct))
             kept_ = pa.array(seg.words())
             yield pa.RecordBatch.from_arrays([seg.distinct.filter(kept_).cast(pa.string()), pa.array(count, pa.int64()).filter(kept_)], names=["word", "n"])
+            del seg, count, kept_
+        release()
 
     words = kept.select("text").mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     coded = materialize(encode_words(words, model()), "sp-coded")
@@ -480,8 +488,7 @@ def _encoded(docs: DataFrame, model: Callable[[], str], dictionary: int, schema:
             for docs_, rare in zip(batch["docs"], batch["rare"]):
                 table = pa.ipc.open_stream(zstandard.decompress(docs_.as_py())).read_all().combine_chunks()
                 texts = table["text"].to_pylist()
-                answers = sorted((r["k"], r["ids"]) for r in rare.as_py() or [])
-                ids = assemble(texts, [x for _, x in answers], frequent(), path)
+                ids = assemble(texts, _answers(rare.values), frequent(), path)
                 yield rows(table["doc_id"].combine_chunks() if table.num_rows else table["doc_id"], texts, ids, path)
 
     asked = kept.mapInArrow(request, "slice binary, k int, word string")
@@ -493,6 +500,16 @@ def _encoded(docs: DataFrame, model: Callable[[], str], dictionary: int, schema:
 _SHARED: dict[str, Dictionary] = {}
 
 
+def _answers(rare: pa.StructArray | None) -> list[list[int]]:
+    """Ids of a slice's rare words in the order of their number ``k``."""
+    if rare is None:
+        return []
+    k, lists = rare.flatten()
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
+    each = [flat[a:b] for a, b in zip([0, *ends], ends)]
+    return [each[i] for i in np.argsort(k.to_numpy(zero_copy_only=False), kind="stable").tolist()]
+
+
 def _digest_rows(doc_ids: pa.Array, texts: list[str], ids: list[np.ndarray], path: str) -> pa.RecordBatch:
     import hashlib
 
