@@ -113,6 +113,10 @@ def graph_terms(c: Column) -> Column:
     return F.array_distinct(F.filter(tokens(c), lambda t: (F.length(t) >= 3) & ~t.isin(*GRAPH_STOP_WORDS)))
 
 
+#: Letters in lower case, digits, and a blank for any other character.
+_ASCII_WORDS = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
+
+
 @F.pandas_udf(StringType())
 def ascii_words(s: pd.Series) -> pd.Series:
     """Compatibility-decomposed, ASCII-only, caseless words joined by blanks (needs Unicode tables that Spark lacks)."""
@@ -120,8 +124,8 @@ def ascii_words(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         if x is None:
             return None
-        flat = unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().casefold()
-        return " ".join("".join(ch if ch.isalnum() else " " for ch in flat).split())
+        flat = x if x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode()
+        return " ".join(flat.translate(_ASCII_WORDS).split())
 
     return s.map(one)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_words, canonical_id, grounded, plain_answer, role_conflict
 from ..functions.values import typed
+from ..sources.scratch import written
 
 _NONE = "array<string>"
 
@@ -171,13 +172,14 @@ def validate_extraction(rows: DataFrame, kinds: dict[str, str], passages: DataFr
     the first reason that rejects it, in the order of ``REASONS``; typed cells come back in canonical form. A context abstains if a boolean field
     is answered in two ways or by "unknown", or if all of its rows fail their types or their roles; a boolean cell
     that is neither yes, no nor unknown, or rows that are all rejected otherwise, ask for a repair.
-    Verdict: outcome, rows, accepted and the count of each reason.
+    Verdict: outcome, rows, accepted and the count of each reason. Rows are checked once and written, for verdicts and accepted rows to read.
     """
     text = passages.select("source_id", ascii_words(F.col("text")).alias("__text"))
     df = rows.join(text, "source_id", "left")
     plain, clean = {}, {}
     for f, kind in kinds.items():
-        clean[f] = F.lower(F.trim(f)) if kind == "boolean" else typed(F.col(f), kind)
+        plain[f"__c_{f}"] = F.lower(F.trim(f)) if kind == "boolean" else typed(F.col(f), kind)
+        clean[f] = F.col(f"__c_{f}")
         plain[f"__p_{f}"] = ascii_words(F.col(f))
         if f"known_{f}" in rows.columns:
             plain[f"__k_{f}"] = ascii_words(F.col(f"known_{f}"))
@@ -200,7 +202,7 @@ def validate_extraction(rows: DataFrame, kinds: dict[str, str], passages: DataFr
     reason = F.lit(None).cast("string")
     for name in reversed(REASONS):
         reason = F.when(tests[name], name).otherwise(reason)
-    checked = df.withColumn("__reason", reason)
+    checked = written(df.select(key, "pos", "source_id", *[f"__c_{f}" for f in kinds], reason.alias("__reason")), "checked-rows")
     verdicts = [F.count_distinct(F.when(clean[f].isin("yes", "no"), clean[f])).alias(f"__n_{f}") for f in bools] + [F.count_if(clean[f] == "unknown").alias(f"__u_{f}") for f in bools]
     each = checked.groupBy(key).agg(F.count("*").alias("rows"), *[F.count_if(F.col("__reason") == r).alias(r) for r in REASONS], *verdicts)
     split = some([(F.col(f"__n_{f}") != 1) | (F.col(f"__u_{f}") > 0) for f in bools])
