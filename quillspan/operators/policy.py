@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import polar_answer, vote_answer
+from ..sources.scratch import partitions_for
 from .resample import poisson_bootstrap
 
 # ---- binding beam ---------------------------------------------------------------------------
@@ -18,20 +19,22 @@ from .resample import poisson_bootstrap
 def beam_candidates(rows: DataFrame, relevant: list[str], query: str = "query_id") -> DataFrame:
     """The best row of each binding context with its score, ranked within each query.
 
-    Rows have (query_id, _source_id, _confidence) and one column for each variable.
+    Rows have (query_id, _source_id, _confidence) and one column for each variable. They are counted first: windows are dealt to as many tasks as the rows need.
     """
+    n = partitions_for(rows)
     named = [c for c in rows.columns if not c.startswith("_") and c not in (query, "pos")]
     filled = sum((F.coalesce(F.trim(F.col(c)) != "", F.lit(False)).cast("int") for c in named), F.lit(0))
     reach = sum((F.coalesce(F.trim(F.col(c)) != "", F.lit(False)).cast("int") for c in relevant), F.lit(0)) / float(len(relevant)) if relevant else F.lit(1.0)
     same = F.count("*").over(Window.partitionBy(query, "_source_id"))
-    scored = rows.withColumn("__same", same).withColumn(
+    scored = rows.repartition(n, query, "_source_id").withColumn("__same", same).withColumn(
         "beam_score",
         0.55 * F.col("_confidence") + 0.15 * reach + 0.10 / F.col("__same") + 0.10 * reach - 0.05 * (F.col("__same") - 1) / F.col("__same") - 0.05 / F.greatest(filled, F.lit(1)),
     )
     order = [F.round("beam_score", 12).desc(), F.col("_confidence").desc(), F.col("_source_id").desc(), *[F.col(c) for c in relevant]]
-    context = [F.coalesce(F.col(c), F.lit("")) for c in relevant]
-    best = scored.withColumn("__n", F.row_number().over(Window.partitionBy(query, *context).orderBy(*order))).filter("__n = 1")
-    return best.withColumn("beam_rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).drop("__n", "__same")
+    context = {f"__x{i}": F.coalesce(F.col(c), F.lit("")) for i, c in enumerate(relevant)}
+    dealt = scored.withColumns(context).repartition(n, query, *context)
+    best = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(query, *context).orderBy(*order))).filter("__n = 1")
+    return best.repartition(n, query).withColumn("beam_rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).drop("__n", "__same", *context)
 
 
 def beam_select(candidates: DataFrame, least: int = 1, most: int = 4, budget: int | None = None, query: str = "query_id") -> DataFrame:

@@ -38,3 +38,12 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Rows of a task that sorts or groups.
+TASK_ROWS = 500_000
+
+
+def partitions_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """As many partitions as the session deals to, more where a task would get over ``rows`` rows: its memory must not follow the size of the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
