@@ -10,6 +10,7 @@ from .plans import answers as A
 from .queries import _LISTS_SQL, _lists, query, table
 from .queries_eval import _SCORES_SQL, _scores
 from .queries_models import _COUNT, _draws_sql
+from .sources.scratch import written
 
 # ---- answers --------------------------------------------------------------------------------
 
@@ -103,7 +104,7 @@ FROM ca JOIN go ON go.question_id = ca.question_id LEFT JOIN fo ON fo.question_i
 """)
 def variant_probes(spark, sf):
     """Recall of each question's gold passages by the slot query, other forms of it, and both."""
-    a, b = _lists(spark, sf)
+    a, b = (written(x, "probe-lists") for x in _lists(spark, sf))  # both are read many times
     rows = b.select("query_id", F.lit("question").alias("variant"), "pos", "rank").unionByName(b.filter("query_id % 2 = 0").select("query_id", F.lit("lexical").alias("variant"), "pos", (21 - F.col("rank")).alias("rank")))
     has = a.select("query_id", (F.col("query_id") % 3 != 0).alias("has_rows")).distinct()
     question = F.floor(F.col("query_id") / 4).alias("question_id")
