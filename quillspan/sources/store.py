@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import Index, index_of
+from ..operators.retrieval import Index, block_index, index_of, single_blocks
 
-FORMAT = 2
+FORMAT = 3
 RANGES = 16
 LOWEST = 1000
 
@@ -90,7 +90,7 @@ def _commit(spark: SparkSession, path: str, after: int, snapshot: str) -> None:
 def save_index(passages: DataFrame, path: str, build: Callable[[DataFrame], Index], identity: Identity = Identity(), sums: list[Row] | None = None, changed: list[int] | None = None) -> str:
     """Write a snapshot and commit it; returns its folder.
 
-    Only ``changed`` hash ranges (all by default) are indexed, the others keep the files of the snapshot before. Postings are written by range
+    Only ``changed`` hash ranges (all by default) are indexed, the others keep the files of the snapshot before. Postings are written in blocks by range
     in order of the term, so a query's terms prune row groups. Until the pointer stands, readers see the old snapshot.
     """
     spark = passages.sparkSession
@@ -102,14 +102,16 @@ def save_index(passages: DataFrame, path: str, build: Callable[[DataFrame], Inde
     snapshot = f"{path}/snapshots/{uuid.uuid4().hex}"
     if todo:
         # texts are dealt out before their terms are counted: they are smaller than their postings, and all of a passage's postings lie in one file, so searches add up its score where they read it
-        dealt = passages.filter(_range(F.col("pos")).isin(todo)).repartition(_range(F.col("pos")), F.pmod(F.xxhash64("pos", F.lit(1)), F.lit(8)))
-        build(dealt).postings.withColumn("range", _range(F.col("pos"))).sortWithinPartitions("range", "field", "term", "pos").write.partitionBy("range").parquet(f"{snapshot}/postings")
+        dealt = passages.withColumn("range", _range(F.col("pos"))).filter(F.col("range").isin(todo)).repartition("range", F.pmod(F.xxhash64("pos", F.lit(1)), F.lit(8))).sortWithinPartitions("range", "pos")
+        made = build(dealt)
+        blocks = made.blocks if made.blocks is not None else single_blocks(made.postings, _range(F.col("pos")))
+        blocks.sortWithinPartitions("range", "field", "term").write.partitionBy("range").parquet(f"{snapshot}/postings")
     old = {r["range"]: r.path for r in before.ranges} if before else {}
     written = {f.getPath().getName() for f in _listed(spark, f"{snapshot}/postings")}
     where = lambda r: (f"{snapshot}/postings/range={r}" if f"range={r}" in written else "") if r in todo else old[r]
     ranges = [(r.range, r.checksum, where(r.range)) for r in sums]
-    postings = _postings(spark, [p for _, _, p in ranges if p], passages)
-    index = index_of(passages, postings, identity.fields)
+    found = block_index(passages, _blocks(spark, [p for _, _, p in ranges if p], passages))
+    index = index_of(passages, found.postings, identity.fields, found.blocks)
     index.terms.write.parquet(f"{snapshot}/terms")
     index.totals.write.parquet(f"{snapshot}/totals")
     lowest = json.dumps([r.pos for r in passages.select("pos").orderBy("pos").limit(LOWEST).collect()], default=str)
@@ -124,8 +126,8 @@ def _listed(spark: SparkSession, path: str) -> list:
     return list(fs.listStatus(p)) if fs.exists(p) else []
 
 
-def _postings(spark: SparkSession, paths: list[str], passages: DataFrame) -> DataFrame:
-    shape = f"field string, term string, pos {passages.schema['pos'].dataType.simpleString()}, tf bigint, size int"
+def _blocks(spark: SparkSession, paths: list[str], passages: DataFrame) -> DataFrame:
+    shape = f"slice string, field string, term string, df bigint, words bigint, held array<struct<pos:{passages.schema['pos'].dataType.simpleString()},tf:bigint,size:int>>"
     return spark.read.schema(shape).parquet(*paths) if paths else spark.createDataFrame([], shape)
 
 
@@ -145,8 +147,8 @@ def load_index(spark: SparkSession, path: str, passages: DataFrame, identity: Id
     for ok, reason in ((m.passages == sum(r.n for r in sums), "passage_count"), (m.ids == " ".join(r.ids for r in sums), "passage_ids"), (not changed and len(old) == len(sums), "checksum")):
         if not ok:
             raise IndexMismatch(reason, changed)
-    postings = _postings(spark, [r.path for r in m.ranges if r.path], passages)
-    return Index(passages, postings, spark.read.parquet(f"{snapshot}/terms"), spark.read.parquet(f"{snapshot}/totals"), json.loads(m.lowest))
+    found = block_index(passages, _blocks(spark, [r.path for r in m.ranges if r.path], passages))
+    return Index(passages, found.postings, spark.read.parquet(f"{snapshot}/terms"), spark.read.parquet(f"{snapshot}/totals"), json.loads(m.lowest), found.blocks)
 
 
 def open_or_build(spark: SparkSession, path: str, passages: DataFrame, build: Callable[[DataFrame], Index], identity: Identity = Identity(), tries: int = 3) -> tuple[Index, str]:
