@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialize, release, text_slices
+from .common import claim, materialize, release, shuffles_dropped, text_slices
 
 BLANK = "▁"
 NEVER = 2**31 - 1
@@ -405,13 +405,13 @@ def assemble(texts: list[str | None], rare: list[list[int]], shared: Dictionary,
 SLICE = 1_000_000
 
 
-def _slice_key(batch: pa.RecordBatch) -> bytes:
-    """The same for the same rows; equal slices have equal rare words."""
-    h = xxhash.xxh3_128()
+def _slice_key(batch: pa.RecordBatch) -> int:
+    """The same for the same rows; equal slices have equal rare words. Should two unlike slices share a key, their answers are too many, and ``assemble`` refuses them."""
+    h = xxhash.xxh3_64()
     for text in batch["text"].to_pylist():
         h.update(len(text).to_bytes(8, "little"))
         h.update(text.encode())
-    return h.digest()
+    return h.intdigest() - (1 << 63)
 
 
 def encode(docs: DataFrame, model: Callable[[], str], dictionary: int = 250_000) -> DataFrame:
@@ -442,7 +442,8 @@ def _encoded(docs: DataFrame, model: Callable[[], str], dictionary: int, schema:
         release()
 
     words = kept.select("text").mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    coded = materialize(encode_words(words, model()), "sp-coded")
+    with shuffles_dropped(spark):
+        coded = materialize(encode_words(words, model()), "sp-coded")
     # the least count that at most `dictionary` words have; counts are few
     least, held = 1, 0
     for r in sorted(coded.groupBy("n").count().collect(), reverse=True):
@@ -471,7 +472,7 @@ def _encoded(docs: DataFrame, model: Callable[[], str], dictionary: int, schema:
             seg = Segments(batch["text"].to_pylist(), table)
             _, wanted = rare_words(seg, frequent())
             found = seg.distinct.take(pa.array(wanted)).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([_slice_key(batch)] * len(found), pa.binary()), pa.array(np.arange(len(found)), pa.int32()), found], names=["slice", "k", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), _slice_key(batch), dtype=np.int64)), pa.array(np.arange(len(found)), pa.int32()), found], names=["slice", "k", "word"])
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
@@ -479,7 +480,7 @@ def _encoded(docs: DataFrame, model: Callable[[], str], dictionary: int, schema:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([_slice_key(batch)], pa.binary()), "docs": pa.array([packer.compress(sink.getvalue().to_pybytes())], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([_slice_key(batch)], pa.int64()), "docs": pa.array([packer.compress(sink.getvalue().to_pybytes())], pa.binary())})
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("sentencepiece", _SHARED.clear)
@@ -491,9 +492,9 @@ def _encoded(docs: DataFrame, model: Callable[[], str], dictionary: int, schema:
                 ids = assemble(texts, _answers(rare.values), frequent(), path)
                 yield rows(table["doc_id"].combine_chunks() if table.num_rows else table["doc_id"], texts, ids, path)
 
-    asked = kept.mapInArrow(request, "slice binary, k int, word string")
+    asked = kept.mapInArrow(request, "slice long, k int, word string")
     answered = asked.join(coded.select("word", "ids"), "word").select("slice", "k", "ids").groupBy("slice").agg(F.collect_set(F.struct("k", "ids")).alias("rare"))
-    slices = kept.mapInArrow(wrap, "slice binary, docs binary")
+    slices = kept.mapInArrow(wrap, "slice long, docs binary")
     return slices.join(answered.hint("merge"), "slice", "left").select("docs", "rare").mapInArrow(fill, schema)
 
 
