@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialize, release, shuffles_dropped, text_slices
+from .common import claim, drop_path, materialize, release, shuffle_width, shuffles_dropped, text_slices
 
 BLANK = "▁"
 NEVER = 2**31 - 1
@@ -401,8 +401,8 @@ def assemble(texts: list[str | None], rare: list[list[int]], shared: Dictionary,
     return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
-#: Bytes of text in a slice.
-SLICE = 1_000_000
+#: Bytes of text in a slice, words in a task of the lattice.
+SLICE, TASK_WORDS = 1_000_000, 100_000
 
 
 def _slice_key(batch: pa.RecordBatch) -> int:
@@ -441,9 +441,12 @@ def _encoded(docs: DataFrame, model: Callable[[], str], dictionary: int, schema:
             del seg, count, kept_
         release()
 
-    words = kept.select("text").mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = kept.select("text").mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     with shuffles_dropped(spark):
-        coded = materialize(encode_words(words, model()), "sp-coded")
+        words = materialize(counted, "sp-words")  # short and long words are read apart; without a table the texts would be split for each
+        width = shuffle_width(spark)
+        coded = materialize(encode_words(words.repartition(width * max(1, -(-words.count() // (width * TASK_WORDS))), "word"), model()), "sp-coded")
+    drop_path(spark, words.scratch_path)
     # the least count that at most `dictionary` words have; counts are few
     least, held = 1, 0
     for r in sorted(coded.groupBy("n").count().collect(), reverse=True):

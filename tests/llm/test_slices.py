@@ -35,3 +35,17 @@ def test_the_words_leave_no_shuffle_files(spark):
 def test_a_slice_key_is_a_number_and_follows_the_texts():
     key = lambda *t: lattice._slice_key(pa.RecordBatch.from_pydict({"text": list(t)}))
     assert key("ab", "c") == key("ab", "c") != key("a", "bc") and -(2**63) <= key("") < 2**63
+
+
+def test_texts_are_split_once_for_short_and_long_words(spark, tmp_path):
+    from quillspan.llm.queries import public_path
+
+    marks = str(tmp_path)
+
+    def count(batches):
+        open(f"{marks}/{time.time_ns()}", "w").close()
+        yield from batches
+
+    docs = spark.createDataFrame([(1, "short words"), (2, "x" * 70)], "doc_id long, text string").coalesce(1).mapInArrow(count, "doc_id long, text string")
+    assert lattice.digests(docs, lambda: public_path("piece_bpe_32k.model")).count() == 2
+    assert len(list(tmp_path.iterdir())) <= 3  # for the words, the rare words and the slices
