@@ -42,3 +42,33 @@ def test_dealt_rows_equal_sql(spark, tmp_path, name):
     cols = sorted(b.columns)
     rows = lambda d: sorted(tuple(map(str, r)) for r in d[cols].itertuples(index=False))
     assert rows(a) == rows(b)
+
+
+def test_paired_deltas_rounds_as_sql(spark, tmp_path):
+    """Fifteen groups of 200 pairs whose means lie on ties of the sixth place."""
+    import duckdb
+
+    odd = [109, 251, 489, 493, 591, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19]  # of the first five, shortest decimals round otherwise than SQL
+    rows = [(2 * u + k, u, kind, odd[u] / 100 if k and u < 15 else 0.0) for u in range(3000) for k, kind in enumerate(("view", "click"))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = core.QUERIES["paired_deltas"](spark, str(tmp_path)).select("dataset", "depth", "n", "treatment_minus_reference").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT dataset, depth, n, treatment_minus_reference FROM ({core.ORACLES['paired_deltas']})").fetchall())
+    assert {r.n for r in got} == {200}
+
+
+def test_mean_delta_does_not_depend_on_where_rows_lie(spark):
+    xs = [1e8, 0.1, 0.2, 0.4, -1e8]
+    for order in (xs, xs[::-1], xs[1:] + xs[:1], xs[2:] + xs[:2]):
+        rows = [("d", 0, q, arm, x if arm == "t" else 0.0) for q, x in enumerate(order) for arm in "tr"]
+        d = E.paired_deltas(spark.createDataFrame(rows, "dataset string, depth int, question_id int, arm string, score double"), "t", "r")
+        assert d.first().treatment_minus_reference == 0.7 / 5
+
+
+def test_exact_mean_of_odd_values(spark):
+    mean = lambda *xs: spark.createDataFrame([(x,) for x in xs], "v double").agg(V.exact_mean(F.col("v")).alias("m")).first().m
+    assert mean(None, 0.1, 0.2, 0.3) == 0.6 / 3
+    assert mean(None) is None
+    assert mean(1e300, 3e300) == 2e300
+    assert mean(float("nan"), 1.0) != mean(float("nan"), 1.0)
