@@ -72,3 +72,11 @@ def test_exact_mean_of_odd_values(spark):
     assert mean(None) is None
     assert mean(1e300, 3e300) == 2e300
     assert mean(float("nan"), 1.0) != mean(float("nan"), 1.0)
+
+
+def test_mean_recall_does_not_depend_on_where_rows_lie(spark):
+    xs = [1e8, 0.1, 0.2, 0.4, -1e8]
+    for order in (xs, xs[::-1], xs[1:] + xs[:1], xs[2:] + xs[:2]):
+        rows = [("d", q, "view", x, 1) for q, x in enumerate(order)]
+        s = E.strategy_summary(spark.createDataFrame(rows, "dataset string, question_id int, strategy string, recall double, calls long"), "view")
+        assert s.first().mean_recall == 0.7 / 5
