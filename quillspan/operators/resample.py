@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values as V
+
 WORD = 1 << 32
 #: 2^32 times the distribution function of Poisson(1), until it is 1 in 32 bits
 POISSON = [math.floor(WORD * sum(math.exp(-1) / math.factorial(j) for j in range(i + 1))) for i in range(12)]
@@ -49,7 +51,7 @@ def poisson_bootstrap(pairs: DataFrame, keys: list[str], unit: Column, draws: in
     by_unit = slim.groupBy(*keys, "__u").agg(F.sum("__d").alias("__d"), F.count("*").alias("__n"))
     drawn = with_draws(by_unit, F.col("__u"), draws).withColumn("__c", poisson_count(F.col("u"))).filter("__c > 0")
     means = drawn.groupBy(*keys, "draw").agg((F.sum(F.col("__c") * F.col("__d")) / F.sum(F.col("__c") * F.col("__n"))).alias("__mean"))
-    total = by_unit.groupBy(*keys).agg(F.sum("__n").alias("n"), F.count("*").alias("units"), (F.sum("__d") / F.sum("__n")).alias("mean_difference"))
+    total = by_unit.groupBy(*keys).agg(F.sum("__n").alias("n"), F.count("*").alias("units"), (V.exact_sum(F.col("__d")) / F.sum("__n")).alias("mean_difference"))
     found = total.join(_interval(means, keys, "__mean", level), keys, "left") if keys else total.crossJoin(_interval(means, keys, "__mean", level))
     alone = lambda c: F.when(F.col("units") > 1, F.col(c)).alias(c)
     return found.select(*keys, "n", "units", "mean_difference", alone("ci_low"), alone("ci_high"), alone("p_value"))

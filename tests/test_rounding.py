@@ -9,6 +9,7 @@ from quillspan import queries as core
 from quillspan import queries_answers, queries_eval  # noqa: F401
 from quillspan.functions import values as V
 from quillspan.operators import evaluate as E
+from quillspan.operators import probes
 
 DATA = "/root/testdata/sf0.1"
 
@@ -80,3 +81,11 @@ def test_mean_recall_does_not_depend_on_where_rows_lie(spark):
         rows = [("d", q, "view", x, 1) for q, x in enumerate(order)]
         s = E.strategy_summary(spark.createDataFrame(rows, "dataset string, question_id int, strategy string, recall double, calls long"), "view")
         assert s.first().mean_recall == 0.7 / 5
+
+
+def test_mean_difference_does_not_depend_on_where_rows_lie(spark):
+    xs = [1e8, 0.1, 0.2, 0.4, -1e8]
+    for order in (xs, xs[::-1], xs[1:] + xs[:1], xs[2:] + xs[:2]):
+        rows = [("d", q, method, x if method == "click" else 0.0) for q, x in enumerate(order) for method in ("view", "click")]
+        c = probes.compare_with_baseline(spark.createDataFrame(rows, "dataset string, question_id int, method string, score double"), "view", ["click"], 20)
+        assert c.first().mean_difference == 0.7 / 5
